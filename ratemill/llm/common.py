@@ -6,7 +6,9 @@ hashes and their k-grams are computed for all of its documents at once.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,3 +146,26 @@ def white(data: np.ndarray) -> np.ndarray:
 def seeded(seed: int, n: int) -> np.ndarray:
     """n odd 64-bit numbers that depend on seed alone."""
     return mix(np.arange(1, n + 1, dtype=np.uint64) * _BASE + np.uint64(seed)) | np.uint64(1)
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of df, written once as a compressed table to the shared folder and read from there; removed when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not _WRITTEN:
+        atexit.register(_remove)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove() -> None:
+    for spark, path in _WRITTEN:
+        sc = spark.sparkContext
+        if sc._jsc is not None:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.clear()
