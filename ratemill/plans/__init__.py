@@ -1,0 +1,14 @@
+"""Queries over the tables, one for each operator."""
+
+from ratemill.plans import core
+from ratemill.plans.registry import ORACLES, QUERIES, Query
+
+__all__ = ["all_oracles", "all_queries", "core"]
+
+
+def all_queries() -> dict[str, Query]:
+    return QUERIES
+
+
+def all_oracles() -> dict[str, str]:
+    return ORACLES
