@@ -51,8 +51,8 @@ def near_keyword(text: Column, words: tuple[str, ...]) -> Column:
     picks = []
     for w in words:
         q = rf"\Q{w}\E"
-        m = F.coalesce(F.nullif(F.regexp_extract(bare, rf"{q}[^0-9]{{0,28}}({NUMBER})|({NUMBER})[^0-9]{{0,28}}{q}", 1), F.lit("")), F.nullif(F.regexp_extract(bare, rf"{q}[^0-9]{{0,28}}({NUMBER})|({NUMBER})[^0-9]{{0,28}}{q}", 2), F.lit("")))
-        picks.append(F.regexp_replace(m, "[^0-9]", "").try_cast("bigint"))
+        match = F.regexp_extract(bare, rf"{q}[^0-9]{{0,28}}{NUMBER}|{NUMBER}[^0-9]{{0,28}}{q}", 0)
+        picks.append(F.regexp_replace(F.regexp_extract(match, NUMBER, 0), "[^0-9]", "").try_cast("bigint"))
     return F.coalesce(*picks)
 
 

@@ -32,3 +32,11 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     )
     spark.sparkContext.setLogLevel("ERROR")
     return ship(spark)
+
+
+def checkpointed(spark: SparkSession) -> None:
+    """Names a checkpoint folder where the cluster has named none, as in tests."""
+    import tempfile
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ratemill-"))
