@@ -27,6 +27,8 @@ PICKS = 3
 SKETCHES = 24
 SIMILARITY = 0.8
 SEED = 20_240
+#: Errors up to which alignment follows diagonals; beyond, it fills the band row by row.
+FEW = 48
 #: K-mers of a document that a sketch looks at on average; if fewer than PICKS of them are there, it looks at all.
 NEAR_MIN = 16
 
@@ -111,9 +113,14 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not len(a) or not len(b):
         return min(len(a) + len(b), most + 1)
-    if abs(len(a) - len(b)) > most or _apart(a, b) > most:
+    least = _apart(a, b)
+    if abs(len(a) - len(b)) > most or least > most:
         return most + 1
-    band = 16
+    if least <= FEW:
+        got = _diagonals(a.tolist(), b.tolist(), min(most, FEW + FEW // 2))
+        if got <= min(most, FEW + FEW // 2) or most <= FEW + FEW // 2:
+            return min(got, most + 1)
+    band = max(16, min(2 * least, most))
     while True:
         band = min(band, most)
         got = _banded(a, b, band)
@@ -122,6 +129,44 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         band *= 4
 
 
+def _diagonals(a: list, b: list, most: int) -> int:
+    """Edit distance if at most most, else most + 1, along the diagonals of the band: how far each gets with 0, 1, ... errors."""
+    n, m = len(a), len(b)
+    goal = m - n
+    none = -2
+    far = [none] * (2 * most + 3)
+    mid = most + 1
+    for e in range(most + 1):
+        new = [none] * (2 * most + 3)
+        reach = most - e  # a diagonal farther from the goal than the errors left can't end there
+        for k in range(max(-e, goal - reach), min(e, goal + reach) + 1):
+            c = mid + k
+            i = far[c] + 1  # another word
+            if far[c - 1] > i:
+                i = far[c - 1]  # a word more in b
+            if far[c + 1] + 1 > i:
+                i = far[c + 1] + 1  # a word more in a
+            if e == 0:
+                i = 0
+            elif i < 0:
+                continue
+            if i > n:
+                i = n
+            j = i + k
+            if j > m:
+                i, j = m - k, m
+            if j < 0:
+                continue
+            while i < n and j < m and a[i] == b[j]:
+                i += 1
+                j += 1
+            new[c] = i
+            if k == goal and i >= n:
+                return e
+        far = new
+    return most + 1
+
+
 def _apart(a: np.ndarray, b: np.ndarray) -> int:
     """A lower bound of the distance: the words that one has and the other lacks."""
     _, ids = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -160,28 +205,21 @@ def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return int(prev[end]) if end < width else far
 
 
-def similar(texts: list[tuple[bytes, bytes]], similarity: float) -> list[bool]:
+def similar(a: pa.Array, b: pa.Array, similarity: float) -> np.ndarray:
     """Whether the words of two texts are that similar, for each pair."""
-    out, known = [], {}
-    for a, b in texts:
-        if a == b:
-            out.append(True)
-            continue
-        if len(known) > 64:
-            known.clear()
-        for t in (a, b):
-            if t not in known:
-                known[t] = _words(t)
-        x, y = known[a], known[b]
-        most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
-        out.append(abs(len(x) - len(y)) <= most and distance(x, y, most) <= most)
-    return out
-
-
-def _words(text: bytes) -> np.ndarray:
-    data = np.frombuffer(text, np.uint8)
-    starts, ends, _ = spans(white(data), np.array([0, len(data)]))
-    return span_hash(prefix_sums(data), starts, ends).view(np.int64)
+    (x, at), (y, bt) = _words(a), _words(b)
+    nx, ny = np.diff(at), np.diff(bt)
+    most = ((1 - similarity) * np.maximum(nx, ny) + 1e-9).astype(np.int64)
+    ok = np.abs(nx - ny) <= most
+    for i in np.flatnonzero(ok).tolist():
+        ok[i] = distance(x[at[i] : at[i + 1]], y[bt[i] : bt[i + 1]], int(most[i])) <= most[i]
+    return ok
+
+
+def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, at = text_bytes(col)
+    starts, ends, first = spans(white(data), at)
+    return span_hash(prefix_sums(data), starts, ends).view(np.int64), first
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -190,10 +228,10 @@ def _compare(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     both = with_a.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(c).cast(pa.binary()) for c in ("text_a", "text_b"))
-            ok = similar([(x.as_py(), y.as_py()) for x, y in zip(a, b)], similarity)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+        for whole in batches:
+            for batch in chunks(whole, "text_a"):
+                ok = similar(batch.column("text_a"), batch.column("text_b"), similarity)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     return both.mapInArrow(verify, "a binary, b binary, ok boolean")
 
