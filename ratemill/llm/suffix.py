@@ -66,7 +66,7 @@ def segments(col: pa.Array, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     if not len(begin):
         return none, none, none, none, np.zeros(len(at), np.int64)
     new = np.ones(len(begin), bool)
-    new[1:] = (low[1:] != low[:-1]) | (begin[1:] != begin[:-1] + 1)
+    new[1:] = (low[1:] != low[:-1]) | (begin[1:] != begin[:-1] + 1) | (doc[begin[1:]] != doc[begin[:-1]])
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(begin)) - 1
     base = at[:-1][doc[begin[head]]]
@@ -153,12 +153,12 @@ def _expand(segs: pa.Array, times: np.ndarray, length: int) -> tuple[np.ndarray,
     begins = repeated(symbols, length)[place]
     begins |= times[seg] > 1
     begins &= np.arange(len(ids)) + length <= first[1:][seg]
-    # windows that touch or overlap are one passage
+    # windows that overlap are one passage
     begin = np.flatnonzero(begins)
     if not len(begin):
         return begin, begin, np.zeros(len(n_words) + 1, np.int64)
     new = np.ones(len(begin), bool)
-    new[1:] = (seg[begin[1:]] != seg[begin[:-1]]) | (begin[1:] > begin[:-1] + length)
+    new[1:] = (seg[begin[1:]] != seg[begin[:-1]]) | (begin[1:] >= begin[:-1] + length)
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(begin)) - 1
     owner = seg[begin[head]]
@@ -197,8 +197,8 @@ def passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block:
     spots = placed.select("doc_id", "cid", "a", F.inline(F.arrays_zip("from", "to"))).select("doc_id", "cid", (F.col("a") + F.col("from")).alias("first_byte"), (F.col("a") + F.col("to")).alias("end_byte"))
     order = Window.partitionBy("doc_id", "cid").orderBy("first_byte", "end_byte")
     reach = F.max("end_byte").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    # segments overlap where windows are adjacent; passages that only meet at a word's end stay apart
-    marked = spots.withColumn("new", F.coalesce((F.col("first_byte") > reach + 1).cast("int"), F.lit(1)))
+    # passages that only touch stay apart
+    marked = spots.withColumn("new", F.coalesce((F.col("first_byte") >= reach).cast("int"), F.lit(1)))
     numbered = marked.withColumn("k", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("doc_id", "cid", "k").agg(F.min("first_byte").alias("first_byte"), F.max("end_byte").alias("end_byte")).select("doc_id", "first_byte", "end_byte")
 
