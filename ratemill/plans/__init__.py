@@ -1,9 +1,9 @@
 """Queries over the tables, one for each operator."""
 
-from ratemill.plans import core, relational, text
+from ratemill.plans import core, relational, streams, text
 from ratemill.plans.registry import ORACLES, QUERIES, Query
 
-__all__ = ["all_oracles", "all_queries", "core", "relational", "text"]
+__all__ = ["all_oracles", "all_queries", "core", "relational", "streams", "text"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -34,9 +35,10 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     return ship(spark)
 
 
-def checkpointed(spark: SparkSession) -> None:
-    """Names a checkpoint folder where the cluster has named none, as in tests."""
-    import tempfile
-
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ratemill-"))
+def work_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one named by spark.checkpoint.dir, and only where none is, a local one, as in tests."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ratemill-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
