@@ -35,11 +35,13 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_groups(table(spark, sf_dir, "documents"))
+    """Every document with the smallest doc_id of its group of near copies, and whether it stays."""
+    return near.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "keep")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.owners(table(spark, sf_dir, "documents"))
+    """Every document with the smallest doc_id that has its text, and whether it stays."""
+    return exact.owners(table(spark, sf_dir, "documents")).select("doc_id", "owner_id", "keep")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_exact_dedup": """
-            SELECT doc_id, CAST(strlen(text) AS INTEGER) AS n_bytes,
-                   CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS owner_id,
+            SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS owner_id,
                    text IS NULL OR row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) = 1 AS keep
             FROM documents""",
     }
