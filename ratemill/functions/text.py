@@ -99,7 +99,7 @@ def symbol_token(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct trimmed parts of a list joined by bars or commas."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, r"[|,]"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, r"[|,]"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def source_key(platform: Column, handle: Column, url: Column) -> Column:
