@@ -13,7 +13,7 @@ def pick_attempt(attempts: DataFrame) -> DataFrame:
     valid = F.col("status").isin("Green", "Amber", "Red") & F.col("withheld").eqNullSafe(F.lit(False)) & (F.col("fix") > 0)
     good = F.coalesce(valid, F.lit(False)) & times.in_window(F.col("at"))
     return attempts.groupBy("day").agg(
-        F.max_by(F.struct("at", "fix", "status", "withheld"), F.struct(good, F.col("at"))).alias("b"), F.count(F.lit(1)).alias("attempts"), F.count_if(good).alias("valid_candidates")
+        F.max_by(F.struct("at", "fix", "status", "withheld"), F.struct(good, F.col("at"), F.col("fix"))).alias("b"), F.count(F.lit(1)).alias("attempts"), F.count_if(good).alias("valid_candidates")
     ).select("day", "b.*", "attempts", "valid_candidates", F.when(F.col("valid_candidates") > 0, "latest_valid_in_window").otherwise("latest_attempt").alias("strategy"))
 
 

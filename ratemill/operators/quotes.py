@@ -24,10 +24,10 @@ def quote_type(t: Column, channel_type: Column, shop: Column) -> Column:
     )
 
 
-def structure_points(t: Column, currencies: Column, n_numbers: Column, buy: Column, sell: Column, cities: Column, unit: Column) -> Column:
+def structure_points(has_word: Column, currencies: Column, n_numbers: Column, buy: Column, sell: Column, cities: Column, unit: Column) -> Column:
     one = lambda c, n: F.when(c, n).otherwise(0)
     pair = F.when(buy.isNotNull() & sell.isNotNull(), 30).when(buy.isNotNull() | sell.isNotNull(), 14).otherwise(0)
-    total = one(F.size(currencies) > 0, 20) + one(n_numbers > 0, 10) + pair + one(n_numbers >= 2, 12) + one(n_numbers >= 4, 6) + one(F.size(cities) > 0, 8) + one(unit != "unknown", 8) + one(text.contains_any(t, QUOTE), 10)
+    total = one(F.size(currencies) > 0, 20) + one(n_numbers > 0, 10) + pair + one(n_numbers >= 2, 12) + one(n_numbers >= 4, 6) + one(F.size(cities) > 0, 8) + one(unit != "unknown", 8) + one(has_word, 10)
     return F.least(F.lit(100), total)
 
 
@@ -35,34 +35,44 @@ def directness_points(kind: Column, shop: Column) -> Column:
     return F.when((kind == "direct") & shop, 90).when(kind == "direct", 82).when(kind == "aggregated", 58).when(kind == "reposted", 34).otherwise(48)
 
 
+def once(df: DataFrame, **made: Column) -> DataFrame:
+    """df with further columns that are computed once per row: a generator of one row, which neither filters nor projections are merged with."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))))
+
+
 def parse(messages: DataFrame, now: Column) -> DataFrame:
     """Quote records of messages (handle, msg_index, text, ts, channel_type, shop, priority); messages without a quote are dropped."""
-    t = numbers.western_digits(F.col("text"))
+    t = F.col("_t")
+    base = once(messages, _t=numbers.western_digits(F.col("text")))
     a, b = numbers.slash_pair(t)
-    base = messages.select("*", t.alias("_t"), numbers.number_tokens(t).alias("numbers"), numbers.near_keyword(t, BUY).alias("_buy"), numbers.near_keyword(t, SELL).alias("_sell"), a.alias("_a"), b.alias("_b"))
+    base = once(base, numbers=numbers.number_tokens(t), _buy=numbers.near_keyword(t, BUY), _sell=numbers.near_keyword(t, SELL), _a=a, _b=b)
     neither = F.col("_buy").isNull() & F.col("_sell").isNull()
-    two = neither & (F.size("numbers") >= 2) & text.contains_any(F.col("_t"), BUY + SELL)
+    two = neither & (F.size("numbers") >= 2) & text.contains_any(t, BUY + SELL)
     slashed = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     buy = F.coalesce("_buy", F.when(neither & slashed, F.col("_a")), F.when(F.col("_sell").isNotNull(), F.col("_a")), F.when(two, F.get("numbers", F.lit(0))))
     sell = F.coalesce("_sell", F.when(neither & slashed, F.col("_b")), F.when(F.col("_buy").isNotNull(), F.col("_b")), F.when(two, F.get("numbers", F.lit(1))))
-    full = base.select("*", buy.alias("buy"), sell.alias("sell"), text.alias_hits(F.col("_t"), text.CURRENCIES).alias("currencies"), text.alias_hits(F.col("_t"), text.CITIES).alias("cities"), numbers.unit_of_numbers(F.col("_t"), F.col("numbers")).alias("unit"))
-    has_word = text.contains_any(F.col("_t"), QUOTE)
+    full = once(
+        base, buy=buy, sell=sell, currencies=text.alias_hits(t, text.CURRENCIES), cities=text.alias_hits(t, text.CITIES), unit=numbers.unit_of_numbers(t, F.col("numbers")),
+        has_word=text.contains_any(t, QUOTE), quote_type=quote_type(t, F.col("channel_type"), F.col("shop")),
+    )
     both = F.col("buy").isNotNull() & F.col("sell").isNotNull()
     some = F.col("buy").isNotNull() | F.col("sell").isNotNull()
-    like = ((F.size("numbers") > 0) & ((F.size("currencies") > 0) | has_word | (F.size("cities") > 0) | some)) | both
-    kept = full.where(like).withColumn("quote_type", quote_type(F.col("_t"), F.col("channel_type"), F.col("shop")))
+    like = ((F.size("numbers") > 0) & ((F.size("currencies") > 0) | F.col("has_word") | (F.size("cities") > 0) | some)) | both
+    kept = full.where(like)
     hours = (F.unix_timestamp(now) - F.unix_timestamp("ts")) / 3600
-    scored = kept.select("*", labels.freshness_points(F.greatest(hours, F.lit(0.0))).alias("freshness"), structure_points(F.col("_t"), F.col("currencies"), F.size("numbers"), F.col("buy"), F.col("sell"), F.col("cities"), F.col("unit")).alias("structure"), directness_points(F.col("quote_type"), F.col("shop")).alias("directness"))
-    near = dedup.near_key(F.col("_t"))
+    near = dedup.near_key(t)
     key = dedup.number_key(F.concat("numbers", F.array_compact(F.array("buy", "sell"))))
     money = F.coalesce(F.nullif(F.array_join("currencies", "|"), F.lit("")), F.lit("UNKNOWN"))
-    done = scored.select(
-        "handle", "msg_index", "priority", "shop", "channel_type", "quote_type", "freshness", "structure", "directness", "buy", "sell", "unit", "numbers", money.alias("currency"),
+    scored = once(
+        kept, freshness=labels.freshness_points(F.greatest(hours, F.lit(0.0))), structure=structure_points(F.col("has_word"), F.col("currencies"), F.size("numbers"), F.col("buy"), F.col("sell"), F.col("cities"), F.col("unit")),
+        directness=directness_points(F.col("quote_type"), F.col("shop")), currency=money, near_sig=F.concat_ws("|", near, key, money),
+    )
+    return scored.select(
+        "handle", "msg_index", "priority", "shop", "channel_type", "quote_type", "freshness", "structure", "directness", "buy", "sell", "unit", "numbers", "currency",
         F.coalesce(F.get("cities", F.lit(0)), F.lit("unknown")).alias("city"), ((F.col("buy") + F.col("sell")) / 2).alias("midpoint"),
         numbers.to_rial((F.col("buy") + F.col("sell")) / 2, F.col("unit")).alias("midpoint_rial"), F.bround(0.40 * F.col("structure") + 0.35 * F.col("freshness") + 0.25 * F.col("directness")).cast("int").alias("score"),
-        dedup.exact_key(F.col("_t")).alias("exact_key"), F.concat_ws("|", near, key, money).alias("near_sig"), F.concat_ws("|", near, key, money).alias("cross_key"),
+        dedup.exact_key(t).alias("exact_key"), "near_sig", F.col("near_sig").alias("cross_key"),
     )
-    return done
 
 
 def deduplicated(records: DataFrame) -> DataFrame:
