@@ -1,9 +1,9 @@
 """Queries over the tables, one for each operator."""
 
-from ratemill.plans import core, relational, scores, streams, text
+from ratemill.plans import core, extraction, relational, scores, streams, text
 from ratemill.plans.registry import ORACLES, QUERIES, Query
 
-__all__ = ["all_oracles", "all_queries", "core", "relational", "scores", "streams", "text"]
+__all__ = ["all_oracles", "all_queries", "core", "extraction", "relational", "scores", "streams", "text"]
 
 
 def all_queries() -> dict[str, Query]:
