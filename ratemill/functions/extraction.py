@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ratemill.functions import numbers
 
-TOKEN = r"(?:[0-9]{2,3}(?:[\s,٬،][0-9]{3})+|[0-9]{4,8})"
+TOKEN = r"(?:[0-9]{2,3}(?:[،٬,\s][0-9]{3})+|[0-9]{4,8})"
 SIGNED = r"[+-]\s*[0-9]{1,6}(?:[,\s][0-9]{3})?"
 LEAST = 10_000
 
@@ -34,14 +34,14 @@ def pair_for(text: Column, aliases: tuple[str, ...]) -> Column:
 def single_for(text: Column, aliases: tuple[str, ...]) -> Column:
     """The number after a place on its line, else on the next."""
     low, at = F.lower(numbers.western_digits(text)), any_of(aliases)
-    values = [_number(F.regexp_extract(low, p, 1)) for p in (rf"{at}[^0-9+\n-]{{0,28}}({TOKEN})", rf"{at}[^0-9+-]{{0,14}}\n\s*({TOKEN})")]
+    values = [_number(F.regexp_extract(low, p, 1)) for p in (rf"{at}[^0-9+\n-]{{0,28}}({TOKEN})", rf"{at}[^+0-9-]{{0,14}}\n[\s]*({TOKEN})")]
     return F.coalesce(*[F.when(v >= LEAST, v) for v in values])
 
 
 def delta_for(text: Column, aliases: tuple[str, ...]) -> Column:
     """The signed number after a place, else before it; at least 50 either way."""
     low, at = F.lower(numbers.western_digits(text)), any_of(aliases)
-    values = [F.regexp_replace(F.regexp_extract(low, p, 1), r"[^0-9+-]", "").try_cast("double") for p in (rf"{at}[^0-9+\n-]{{0,24}}({SIGNED})", rf"({SIGNED})[^0-9\n]{{0,12}}{at}")]
+    values = [F.regexp_replace(F.regexp_extract(low, p, 1), r"[^0-9+-]", "").try_cast("double") for p in (rf"{at}[^0-9+\n-]{{0,24}}({SIGNED})", rf"({SIGNED})[^\n0-9]{{0,12}}{at}")]
     return F.coalesce(*[F.when(F.abs(v) >= 50, v) for v in values])
 
 
@@ -93,7 +93,7 @@ def research_weight(base: Column, fresh: Column, structure: Column, quality: Col
 
 def legacy_units(source: Column, unit: Column, values: Column, toman: tuple[str, ...]) -> Column:
     """Values of a source that once gave no unit: those it quotes in toman times ten."""
-    return F.when((source == "navasan") & (unit == "unknown"), F.transform_values(values, lambda k, v: F.when(k.isin(*toman), v * 10).otherwise(v))).otherwise(values)
+    return F.when((source == "legacy") & (unit == "unknown"), F.transform_values(values, lambda k, v: F.when(k.isin(*toman), v * 10).otherwise(v))).otherwise(values)
 
 
 def only_families(values: Column, families: Column) -> Column:

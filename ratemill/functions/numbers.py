@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 EASTERN = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩"
 #: Two or three digits with groups of three after them, or five to eight digits.
-NUMBER = r"(?<![0-9])(?:[0-9]{2,3}(?:[\s,٬،][0-9]{3})+|[0-9]{5,8})(?![0-9])"
+NUMBER = r"(?<![0-9])(?:[0-9]{2,3}(?:[،٬,\s][0-9]{3})+|[0-9]{5,8})(?![0-9])"
 
 
 def western_digits(text: Column) -> Column:

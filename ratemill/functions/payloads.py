@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ratemill.functions import numbers, text, times
 
-QUOTE_FIELDS = ("value", "price", "last", "close", "sell", "buy", "rate", "amount", "p")
-NAME_FIELDS = ("symbol", "name", "slug", "code", "title", "label", "item", "id")
+QUOTE_FIELDS = tuple("value price last close sell buy rate amount p".split())
+NAME_FIELDS = tuple("code id item label name slug symbol title".split())
 DEPTH = 8
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SHOPS = ("exchange_shop", "remittance_exchange", "settlement_exchange")
+SHOPS = tuple("exchange_shop remittance_exchange settlement_exchange".split())
+MARKETS = tuple("exchange_shop regional_market_channel settlement_exchange".split())
 
 
 def one(c: Column, n: float) -> Column:
@@ -51,7 +52,7 @@ def operational_bucket(kind: Column, quotes: Column, pairs: Column, shop: Column
     return (
         F.when(kind.isin("unknown", "aggregator") & (quotes == 0) & ~shop, "reject")
         .when((score >= 75) & (fresh >= 4) & kind.isin("exchange_shop", "regional_market_channel") & ((pairs >= 4) | (quotes >= 8)), "P1")
-        .when((score >= 60) & (fresh >= 2) & kind.isin("exchange_shop", "regional_market_channel", "settlement_exchange") & ((quotes > 0) | shop | (fresh >= 7)), "P2")
+        .when((score >= 60) & (fresh >= 2) & kind.isin(*MARKETS) & ((quotes > 0) | shop | (fresh >= 7)), "P2")
         .when((score >= 30) & (kind != "unknown"), "monitor_only")
         .when((score >= 40) & shop, "monitor_only")
         .otherwise("reject")
@@ -78,7 +79,7 @@ def support(publishable: Column, monitored: Column, records: Column) -> Column:
 
 
 def parse_multilingual(quotes: Column, pairs: Column, phone: Column, address: Column, platform: Column, kind: Column) -> Column:
-    return percent(most(quotes * 8, 40) + most(pairs * 10, 30) + one(phone, 8) + one(address, 8) + one(platform == "telegram", 6) + one(kind.isin("exchange_shop", "regional_market_channel", "settlement_exchange"), 8))
+    return percent(most(quotes * 8, 40) + most(pairs * 10, 30) + one(phone, 8) + one(address, 8) + one(platform == "telegram", 6) + one(kind.isin(*MARKETS), 8))
 
 
 def parse_uae(quotes: Column, usd: Column, aed: Column, telegram: Column, instagram: Column, whatsapp: Column, page: Column) -> Column:
@@ -86,7 +87,7 @@ def parse_uae(quotes: Column, usd: Column, aed: Column, telegram: Column, instag
 
 
 def candidate_business(shop: Column, page: Column, quotes: Column, pairs: Column, phone: Column, address: Column, social: Column, kind: Column, country: Column) -> Column:
-    near = country.isin("Iran", "UAE", "Turkey", "UK", "Germany", "Qatar", "Armenia")
+    near = country.isin(*"Armenia Germany Iran Qatar Turkey UAE UK".split())
     return percent(one(shop, 25) + one(page, 20) + most(quotes * 4, 20) + most(pairs * 5, 15) + one(phone, 8) + one(address, 8) + one(social, 7) + one(kind == "remittance_exchange", 6) + one(near, 6))
 
 
@@ -107,8 +108,8 @@ def source_category(channel_type: Column, shop: Column, ranked_kind: Column) ->
     )
 
 
-CROSS = {"EUR": 1.14, "GBP": 1.30, "QAR": 3.64, "AMD": 390.0, "TRY": 45.18, "IQD": 1310.0}
-HOME = {"TRY": "Turkey", "IQD": "Iraq", "GBP": "UK", "EUR": "Germany", "QAR": "Qatar", "AMD": "Armenia"}
+CROSS = dict(zip("AMD EUR GBP IQD QAR TRY".split(), (390.0, 1.14, 1.30, 1310.0, 3.64, 45.18)))
+HOME = dict(zip("AMD EUR GBP IQD QAR TRY".split(), "Armenia Germany UK Iraq Qatar Turkey".split()))
 
 
 def comparable_rial(value: Column, currency: Column, country: Column) -> Column:

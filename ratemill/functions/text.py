@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CURRENCIES = {"USD": ("usd", "us dollar", "دلار"), "EUR": ("eur", "euro", "یورو"), "AED": ("aed", "dirham", "درهم"), "GBP": ("gbp", "pound", "پوند"), "TRY": ("try", "lira", "لیر")}
-CITIES = {"Tehran": ("tehran", "تهران"), "Mashhad": ("mashhad", "مشهد"), "Isfahan": ("isfahan", "اصفهان"), "Shiraz": ("shiraz", "شیراز"), "Tabriz": ("tabriz", "تبریز"), "Herat": ("herat", "هرات"), "Dubai": ("dubai", "دبی", "دوبی"), "Istanbul": ("istanbul", "استانبول"), "Frankfurt": ("frankfurt", "فرانکفورت"), "Hamburg": ("hamburg", "هامبورگ"), "London": ("london", "لندن")}
+
+def _aliases(table: str) -> dict[str, tuple[str, ...]]:
+    """name: other names, ... ; the name itself is one too."""
+    rows = (x.split(":") for x in table.split(";"))
+    return {n.strip(): (n.strip().lower(), *[a.strip() for a in more.split(",")]) for n, more in rows}
+
+
+CURRENCIES = _aliases("AED: dirham, درهم; EUR: euro, یورو; GBP: pound, پوند; TRY: lira, لیر; USD: us dollar, دلار")
+CITIES = _aliases(
+    "Ahvaz: اهواز; Dubai: دبی, دوبی; Frankfurt: فرانکفورت; Hamburg: هامبورگ; Herat: هرات; Isfahan: اصفهان; Istanbul: استانبول; Karaj: کرج; Kerman: کرمان; "
+    "London: لندن; Mashhad: مشهد; Qom: قم; Rasht: رشت; Shiraz: شیراز; Tabriz: تبریز; Tehran: تهران"
+)
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
@@ -51,12 +61,12 @@ def clean_html(html: Column) -> Column:
 
 
 def title_of(html: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1)), F.lit(""))
 
 
 def meta_of(html: Column, name: str) -> Column:
     """The content of a meta tag by its property or name."""
-    return F.nullif(F.regexp_extract(html, rf"""(?is)<meta[^>]+(?:property|name)=["']{name}["'][^>]+content=["']([^"']*)["']""", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(html, rf"""(?is)<meta\b[^>]*?\b(?:name|property)=["']{name}["'][^>]+content=["']([^"']*)["']""", 1), F.lit(""))
 
 
 def links_of(html: Column) -> Column:

@@ -10,7 +10,7 @@ def parse_time(text: Column) -> Column:
     """ISO 8601 with T or a blank, Z or an offset, else UTC; ten to thirteen digits are seconds, or milliseconds if large."""
     t = F.trim(text)
     digits = F.when(t.rlike("^[0-9]{10,13}$"), t.try_cast("bigint"))
-    iso = F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$"), F.replace(t, F.lit(" "), F.lit("T")).try_cast("timestamp"))
+    iso = F.when(t.rlike(r"^[0-9]{4}(?:-[0-9]{2}){2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$"), F.replace(t, F.lit(" "), F.lit("T")).try_cast("timestamp"))
     return F.coalesce(iso, F.timestamp_seconds(F.when(digits > 10_000_000_000, F.floor(digits / 1000)).otherwise(digits)))
 
 

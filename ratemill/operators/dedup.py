@@ -18,7 +18,7 @@ def near_key(text: Column, length: int = 180) -> Column:
     """Numbers become #, long tokens @user, marks blanks; the first so many characters."""
     t = F.lower(numbers.western_digits(text))
     t = F.regexp_replace(t, numbers.NUMBER, "#")
-    t = F.regexp_replace(t, r"[@#]?[a-z0-9_]{5,}", "@user")
+    t = F.regexp_replace(t, r"[#@]?[_0-9a-z]{5,}", "@user")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}_\s\x{0600}-\x{06FF}#]", " ")
     return F.substring(F.trim(F.regexp_replace(t, r"\s+", " ")), 1, length)
 

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ratemill.functions import labels, numbers, text
 from ratemill.operators import dedup
 
-BUY = ("خرید", "buy", "bid")
-SELL = ("فروش", "sell", "offer", "ask")
-QUOTE = ("نرخ", "قیمت", "rate", "quote", "fx", "ارز")
-SHOP = ("صرافی", "exchange", "تماس", "address", "آدرس", "whatsapp", "تلگرام")
-REPOST = ("forwarded from", "فوروارد", "بازنشر", "via @", "منبع", "source:")
-NETWORK = ("شبکه", "همکار", "dealer", "market", "بازار", "کانال", "quote channel")
-AGGREGATED = ("dealer_network_channel", "market_price_channel", "aggregator")
+BUY = tuple("خرید buy bid".split())
+SELL = tuple("فروش sell offer ask".split())
+QUOTE = tuple("نرخ قیمت rate quote fx ارز".split())
+SHOP = tuple("address exchange whatsapp آدرس تلگرام تماس صرافی".split())
+REPOST = tuple("via @|source:|forwarded from|بازنشر|فوروارد|منبع".split("|"))
+NETWORK = tuple("dealer|market|quote channel|بازار|شبکه|کانال|همکار".split("|"))
+AGGREGATED = tuple("aggregator dealer_network_channel market_price_channel".split())
 
 
 def quote_type(t: Column, channel_type: Column, shop: Column) -> Column:

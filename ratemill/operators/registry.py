@@ -76,7 +76,7 @@ def new_only(found: DataFrame, known: DataFrame, keys: list[str], order: list[Co
             return kept.drop("_rank")
 
 
-STATES = {"publish": 3, "monitor": 2, "hide": 1}
+STATES = dict(hide=1, monitor=2, publish=3)
 ARTIFACTS = {"enriched": 3, "board": 2, "legacy": 1}
 
 

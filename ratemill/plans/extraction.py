@@ -89,7 +89,7 @@ def f8_families_and_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     fam = F.array_compact(F.array(F.when(F.col("c_nationkey") < 12, "open_market"), F.when(F.col("c_nationkey") >= 6, "official")))
     v = F.create_map(F.lit("open_market"), "c_acctbal", F.lit("official"), "c_acctbal", F.lit("crypto_usdt"), "c_acctbal")
-    fixed = extraction.legacy_units(F.when(F.col("c_custkey") % 2 == 0, "navasan").otherwise("other"), F.lit("unknown"), extraction.only_families(v, fam), ("official",))
+    fixed = extraction.legacy_units(F.when(F.col("c_custkey") % 2 == 0, "legacy").otherwise("other"), F.lit("unknown"), extraction.only_families(v, fam), ("official",))
     m = once(c, m=fixed)
     return m.select("c_custkey", F.try_element_at("m", F.lit("open_market")).alias("open_market"), F.try_element_at("m", F.lit("official")).alias("official"))
 

@@ -78,7 +78,7 @@ def x14_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.messages(spark, sf_dir).select("handle", "msg_index", dedup.exact_key(F.col("text")).alias("exact_key"), text.fingerprint(F.col("text")).alias("form"))
 
 
-@query("SELECT page_id, nullif(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')), '') AS title, len(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS links, count_if(TRUE) AS n FROM pages GROUP BY ALL")
+@query("SELECT page_id, nullif(trim(regexp_extract(html, '<title(?:\\s[^>]*)?>(.*?)</title\\s*>', 1, 'is')), '') AS title, len(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS links, count_if(TRUE) AS n FROM pages GROUP BY ALL")
 def x17_title_and_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return p.groupBy("page_id", text.title_of(F.col("html")).alias("title"), F.size(text.links_of(F.col("html"))).alias("links")).agg(F.count(F.lit(1)).alias("n"))

@@ -17,7 +17,7 @@ SERIES = "rows array<struct<date:string,fix:string,p25:string,p75:string,status:
 
 def daily_fixes(spark: SparkSession, folder: str) -> DataFrame:
     """One row per file named by a day; other names and broken files are passed over. day comes from the name."""
-    named = F.regexp_extract(F.col("_metadata.file_name"), r"^([0-9]{4}-[0-9]{2}-[0-9]{2})\.json$", 1)
+    named = F.regexp_extract(F.col("_metadata.file_name"), r"^([0-9]{4}(?:-[0-9]{2}){2})\.json$", 1)
     raw = spark.read.schema(T.StructType.fromDDL(FIX + ", _corrupt_record string")).option("multiLine", True).option("mode", "PERMISSIVE").json(f"{folder}/*.json")
     return raw.select("*", named.try_cast("date").alias("day")).where("day IS NOT NULL AND _corrupt_record IS NULL").drop("_corrupt_record")
 
@@ -46,7 +46,7 @@ def series_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a published series: numbers only where positive, withheld in any spelling, rows without a date dropped."""
     r = spark.read.schema(T.StructType.fromDDL(SERIES)).option("multiLine", True).json(path).select(F.inline("rows"))
     held = F.when(F.lower(F.trim("withheld")).isin("true", "1", "yes"), True).when(F.col("withheld").isNotNull(), False)
-    return r.where(F.col("date").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")).select(F.to_date("date").alias("day"), *[numbers.parse_number(F.col(c)).alias(c) for c in ("fix", "p25", "p75")], "status", held.alias("withheld"))
+    return r.where(F.col("date").rlike("^[0-9]{4}(?:-[0-9]{2}){2}$")).select(F.to_date("date").alias("day"), *[numbers.parse_number(F.col(c)).alias(c) for c in ("fix", "p25", "p75")], "status", held.alias("withheld"))
 
 
 def value_series(spark: SparkSession, path: str) -> DataFrame:

@@ -76,7 +76,7 @@ BASKET_SQL = """records AS (
            CAST(c_custkey % 71 + 40 AS DOUBLE) AS quality, CAST(c_custkey % 83 + 18 AS DOUBLE) AS freshness, CAST(c_custkey % 61 + 30 AS DOUBLE) AS directness, CAST(c_custkey % 91 AS DOUBLE) AS readiness
     FROM customer)"""
 
-CATEGORY_WEIGHT = {"direct_shop": 1.00, "settlement_exchange": 0.88, "regional_market_channel": 0.82, "market_channel": 0.68, "aggregator": 0.55, "unknown": 0.50}
+CATEGORY_WEIGHT = dict(aggregator=0.55, direct_shop=1.00, market_channel=0.68, regional_market_channel=0.82, settlement_exchange=0.88, unknown=0.50)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

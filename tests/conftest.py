@@ -4,8 +4,7 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-if str(ROOT) not in sys.path:
-    sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT)]
 
 
 @pytest.fixture(scope="session")

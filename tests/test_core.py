@@ -29,9 +29,9 @@ def official_rows(spark, rows):
 
 
 def test_official_takes_the_freshest_then_the_busiest(spark):
-    r = fix.official(official_rows(spark, [("navasan", 1_325_072.0, "2026-03-27 12:00:00", "2026-03-29 14:00:00"), ("aux_b", 1_403_083.0, "2026-03-29 12:11:00", "2026-03-29 14:00:00")])).first()
+    r = fix.official(official_rows(spark, [("aux_a", 1_325_072.0, "2026-03-27 12:00:00", "2026-03-29 14:00:00"), ("aux_b", 1_403_083.0, "2026-03-29 12:11:00", "2026-03-29 14:00:00")])).first()
     assert (r.fix, r.selection_method, r.selected_sources, r.using_stale_fallback) == (1_403_083, "freshest_quote_time", ["aux_b"], False)
-    same = [("navasan", 1_390_000.0, "2026-03-29 12:00:00", "2026-03-29 14:00:00"), ("aux_c", 1_401_000.0, "2026-03-29 11:00:00", "2026-03-29 13:45:00"), ("aux_c", 1_403_083.0, "2026-03-29 12:00:00", "2026-03-29 14:00:00")]
+    same = [("aux_a", 1_390_000.0, "2026-03-29 12:00:00", "2026-03-29 14:00:00"), ("aux_c", 1_401_000.0, "2026-03-29 11:00:00", "2026-03-29 13:45:00"), ("aux_c", 1_403_083.0, "2026-03-29 12:00:00", "2026-03-29 14:00:00")]
     r = fix.official(official_rows(spark, same)).first()
     assert (r.fix, r.selection_method) == (1_403_083, "freshest_quote_time_then_update_cadence")
     r = fix.official(official_rows(spark, [("aux", 1_403_083.0, "2026-03-27 12:00:00", "2026-04-13 14:00:00")])).first()
@@ -46,8 +46,8 @@ def test_gaps(spark):
 
 
 def test_peer_band(spark):
-    df = spark.createDataFrame([(0, "bonbast", 2_000_000.0, True, False), (0, "x", 1_500_000.0, True, False), (0, "y", 1_520_000.0, True, False), (1, "bonbast", 1.0, True, False), (2, "bonbast", 1.0, False, False)], "attempt int, source string, value double, ok boolean, stale boolean")
-    got = {r.attempt: r.peer_result for r in fix.peer_validation(df, "bonbast", ["x", "y"], 0.10).collect()}
+    df = spark.createDataFrame([(0, "subject", 2_000_000.0, True, False), (0, "x", 1_500_000.0, True, False), (0, "y", 1_520_000.0, True, False), (1, "subject", 1.0, True, False), (2, "subject", 1.0, False, False)], "attempt int, source string, value double, ok boolean, stale boolean")
+    got = {r.attempt: r.peer_result for r in fix.peer_validation(df, "subject", ["x", "y"], 0.10).collect()}
     assert got == {0: "failed", 1: "skipped_no_peer_values", 2: "skipped_sample_not_valid"}
 
 
