@@ -109,8 +109,17 @@ def fit_budget(lens: np.ndarray, counts: np.ndarray, budget: int, cells: int = C
         share = budget // give_back if give_back else 0
         if budget - share > cells and most >= 0:
             break
-        take = np.where(lens > 0, np.array([c * share // total for c in counts.tolist()], np.int64), counts)
-        take = _fill(lens, counts, take, budget - int((lens * take).sum()), cells)
+        parts = [divmod(c * share, total) for c in counts.tolist()]
+        take = np.where(lens > 0, np.array([q for q, _ in parts], np.int64), counts)
+        left = budget - int((lens * take).sum())
+        # one more of the lengths that rounding cut most, until the rest fits the table
+        for i in sorted(range(len(lens)), key=lambda i: (-parts[i][1], -lens[i])):
+            if left < cells:
+                break
+            if take[i] < counts[i] and lens[i] <= left:
+                take[i] += 1
+                left -= int(lens[i])
+        take = _fill(lens, counts, take, left, cells)
         got = int((lens * take).sum())
         if got > most:
             best, most = take, got
@@ -120,7 +129,7 @@ def fit_budget(lens: np.ndarray, counts: np.ndarray, budget: int, cells: int = C
 
 
 def _fill(lens: np.ndarray, counts: np.ndarray, take: np.ndarray, left: int, cells: int) -> np.ndarray:
-    # whole documents of each length, the longest first, until the rest fits the table
+    # lengths beyond the table: whole documents, the longest first
     order = np.argsort(-lens, kind="stable")
     for i in order:
         if left < cells:
@@ -133,16 +142,17 @@ def _fill(lens: np.ndarray, counts: np.ndarray, take: np.ndarray, left: int, cel
     spare = counts - take
     steps, reach, goal = [], 1, 1 << left
     full = (1 << (left + 1)) - 1
-    for i in order[::-1]:
-        k, size = int(min(spare[i], left // lens[i] if lens[i] else 0)), 1
-        while k > 0 and not reach & goal:
-            m = min(size, k)
-            steps.append((int(i), m, reach))
-            reach |= (reach << (m * int(lens[i]))) & full
-            k -= m
-            size *= 2
-        if reach & goal:
-            break
+    rest = [min(int(spare[i]), left // int(n)) if (n := lens[i]) else 0 for i in range(len(lens))]
+    mixed = sorted(range(len(lens)), key=lambda i: i * 2654435761 & 0xFFFFFFFF)  # long and short ones in turn
+    size = 1
+    while any(rest) and not reach & goal:
+        for i in mixed:
+            if rest[i] and not reach & goal:
+                m = min(size, rest[i])
+                steps.append((i, m, reach))
+                reach |= (reach << (m * int(lens[i]))) & full
+                rest[i] -= m
+        size *= 2
     at = reach.bit_length() - 1
     for i, m, before in reversed(steps):
         if not before >> at & 1:
