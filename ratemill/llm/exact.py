@@ -235,10 +235,13 @@ def _keyed(docs: DataFrame, hot_rows: int) -> tuple[DataFrame, bool]:
     keys = docs.select(F.octet_length("text").alias("n"), F.xxhash64("text").alias("h")).where("n IS NOT NULL")
     hot = [tuple(r) for r in keys.groupBy("n", "h").count().where(F.col("count") > hot_rows).select("n", "h").collect()]
     keyed = pack(docs, doc=docs["doc_id"], n=F.octet_length("text"), h=F.xxhash64("text")).where("n IS NOT NULL")
-    salt = F.lit(0)
-    if hot:
-        salt = F.when(F.struct("n", "h").isin([F.struct(F.lit(n), F.lit(h).cast("long")) for n, h in hot]), 1 + F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(SALTS))).otherwise(0).cast("int")
-    return keyed.withColumn("salt", salt), bool(hot)
+    if not hot:
+        return keyed.withColumn("salt", F.lit(0)), False
+    # at most one key in hot_rows rows is hot; the optimizer broadcasts the list while it is small
+    few = docs.sparkSession.createDataFrame(hot, "hot_n int, hot_h long").withColumn("is_hot", F.lit(True))
+    joined = keyed.join(few, (F.col("n") == F.col("hot_n")) & (F.col("h") == F.col("hot_h")), "left")
+    salt = F.when(F.col("is_hot"), 1 + F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(SALTS))).otherwise(0).cast("int")
+    return joined.select("row", "doc", "n", "h", salt.alias("salt")), True
 
 
 def owners(docs: DataFrame, hot_rows: int = HOT_ROWS, trie_bytes: int = TRIE_BYTES) -> DataFrame:
