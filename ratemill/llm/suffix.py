@@ -5,7 +5,8 @@ are, meet under one anchor; neighbouring windows of one anchor travel as one seg
 dropped before any text moves, and equal segments are folded. Over the segments of its anchors a task builds a
 Burrows-Wheeler transform and expands intervals breadth-first by backward extension, which finds the common prefixes of
 neighbouring suffixes by increasing length; it stops at LENGTH, and the pairs that are left have at least that. All
-windows are treated: the anchors only say where each is compared.
+windows are treated: the anchors only say where each is compared. Anchors with more occurrences than a task can hold have
+their windows compared one by one, by hash.
 
 Words are what white space (ASCII) parts; how much white space parts them doesn't matter. Repeats within a document count too.
 
@@ -28,6 +29,8 @@ LENGTH = 50
 ANCHOR = 12
 #: Words of segments that are put into one transform; the segments of an anchor are never parted.
 BLOCK = 1 << 20
+#: Occurrences from which an anchor is too many segments for one task. Its windows are compared by 128-bit hashes instead, each where its own hash sends it.
+HOT_ANCHOR = 2_000_000
 
 
 def _lists(first: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -165,7 +168,22 @@ def _expand(segs: pa.Array, times: np.ndarray, length: int) -> tuple[np.ndarray,
     return starts[begin[head]] - at[owner], ends[begin[tail] + length - 1] - at[owner], np.searchsorted(owner, np.arange(len(n_words) + 1))
 
 
-def passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK) -> DataFrame:
+def _windows(segs: pa.Array, length: int) -> tuple[np.ndarray, ...]:
+    """Of all windows: the segment, first byte, end and two hashes."""
+    data, at = text_bytes(segs)
+    starts, ends, first = spans(white(data), at)
+    seg = np.repeat(np.arange(len(segs)), np.diff(first))
+    words = span_hash(prefix_sums(data), starts, ends)
+    begin = np.arange(len(words))
+    begin = begin[begin + length <= first[1:][seg]]
+    one, two = np.zeros(len(begin), np.uint64), np.zeros(len(begin), np.uint64)
+    for j in range(length):
+        one = mix(one + words[begin + j])
+        two = two * np.uint64(0x9E3779B97F4A7C15) + mix(words[begin + j] ^ np.uint64(0xD6E8FEB86659FD93))
+    return seg[begin], starts[begin] - at[seg[begin]], ends[begin + length - 1] - at[seg[begin]], one.view(np.int64), mix(two).view(np.int64)
+
+
+def passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """doc_id, first_byte and end_byte of every maximal passage all of whose windows of length words occur elsewhere too."""
     anchor = min(anchor, length)
     slim = docs.select("doc_id", F.col("text"), content_id(F.col("text")).alias("cid")).where("text IS NOT NULL")
@@ -178,12 +196,12 @@ def passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block:
 
     ident = slim.schema["doc_id"].dataType.simpleString()
     cells = written(slim.mapInArrow(cut_up, f"doc_id {ident}, cid binary, h array<bigint>, a array<int>, b array<int>, times array<int>").select("doc_id", "cid", F.inline(F.arrays_zip("h", "a", "b", "times"))))
-    shared = cells.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h")
-    wanted = cells.join(shared, "h").groupBy("doc_id", "cid").agg(F.collect_list(F.struct("h", "a", "b")).alias("parts"))
+    shared = cells.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h", (F.col("n") > hot_anchor).alias("hot"))
+    wanted = cells.join(shared, "h").groupBy("doc_id", "cid").agg(F.collect_list(F.struct("h", "hot", "a", "b")).alias("parts"))
     d, w = slim.alias("d"), wanted.alias("w")
     taken = d.join(w, F.col("d.cid").eqNullSafe(F.col("w.cid")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.doc_id", "d.cid", F.col("d.text").cast("binary").alias("bytes"), "parts")
-    segs = written(taken.select("doc_id", "cid", F.inline(F.transform("parts", lambda p: F.struct(p["h"].alias("h"), p["a"].alias("a"), F.substring("bytes", p["a"] + 1, p["b"] - p["a"]).alias("seg"))))))
-    folded = segs.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("n"))
+    segs = written(taken.select("doc_id", "cid", F.inline(F.transform("parts", lambda p: F.struct(p["h"].alias("h"), p["hot"].alias("hot"), p["a"].alias("a"), F.substring("bytes", p["a"] + 1, p["b"] - p["a"]).alias("seg"))))))
+    folded = segs.groupBy("h", "hot", "seg").agg(F.count(F.lit(1)).alias("n"))
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches, block):
@@ -192,7 +210,19 @@ def passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block:
             out = pa.RecordBatch.from_arrays([batch.column("h"), seg, _lists(first, a, pa.int32()), _lists(first, b, pa.int32())], names=["h", "seg", "from", "to"])
             yield out.filter(pa.array(np.diff(first) > 0))
 
-    found = folded.repartition("h").sortWithinPartitions("h").mapInArrow(transform, "h bigint, seg binary, from array<int>, to array<int>").select("h", content_id(F.col("seg")).alias("sid"), "from", "to")
+    few = folded.where("NOT hot").select("h", "seg", "n")
+    found = few.repartition("h").sortWithinPartitions("h").mapInArrow(transform, "h bigint, seg binary, from array<int>, to array<int>").select("h", content_id(F.col("seg")).alias("sid"), "from", "to")
+
+    def each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole.set_column(1, "seg", whole.column("seg").cast(pa.large_binary())), "seg"):
+                row, a, b, one, two = _windows(batch.column("seg"), length)
+                some = batch.select(["h", "sid", "n"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(one), pa.array(two)], names=["h", "sid", "n", "from", "to", "one", "two"])
+
+    many = folded.where("hot").select("h", "seg", content_id(F.col("seg")).alias("sid"), "n").mapInArrow(each_window, "h bigint, sid binary, n bigint, from int, to int, one bigint, two bigint")
+    twice = many.groupBy("one", "two").agg(F.sum("n").alias("all")).where("all > 1").select("one", "two")
+    found = found.unionByName(many.join(twice, ["one", "two"]).groupBy("h", "sid").agg(F.collect_list(F.struct("from", "to")).alias("w")).select("h", "sid", F.col("w.from").alias("from"), F.col("w.to").alias("to")))
     placed = segs.select("doc_id", "cid", "h", "a", content_id(F.col("seg")).alias("sid")).join(found, ["h", "sid"])
     spots = placed.select("doc_id", "cid", "a", F.inline(F.arrays_zip("from", "to"))).select("doc_id", "cid", (F.col("a") + F.col("from")).alias("first_byte"), (F.col("a") + F.col("to")).alias("end_byte"))
     order = Window.partitionBy("doc_id", "cid").orderBy("first_byte", "end_byte")

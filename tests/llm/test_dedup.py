@@ -179,13 +179,13 @@ def test_repeated_symbols(symbols, length, marks):
     assert suffix.repeated(np.array(a), length).tolist() == [i + length <= len(a) and c[tuple(a[i : i + length])] > 1 for i in range(len(a))]
 
 
-@pytest.mark.parametrize(("length", "anchor", "block"), [(8, 3, 1 << 20), (5, 5, 60), (12, 4, 300), (1, 12, 100)])
-def test_passages(spark, length, anchor, block):
+@pytest.mark.parametrize(("length", "anchor", "block", "hot"), [(8, 3, 1 << 20, 10**9), (5, 5, 60, 10), (12, 4, 300, 0), (1, 12, 100, 20)])
+def test_passages(spark, length, anchor, block, hot):
     r = random.Random(length)
     common = [" ".join(f"c{r.randrange(30)}" for _ in range(20)) for _ in range(4)]
     texts = [" ".join([f"x{r.randrange(10**6)}" for _ in range(r.randrange(12))] + [r.choice(common)] + [f"y{r.randrange(50)}" for _ in range(r.randrange(12))]) for _ in range(50)] + ["ab " * 40, "ab  ab\nab", ""]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
-    assert {tuple(x) for x in suffix.passages(df, length, anchor, block).collect()} == brute_passages(df, length)
+    assert {tuple(x) for x in suffix.passages(df, length, anchor, block, hot).collect()} == brute_passages(df, length)
 
 
 def test_passages_odd_rows(spark):
