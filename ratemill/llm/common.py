@@ -148,6 +148,38 @@ def seeded(seed: int, n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * _BASE + np.uint64(seed)) | np.uint64(1)
 
 
+class Recent:
+    """What a worker has found for strings lately: two generations, so that what is used stays."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def missing(self, keys: list[str]) -> list[str]:
+        """Those of keys for which nothing is known; all others can be read until the next call."""
+        if len(self.new) > self.size:
+            self.old, self.new = self.new, {}
+        new, old, out = self.new, self.old, []
+        for k in keys:
+            if k not in new:
+                v = old.get(k)
+                if v is None:
+                    out.append(k)
+                else:
+                    new[k] = v
+        return out
+
+
+_RECENT: dict[str, Recent] = {}
+
+
+def recent(name: str, size: int) -> Recent:
+    """The memory of that name; a worker keeps one at a time."""
+    if name not in _RECENT:
+        _RECENT.clear()
+        _RECENT[name] = Recent(size)
+    return _RECENT[name]
+
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 

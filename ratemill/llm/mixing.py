@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratemill.llm.common import chunks, content_id, cut, pack
+from ratemill.llm.common import chunks, content_id, cut, pack, recent
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary cuts a text before it merges bytes.
@@ -36,24 +36,27 @@ SEED = 1_009
 CELLS = 1 << 16
 #: Units of one source and length that one task ranks; larger classes are split by hash, and only the split that the cut runs through is ranked.
 CLASS_ROWS = 100_000
+CHUNK = 4 << 20
+#: Distinct pieces that a worker remembers in each of two generations.
+REMEMBERED = 120_000
 
 _BESIDE_BLANKS = r"^[\s\v\x{85}\pZ]|[\s\v\x{85}\pZ]$|^$"
-_COUNTERS: dict[str, tuple] = {}
+_ENCODERS: dict[str, object] = {}
 
 
-def _encoder(path: str) -> tuple:
-    if path not in _COUNTERS:
+def _encoder(path: str) -> object:
+    if path not in _ENCODERS:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(path, "rb"))}
-        _COUNTERS[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), {}
-    return _COUNTERS[path]
+        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[path]
 
 
 def count_tokens(text: pa.Array, path: str = TOKENIZER) -> np.ndarray:
     """Tokens of each text. A text is cut before every single blank that stands between two other characters, where
     the pattern always cuts too, and each distinct piece is encoded once."""
-    encoding, known = _encoder(path)
+    encoding = _encoder(path)
     text = text.fill_null("") if text.null_count else text
     lists = pc.split_pattern(text, " ")
     pieces = lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py())
@@ -71,9 +74,9 @@ def count_tokens(text: pa.Array, path: str = TOKENIZER) -> np.ndarray:
     seen[code[~np.repeat(rough, np.diff(at))]] = True
     used = np.flatnonzero(seen)
     keys = [words[c >> 1] if c & 1 else " " + words[c >> 1] for c in used.tolist()]
-    if len(known) > 1_000_000:
-        known.clear()
-    new = [w for w in keys if w not in known]
+    memory = recent(path, REMEMBERED)
+    new = memory.missing(keys)
+    known = memory.new
     encode = encoding._core_bpe.encode_ordinary if hasattr(encoding, "_core_bpe") else encoding.encode_ordinary
     known.update([(w, len(encode(w))) for w in new])
     counts = np.zeros(2 * len(words), np.int64)
@@ -89,7 +92,7 @@ def lengths(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, "text", 8 << 20):
+            for batch in chunks(whole, "text", CHUNK):
                 n = count_tokens(batch.column("text"), tokenizer)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("cid"), pa.array(n)], names=["doc_id", "source", "cid", "n_tokens"])
 

@@ -25,13 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratemill.llm.common import chunks, text_bytes
+from ratemill.llm.common import chunks, recent, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-CHUNK = 16 << 20
-#: Distinct cuts that a worker remembers.
-REMEMBERED = 800_000
+CHUNK = 4 << 20
+#: Distinct cuts that a worker remembers in each of two generations.
+REMEMBERED = 120_000
 _END = ""
 _UNITS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -96,7 +96,7 @@ class Machine:
             node[_END] = i
         self.crossing = any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.path_name = path
         shown = [p.replace(BLANK, " ").encode() if kind in (1, 4) else bytes([int(p[3:5], 16)]) if kind == 6 else b" \xe2\x81\x87 " if kind == 2 else b"" for p, kind in zip(self.pieces, kinds)]
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
         self.shown_at = np.concatenate([[0], np.cumsum([len(x) for x in shown])])
@@ -189,14 +189,6 @@ class Machine:
             out.append(self.ids[p])
         return (*out, *(head if joined else head[1:]))
 
-    def encode_unit(self, unit: str) -> tuple[int, ...]:
-        got = self.known.get(unit)
-        if got is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            got = self.known[unit] = self.path(unit)
-        return got
-
     def normalise(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
@@ -204,7 +196,9 @@ class Machine:
 
     def encode(self, text: str) -> list[int]:
         whole = self.normalise(text)
-        return [i for unit in ([whole] if self.crossing and whole else _UNITS.findall(whole)) for i in self.encode_unit(unit)]
+        units = [whole] if self.crossing and whole else _UNITS.findall(whole)
+        found = dict(zip(some := sorted(set(units)), self.paths(some)))
+        return [i for unit in units for i in found[unit]]
 
     def encode_batch(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of all texts and the first of each; NULL counts as empty."""
@@ -222,11 +216,11 @@ class Machine:
         seen = np.zeros(len(coded.dictionary), bool)
         seen[ids[np.repeat(plain, np.diff(at))]] = True
         units = [BLANK + w if s else "" for w, s in zip(coded.dictionary.to_pylist(), seen.tolist())]
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        new = sorted({u for u in units if u and u not in self.known})
-        self.known.update(zip(new, self.paths(new)))
-        paths = [self.known[u] if u else () for u in units]
+        memory = recent(self.path_name, REMEMBERED)
+        new = sorted(set(memory.missing([u for u in units if u])))
+        known = memory.new
+        known.update(zip(new, self.paths(new)))
+        paths = [known[u] if u else () for u in units]
         sizes = np.array([len(p) for p in paths], np.int64)
         flat = np.fromiter((i for p in paths for i in p), np.int32, int(sizes.sum()))
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
