@@ -3,8 +3,9 @@
 A text's k-mers are its runs of K words, each labelled with its occurrence (first, second, ...). A sketch takes the
 PICKS labelled k-mers that a seeded hash puts first and keeps them in text order, so that, unlike MinHash, it
 is sensitive to order and thereby to edit similarity. Texts that share one of the SKETCHES sketches are compared with
-the leader of that bucket, those unlike it with each other, by a banded edit-distance alignment of their words:
-they are near copies if 1 - distance / words of the longer >= SIMILARITY. Groups are the connected components.
+the leader of that bucket, and those unlike it with all others of the bucket that they aren't joined with yet, by a banded
+edit-distance alignment of their words: they are near copies if 1 - distance / words of the longer >= SIMILARITY.
+Pairs whose lengths alone rule that out aren't aligned. Groups are the connected components.
 
 Defined results: a NULL text belongs to no group; texts that are equal, empty ones too, are one group; a text without
 words has no sketch; a text of fewer than K words is one k-mer. A group is named by its smallest doc_id, NULL last,
@@ -97,7 +98,8 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             rows, values = sketches(batch.column("text"))
             flat = pa.array(values.view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * values.shape[1]), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(rows)), lists], names=["cid", "sketch"])
+            n_words = np.diff(_words(batch.column("text"))[1])[rows]
+            yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(rows)), pa.array(n_words), lists], names=["cid", "n", "sketch"])
 
 
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -251,21 +253,30 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
+def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """cid and text of the contents that pairs name, once each."""
+    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    return cut(texts.select("cid", "text").join(wanted, "cid", "left_semi").dropDuplicates(["cid"]))
+
+
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Every row with text as doc_id, cid; and cid, root of the contents that have near copies."""
     texts = docs.select(content_id(F.col("text")).alias("cid"), F.col("doc_id"), F.col("text")).where("text IS NOT NULL")
-    sketched = texts.select("cid", "text").mapInArrow(_sketch_batches, "cid binary, sketch array<bigint>")
-    cells = cut(sketched.select("cid", F.explode("sketch").alias("bucket")).groupBy("bucket", "cid").agg(F.lit(1).alias("one")).select("bucket", "cid"))
-    leaders = cells.groupBy("bucket").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a <> z").select("bucket", "a")
-    met = cut(cells.join(leaders, "bucket").where("cid <> a").select("bucket", "a", F.col("cid").alias("b")))
-    star = met.select("a", "b").distinct()
-    wanted = star.select(F.col("a").alias("cid")).unionByName(star.select(F.col("b").alias("cid"))).distinct()
-    some = cut(texts.select("cid", "text").join(wanted, "cid", "left_semi").dropDuplicates(["cid"]))
-    first = cut(_compare(star, some, similarity))
-    # those unlike their leader are compared with each other, bucket by bucket
-    rest = met.join(first.where("NOT ok").select("a", "b"), ["a", "b"]).select("bucket", "b")
-    pairs = rest.select("bucket", F.col("b").alias("a")).join(rest, "bucket").where("a < b").select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _compare(pairs, some, similarity)
+    sketched = texts.select("cid", "text").mapInArrow(_sketch_batches, "cid binary, n bigint, sketch array<bigint>")
+    cells = cut(sketched.select("cid", "n", F.explode("sketch").alias("bucket")).groupBy("bucket", "cid").agg(F.first("n").alias("n")))
+    leaders = cells.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", F.col("least.cid").alias("a"), F.col("least.n").alias("n_a"))
+    met = cut(cells.join(leaders, "bucket").where("cid <> a").select("bucket", "a", "n_a", F.col("cid").alias("b"), F.col("n").alias("n_b")))
+    near_in_length = F.abs(F.col("n_a") - F.col("n_b")) <= F.floor(F.lit(1 - similarity) * F.greatest("n_a", "n_b") + 1e-9)  # as in similar()
+    star = met.where(near_in_length).select("a", "b").distinct()
+    first = cut(_compare(star, _texts_of(star, texts), similarity))
+    # those unlike their leader are compared with all of the bucket that they aren't joined with: no pair of a bucket is left open
+    roots = components(first.where("ok")).select(F.col("node").alias("b"), "root")
+    known = met.join(first.where("ok").select("a", "b", F.lit(True).alias("like")), ["a", "b"], "left").join(roots, "b", "left")
+    members = cut(known.select("bucket", "b", "n_b", F.coalesce("like", F.lit(False)).alias("like"), F.coalesce("root", "b").alias("root")))
+    unlike = members.where("NOT like").select("bucket", F.col("b").alias("a"), F.col("n_b").alias("n_a"), F.col("root").alias("root_a"))
+    open_ = unlike.join(members, "bucket").where("root <> root_a AND (like OR a < b)").where(near_in_length)
+    pairs = cut(open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    second = _compare(pairs, _texts_of(pairs, texts), similarity)
     edges = first.where("ok").select("a", "b").unionByName(second.where("ok").select("a", "b"))
     return texts.select("doc_id", "cid"), components(edges).select(F.col("node").alias("cid"), "root")
 

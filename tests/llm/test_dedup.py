@@ -122,6 +122,18 @@ def test_near_groups_find_what_brute_force_finds(spark):
     assert all(got[i] == i for i in range(len(texts)) if i not in joined)
 
 
+def test_near_groups_of_one_original_and_many_copies(spark):
+    r = random.Random(11)
+    texts = []
+    for _ in range(3):
+        base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+        texts += [" ".join(base)] + [" ".join(f"n{r.randrange(10**6)}" if i in edited else w for i, w in enumerate(base)) for edited in (set(r.sample(range(120), 16)) for _ in range(100))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    got = {x.doc_id: x.group_id for x in near.near_groups(df).collect()}
+    # each copy is within 0.8 of its original only
+    assert sum(got[i] == i // 101 * 101 for i in got) >= 0.98 * len(texts)
+
+
 def test_near_odd_rows(spark):
     df = odd(spark, clashing=True)
     got = near.near_groups(df).collect()
