@@ -7,6 +7,10 @@ the leader of that bucket, and those unlike it with all others of the bucket tha
 edit-distance alignment of their words: they are near copies if 1 - distance / words of the longer >= SIMILARITY.
 Pairs whose lengths alone rule that out aren't aligned. Groups are the connected components.
 
+Few words leave a sketch little to hold on to. Texts of up to EXACT_WORDS words therefore also meet under every
+sequence of words that a near copy may have in common with them, which misses none, and texts of up to FEW_WORDS words
+under sketches of SMALL_PICKS k-mers.
+
 Defined results: a NULL text belongs to no group; texts that are equal, empty ones too, are one group; a text without
 words has no sketch; a text of fewer than K words is one k-mer. A group is named by its smallest doc_id, NULL last,
 and keeps one row, the first by (doc_id, content).
@@ -14,6 +18,8 @@ and keeps one row, the first by (doc_id, content).
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +32,11 @@ from ratemill.llm.common import chunks, content_id, cut, mix, pack, prefix_sums,
 K = 2
 PICKS = 3
 SKETCHES = 24
+SMALL_PICKS = 2
+#: Texts of up to so many words also have sketches of SMALL_PICKS.
+FEW_WORDS = 64
+#: Pairs of texts of up to so many words are found without fail; at 14 words and 0.8 that takes 91 keys a text.
+EXACT_WORDS = 14
 SIMILARITY = 0.8
 SEED = 20_240
 #: Errors up to which alignment follows diagonals; beyond, it fills the band row by row.
@@ -92,12 +103,56 @@ def sketches(col: pa.Array, k: int = K, picks: int = PICKS, count: int = SKETCHE
     return rows, out
 
 
-def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def common_parts(col: pa.Array, similarity: float = SIMILARITY, longest: int = EXACT_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys of the texts of 1 to longest words: two of them that are that similar share a key at least.
+
+    If the longer has m words, they differ in most = (1 - similarity) * m words at most, so m - most words of either, in
+    order, are those of the other. The keys are all sequences of so many words of a text, for each m that can be.
+    """
+    words, first = _words(col)
+    words, n_words = words.view(np.uint64), np.diff(first)
+    shared = [m - _most(m, similarity) for m in range(longest + 1)]
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for n in range(1, longest + 1):
+        own = np.flatnonzero(n_words == n)
+        if not len(own):
+            continue
+        grid = words[first[own][:, None] + np.arange(n)]
+        for size in sorted({shared[m] for m in range(n, longest + 1) if shared[m] <= n}):
+            picked = np.array(list(itertools.combinations(range(n), size)), np.int64).reshape(-1, size)
+            key = np.full((len(own), len(picked)), np.uint64(0xC0FFEE + size), np.uint64)
+            for j in range(size):
+                key = mix(key * np.uint64(0x100000001B3) + grid[:, picked[:, j]])
+            rows.append(np.repeat(own, len(picked)))
+            keys.append(key.ravel())
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _most(n: int, similarity: float) -> int:
+    """Words in which near copies may differ if the longer has n, as in similar()."""
+    return int((1 - similarity) * n + 1e-9)
+
+
+def buckets(col: pa.Array, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers, ascending, and all keys under which the texts meet others."""
+    rows, values = sketches(col)
+    n_words = np.diff(_words(col)[1])
+    few = np.flatnonzero((n_words > 0) & (n_words <= FEW_WORDS))
+    at, small = sketches(col.take(pa.array(few)), picks=SMALL_PICKS, seed=SEED + 1)
+    short, parts = common_parts(col, similarity)
+    row = np.concatenate([np.repeat(rows, values.shape[1]), np.repeat(few[at], small.shape[1]), short])
+    key = np.concatenate([values.ravel(), small.ravel(), parts])
+    order = np.argsort(row, kind="stable")
+    return row[order], key[order]
+
+
+def _sketch_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in chunks(whole, "text"):
-            rows, values = sketches(batch.column("text"))
-            flat = pa.array(values.view(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * values.shape[1]), flat)
+            row, key = buckets(batch.column("text"), similarity)
+            rows = np.unique(row)
+            begin = np.append(np.searchsorted(row, rows), len(row)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(begin), pa.array(key.view(np.int64)))
             n_words = np.diff(_words(batch.column("text"))[1])[rows]
             yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(rows)), pa.array(n_words), lists], names=["cid", "n", "sketch"])
 
@@ -262,7 +317,7 @@ def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Every row with text as doc_id, cid; and cid, root of the contents that have near copies."""
     texts = docs.select(content_id(F.col("text")).alias("cid"), F.col("doc_id"), F.col("text")).where("text IS NOT NULL")
-    sketched = texts.select("cid", "text").mapInArrow(_sketch_batches, "cid binary, n bigint, sketch array<bigint>")
+    sketched = texts.select("cid", "text").mapInArrow(functools.partial(_sketch_batches, similarity=similarity), "cid binary, n bigint, sketch array<bigint>")
     cells = cut(sketched.select("cid", "n", F.explode("sketch").alias("bucket")).groupBy("bucket", "cid").agg(F.first("n").alias("n")))
     leaders = cells.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", F.col("least.cid").alias("a"), F.col("least.n").alias("n_a"))
     met = cut(cells.join(leaders, "bucket").where("cid <> a").select("bucket", "a", "n_a", F.col("cid").alias("b"), F.col("n").alias("n_b")))

@@ -134,6 +134,36 @@ def test_near_groups_of_one_original_and_many_copies(spark):
     assert sum(got[i] == i // 101 * 101 for i in got) >= 0.98 * len(texts)
 
 
+def edited(r, words, errors):
+    """Words with that many substitutions, deletions and insertions."""
+    out = list(words)
+    for _ in range(errors):
+        i, new = r.randrange(len(out)), f"n{r.randrange(10**9)}"
+        out[i : i + 1] = r.choice(([new], [new], [], [new, out[i]]))
+    return out
+
+
+def test_short_near_copies_share_a_bucket():
+    r = random.Random(13)
+    for n in [*range(5, 15), 15, 20, 30, 40, 60]:
+        pairs = []
+        while len(pairs) < 100:
+            a = [f"w{r.randrange(10**9)}" for _ in range(n)]
+            b = edited(r, a, r.randrange(1, n // 5 + 1) if n <= near.EXACT_WORDS else n // 5)
+            if b and near.similar(pa.array([" ".join(a)]), pa.array([" ".join(b)]), 0.8)[0] and max(len(a), len(b)) <= (14 if n <= 14 else 99):
+                pairs += [(" ".join(a), " ".join(b))]
+        row, key = near.buckets(pa.array([t for p in pairs for t in p]))
+        keys = [set(key[row == i].tolist()) for i in range(200)]
+        found = sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(100))
+        assert found == 100 if n <= 14 else found >= 90, (n, found)
+
+
+def test_short_near_copies_are_grouped(spark):
+    texts = ["one two three four five", "one two other four five", "alpha beta gamma delta epsilon zeta eta theta iota kappa", "alpha beta GAMMA delta epsilon zeta ETA theta iota kappa", "one two three", "one two four"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert {x.doc_id: x.group_id for x in near.near_groups(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5}
+
+
 def test_near_odd_rows(spark):
     df = odd(spark, clashing=True)
     got = near.near_groups(df).collect()
