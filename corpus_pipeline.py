@@ -32,8 +32,8 @@ def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many documents as give every source the same number of tokens, the largest that all sources have."""
-    return mixing.mix(docs)
+    """Documents with 90 % of all tokens, of which every source has its tempered share."""
+    return mixing.mix(docs, **mixing.PRODUCTION)
 
 
 def stage_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,10 @@ hash are taken.
 Total budget: the largest at which no source needs more tokens than it has, unless one is given; with a given total a
 source that has too little gives all it has.
 
+With temper given, a source weighs as much as its own tokens to that power, the total is the share keep of all tokens
+unless it is given, and what sources with too little can't give is made up by the others in proportion to their
+weights. So neither a tiny source nor many of them shrink the total. PRODUCTION is what the query and the pipeline use.
+
 Defined results: rows equal in doc_id, source and text are one unit, as long as all of them together, and are taken or
 left together; a NULL text has no tokens; units without tokens are taken, as they cost nothing; NULL is a source like any other. With weights
 given, sources that they don't name have weight 0; without, all sources weigh the same.
@@ -32,6 +36,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary cuts a text before it merges bytes.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SEED = 1_009
+#: Power of a source's own tokens that is its weight, and share of all tokens that is taken.
+PRODUCTION = {"temper": 0.7, "keep": 0.9}
 #: Cells of the knapsack's table. What is left after equal shares is brought below it, by whole documents, before.
 CELLS = 1 << 16
 #: Units of one source and length that one task ranks; larger classes are split by hash, and only the split that the cut runs through is ranked.
@@ -164,19 +170,39 @@ def _fill(lens: np.ndarray, counts: np.ndarray, take: np.ndarray, left: int, cel
     return take
 
 
-def plan(units: DataFrame, weights: dict[str, float] | None = None, total: int | None = None) -> DataFrame:
-    """source, n_tokens, n_units, take: how many units of each length each source gives."""
-    bars = units.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n_units"))
-    has = bars.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_units")).alias("has"))
+def _weighed(has: DataFrame, weights: dict[str, float] | None, total: int | None) -> DataFrame:
+    """source and budget: weights and total as given, else equal weights and the largest total that all sources can meet."""
     if weights is None:
         weighed = has.withColumn("weight", F.when(F.col("has") > 0, F.lit(1.0)).otherwise(0.0))
     else:
-        named = units.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, weight double")
+        named = has.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, weight double")
         weighed = has.join(named, has["source"].eqNullSafe(named["source"]), "left").select(has["source"].alias("source"), "has", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     every = Window.partitionBy()
     share = F.col("weight") / F.sum("weight").over(every)
     whole = F.lit(total).cast("double") if total is not None else F.min(F.when(F.col("share") > 0, F.col("has") / F.col("share"))).over(every)
-    budgets = weighed.withColumn("share", F.when(F.sum("weight").over(every) > 0, share)).withColumn("budget", F.coalesce(F.floor(F.col("share") * whole + 1e-6), F.lit(0)).cast("long")).select("source", F.least("budget", "has").alias("budget"))
+    return weighed.withColumn("share", F.when(F.sum("weight").over(every) > 0, share)).withColumn("budget", F.coalesce(F.floor(F.col("share") * whole + 1e-6), F.lit(0)).cast("long")).select("source", F.least("budget", "has").alias("budget"))
+
+
+def _tempered(has: DataFrame, temper: float, keep: float, total: int | None) -> DataFrame:
+    """source and budget: min(has, level * has ** temper), level such that the budgets sum to the total."""
+    every = Window.partitionBy()
+    largest = Window.orderBy(F.col("has").desc(), "source").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    weighed = has.withColumn("weight", F.when(F.col("has") > 0, F.pow(F.col("has").cast("double"), F.lit(float(temper)))).otherwise(0.0)).withColumn("all", F.sum("has").over(every))
+    whole = F.floor(F.col("all") * keep) if total is None else F.least(F.lit(total).cast("long"), F.col("all"))
+    # were all smaller sources to give all they have, this level would do for the others; any such level is too low but the right one
+    level = (whole - (F.col("all") - F.sum("has").over(largest))) / F.sum("weight").over(largest)
+    filled = weighed.withColumn("level", F.when(F.col("weight") > 0, level)).withColumn("level", F.max("level").over(every))
+    return filled.select("source", F.when(F.col("weight") > 0, F.least("has", F.floor(F.col("level") * F.col("weight") + 1e-6))).otherwise(0).cast("long").alias("budget"))
+
+
+def plan(units: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, temper: float | None = None, keep: float = 1.0) -> DataFrame:
+    """source, n_tokens, n_units, take: how many units of each length each source gives."""
+    bars = units.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n_units"))
+    has = bars.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_units")).alias("has"))
+    if temper is not None:
+        budgets = _tempered(has, temper, keep, total)
+    else:
+        budgets = _weighed(has, weights, total)
     sized = bars.alias("x").join(budgets.alias("y"), F.col("x.source").eqNullSafe(F.col("y.source"))).select("x.source", "n_tokens", "n_units", "budget")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -186,10 +212,10 @@ def plan(units: DataFrame, weights: dict[str, float] | None = None, total: int |
     return sized.groupBy("source").applyInPandas(fit, "source string, n_tokens long, n_units long, take long")
 
 
-def chosen(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = SEED, tokenizer: str = TOKENIZER, class_rows: int = CLASS_ROWS) -> DataFrame:
+def chosen(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = SEED, tokenizer: str = TOKENIZER, class_rows: int = CLASS_ROWS, temper: float | None = None, keep: float = 1.0) -> DataFrame:
     """doc_id, source, cid, n_tokens and n_rows of the units taken."""
     units = cut(lengths(docs, tokenizer).groupBy("doc_id", "source", "cid", F.col("n_tokens").alias("each")).agg(F.count(F.lit(1)).alias("n_rows")).select("doc_id", "source", "cid", F.expr("each * n_rows").alias("n_tokens"), "n_rows"))
-    takes = cut(plan(units, weights, total))
+    takes = cut(plan(units, weights, total, temper, keep))
     drawn = units.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "cid"))
     u, t = drawn.alias("u"), takes.alias("t")
     on = F.col("u.source").eqNullSafe(F.col("t.source")) & (F.col("u.n_tokens") == F.col("t.n_tokens"))
@@ -206,9 +232,9 @@ def chosen(docs: DataFrame, weights: dict[str, float] | None = None, total: int
     return sure.select(*cols).unionByName(some.select(*cols))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = SEED, tokenizer: str = TOKENIZER) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = SEED, tokenizer: str = TOKENIZER, temper: float | None = None, keep: float = 1.0) -> DataFrame:
     """The rows of docs that are taken, all columns as they are."""
     keyed = pack(docs, doc=docs["doc_id"], src=docs["source"], cid=content_id(docs["text"])).alias("d")
-    ours = chosen(docs, weights, total, seed, tokenizer).select(F.col("doc_id").alias("a"), F.col("source").alias("b"), F.col("cid").alias("c"))
+    ours = chosen(docs, weights, total, seed, tokenizer, temper=temper, keep=keep).select(F.col("doc_id").alias("a"), F.col("source").alias("b"), F.col("cid").alias("c"))
     same = F.col("doc").eqNullSafe(F.col("a")) & F.col("src").eqNullSafe(F.col("b")) & F.col("cid").eqNullSafe(F.col("c"))
     return keyed.join(ours, same, "left_semi").select("row.*")

@@ -11,8 +11,8 @@ from ratemill.llm.common import table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that give all sources the same share of tokens."""
-    return mixing.chosen(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "n_rows")
+    """Documents that give every source its tempered share of 90 % of all tokens."""
+    return mixing.chosen(table(spark, sf_dir, "documents"), **mixing.PRODUCTION).select("doc_id", "source", "n_tokens", "n_rows")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

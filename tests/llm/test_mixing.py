@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from ratemill.llm import mixing
 from tests.llm.common_rows import DOCS, empty, odd
 
@@ -64,6 +65,18 @@ def test_sources_meet_their_budgets(spark):
     assert sorted(mixing.chosen(df, seed=2).toPandas().doc_id) != sorted(got.doc_id)
 
 
+@needs_vocabulary
+def test_tiny_sources_do_not_cut_the_stage(spark):
+    tiny = [(1000, "ten words", "en", None, 0)] + [(1001 + i, "a word", "en", f"tiny{i}", 0) for i in range(5)]
+    df = documents(spark).union(spark.createDataFrame(tiny, DOCS))
+    tokens = lambda d: {r.source: r.n for r in mixing.lengths(d).groupBy("source").agg({"n_tokens": "sum"}).toDF("source", "n").collect()}
+    before, after = tokens(df), tokens(corpus_pipeline.stage_mixing(spark, df, ""))
+    assert 0.89 * sum(before.values()) <= sum(after.values()) <= 0.9 * sum(before.values())
+    assert set(after) == set(before) and all(after[s] == before[s] for s in before if s is None or s.startswith("tiny"))
+    share = {s: after[s] / before[s] for s in "abc"}
+    assert share["a"] < min(share["b"], share["c"])  # the hot source is tempered
+
+
 @needs_vocabulary
 def test_mixing_odd_rows(spark):
     df = odd(spark, clashing=True)
