@@ -144,9 +144,9 @@ def f24_guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.guardrails(latest, tries)
 
 
-def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _payloads(spark: SparkSession, sf_dir: str, which: str = "o_orderkey < 400") -> DataFrame:
     """Orders as nested quote payloads."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 400")
+    o = table(spark, sf_dir, "orders").where(which)
     p = F.col("o_totalprice").cast("string")
     body = F.concat(F.lit('{"data": {"USD-IRR": {"price": "'), p, F.lit('", "updated_at": "2024-01-01T10:00:00Z"}, "list": [{"symbol": "eur", "sell": "1,000"}, {"symbol": "usd_irr", "value": '), p, F.lit('}], "usd_irr": "'), p, F.lit('"}, "ts": 1700000000}'))
     return o.select("o_orderkey", "o_totalprice", body.alias("body"))
@@ -165,3 +165,27 @@ def n1b_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS key, TIMESTAMP '2024-01-01 10:00:00' AS quote_time FROM orders WHERE o_orderkey < 400")
 def n4_quote_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.quote_time(_payloads(spark, sf_dir), "o_orderkey", "body", 4).withColumn("quote_time", F.col("quote_time").cast("timestamp_ntz"))
+
+
+# The three queries above and c25_support read a fixed subset of ids, as their SQL does; these read all rows.
+
+
+@query(f"WITH {_SOURCES_SQL}, g AS (SELECT kind, count_if(b2) AS p, count_if(b3) AS m, count(*) AS r FROM f GROUP BY 1) SELECT kind, CASE WHEN p >= 2 AND r >= 6 THEN 'full_card' WHEN p >= 1 OR (m >= 2 AND r >= 3) THEN 'monitor_card' ELSE 'still_hidden' END AS support FROM g")
+def c25_support_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _sources(spark, sf_dir).groupBy("kind").agg(F.count_if("b2").alias("p"), F.count_if("b3").alias("m"), F.count(F.lit(1)).alias("r"))
+    return g.select("kind", scores.support(_c("p"), _c("m"), _c("r")).alias("support"))
+
+
+@query("SELECT o_orderkey AS key, o_totalprice AS value FROM orders")
+def n2_symbol_value_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.symbol_value(_payloads(spark, sf_dir, "true"), "o_orderkey", "body", ("usd-irr",), 4)
+
+
+@query("SELECT o_orderkey AS key, unnest(['data.USD-IRR.price', 'data.USD-IRR.updated_at', 'data.list[0].symbol', 'data.list[0].sell', 'data.list[1].symbol', 'data.list[1].value', 'data.usd_irr', 'ts']) AS path FROM orders")
+def n1b_leaves_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.leaves(_payloads(spark, sf_dir, "true"), "o_orderkey", "body", 4).select("key", "path")
+
+
+@query("SELECT o_orderkey AS key, TIMESTAMP '2024-01-01 10:00:00' AS quote_time FROM orders")
+def n4_quote_time_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.quote_time(_payloads(spark, sf_dir, "true"), "o_orderkey", "body", 4).withColumn("quote_time", F.col("quote_time").cast("timestamp_ntz"))

@@ -1,5 +1,7 @@
 import datetime as dt
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from ratemill.functions import payloads, scores
@@ -70,3 +72,15 @@ def test_scores(spark):
     one = lambda *c: spark.range(1).select(*c).first()
     assert one(scores.comparable_rial(F.lit(100.0), F.lit("AED"), F.lit("UAE")), scores.comparable_rial(F.lit(100.0), F.lit("EUR"), F.lit("Iran")), scores.per_hundred(F.lit(100.0), F.lit("IQD"), F.lit("صد دینار")))[:] == (367.25, None, 1.0)
     assert one(scores.operational_bucket(F.lit("exchange_shop"), F.lit(8), F.lit(0), F.lit(False), F.lit(75), F.lit(4)), scores.use_status(F.lit(3), F.lit(True), F.lit("fresh"), F.lit(68), F.lit(True)), scores.support(F.lit(1), F.lit(0), F.lit(0)))[:] == ("P1", "publishable", "monitor_card")
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test tables here")
+def test_payload_queries_read_all_orders(spark):
+    import __spark_entry__ as entry
+
+    here, queries = "/root/testdata/sf0.001", entry.queries()
+    orders = spark.read.parquet(f"{here}/orders.parquet").count()
+    assert queries["n2_symbol_value_all"](spark, here).count() == orders
+    assert queries["n4_quote_time_all"](spark, here).count() == orders
+    assert queries["n1b_leaves_all"](spark, here).count() == 8 * orders
+    assert queries["c25_support_all"](spark, here).count() == 6
