@@ -181,7 +181,14 @@ class _File:
     def predicted(self, block: np.ndarray, predictor: int, per: int, depth: int, kind: int, width: int) -> np.ndarray:
         """Rows in little-endian bytes with the predictor undone."""
         if depth < 8:
-            return block
+            if predictor == 1:
+                return block
+            if predictor != 2:
+                raise ValueError(f"predictor {predictor} is not undone over samples of {depth} bits")
+            places = np.arange(depth - 1, -1, -1, dtype=np.uint8)
+            bits = np.unpackbits(block, axis=1)[:, : width * per * depth].reshape(len(block), width, per, depth)
+            values = np.cumsum((bits << places).sum(axis=3, dtype=np.uint8), axis=1, dtype=np.uint8)
+            return np.packbits((values[..., None] >> places & 1).reshape(len(block), -1), axis=1)
         size = depth // 8
         if predictor == 3:
             if kind != 3:

@@ -1,5 +1,6 @@
 import itertools
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -26,6 +27,22 @@ def test_lzw_beyond_the_table():
         assert tiff.unpackbits(tiff_write.packbits(data)) == data
 
 
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_predictor_over_narrow_samples(depth):
+    def packed(values):
+        return np.packbits((values[..., None] >> np.arange(depth - 1, -1, -1) & 1).astype("u1").reshape(len(values), -1), axis=1)
+
+    values = np.random.default_rng(depth).integers(0, 1 << depth, (5, 13, 1))
+    stored = packed(np.concatenate([values[:, :1], np.diff(values, axis=1)], 1) % (1 << depth))
+    file = tiff_write.write([stored[..., None]], [("none", 1, 5)])
+    file = file.replace(struct.pack("<HHII", 256, 4, 1, stored.shape[1]), struct.pack("<HHII", 256, 4, 1, 13))
+    for tag, old, new in ((258, 8, depth), (317, 1, 2)):
+        file = file.replace(struct.pack("<HHIHH", tag, 3, 1, old, 0), struct.pack("<HHIHH", tag, 3, 1, new, 0))
+    (page,) = tiff.pages(file)
+    assert page["error"] is None and (page["width"], page["bits"], page["predictor"]) == (13, depth, 2)
+    assert page["pixels"] == packed(values).tobytes()
+
+
 def test_broken_files_never_raise():
     r = random.Random(3)
     image = np.arange(600, dtype="u2").reshape(20, 30, 1)
