@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ratemill.functions import stats
 from ratemill.operators import dedup, fix, registry, robust
 from ratemill.plans.registry import QUERIES, query, table
-from ratemill.session import work_folder
+from ratemill.session import shared_folder
 from ratemill.sources import samples as src
 from ratemill.sources.samples import BASKET_SQL, DAILY_SQL, EVENT_SAMPLES_SQL
 
@@ -157,7 +157,7 @@ def j9_new_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as found businesses, customers of the first nations as known ones, by three keys."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 40).alias("name"), (F.col("s_suppkey") % 33).alias("domain"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey") % 21).alias("handle"), "s_acctbal")
     known = table(spark, sf_dir, "customer").where("c_custkey < 5").select(F.col("c_custkey").alias("name"), F.lit(None).cast("bigint").alias("domain"), F.col("c_custkey").alias("handle"))
-    work_folder(spark)
+    shared_folder(spark)
     return registry.new_only(s, known, ["name", "domain", "handle"], [-F.col("s_acctbal"), F.col("s_suppkey")])
 
 

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratemill.plans.registry import query
-from ratemill.session import work_folder
+from ratemill.session import shared_folder
 from ratemill.sources import samples as src
 from ratemill.sources.samples import EVENT_SAMPLES_SQL
 from ratemill.streaming import intraday
 
 
 def _landed(spark: SparkSession, sf_dir: str, parts: int) -> tuple[DataFrame, str]:
-    at = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     s = src.event_samples(spark, sf_dir).withColumns({c: F.col(c).cast("timestamp") for c in ("sampled_at", "quote_time")})
     s.repartition(parts, "event_id").write.parquet(f"{at}/in")
     return intraday.samples(spark, f"{at}/in", s), at

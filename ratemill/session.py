@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch. Spark's own bound is 64 MB, which a worker would hold several times over.
+BATCH_BYTES = 4 << 20
+BATCHES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import the package from where the driver has it; a cluster passes it by --py-files instead."""
+    """Lets Python workers import the package from where the driver has it (a cluster passes it by --py-files instead)."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    return bound_batches(spark)
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Bounds the bytes of the batches that go to Python workers, where the session has no bound of its own."""
+    if spark.conf.get(BATCHES) == BATCH_DEFAULT:
+        spark.conf.set(BATCHES, f"{BATCH_BYTES}b")
     return spark
 
 
@@ -35,10 +49,19 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     return ship(spark)
 
 
-def work_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the one named by spark.checkpoint.dir, and only where none is, a local one, as in tests."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as a full URI: spark.checkpoint.dir, or, only where that is unset and the master
+    is local, as in tests, one of our own, which is removed when the driver ends."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ratemill-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    there = sc._jsc.sc().getCheckpointDir()
+    if not named and not there.isDefined():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="ratemill-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    if not there.isDefined():
+        sc.setCheckpointDir(named)
+    at = sc._jvm.org.apache.hadoop.fs.Path(named or there.get())
+    uri = at.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub("^file:/+", "file:///", uri)

@@ -150,9 +150,9 @@ def test_history(spark):
 
 
 def test_new_only_is_greedy(spark):
-    from ratemill.session import work_folder
+    from ratemill.session import shared_folder
 
-    work_folder(spark)
+    shared_folder(spark)
     found = spark.createDataFrame([(1, "a", "d1", 9), (2, "a", "d2", 8), (3, "b", "d2", 7), (4, "c", "d9", 6), (5, None, None, 5)], "id int, name string, domain string, points int")
     known = spark.createDataFrame([("zz", "d9")], "name string, domain string")
     # 2 is turned away by 1 and so doesn't block 3
