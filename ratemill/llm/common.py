@@ -7,34 +7,27 @@ hashes and their k-grams are computed for all of its documents at once.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ratemill.session import bound_batches, shared_folder
 
 #: Bytes of text that are turned into numpy arrays at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes whose running hash is held at once, however long a document is.
+HASH_BYTES = 1 << 18
 
 MAX64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, only where that is unset, a folder of our own."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    there = sc._jsc.sc().getCheckpointDir()
-    if there.isDefined():
-        return named or there.get()
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ratemill-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder; what follows is recovered from there."""
     shared_folder(df.sparkSession)
@@ -45,6 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_arrow(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow(each, schema) with batches of bounded bytes."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(each, schema)
+
+
 def content_id(text: Column) -> Column:
     """16 bytes that stand for a text; NULL for NULL."""
     return F.unhex(F.md5(text.cast("binary")))
@@ -61,7 +60,7 @@ def unpack(df: DataFrame) -> DataFrame:
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of batch whose texts have about limit bytes together."""
-    sizes = np.diff(_offsets(batch.column(column)))
+    sizes = np.diff(offsets(batch.column(column)))
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if total and total + n > limit:
@@ -72,7 +71,8 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def _offsets(col: pa.Array) -> np.ndarray:
+def offsets(col: pa.Array) -> np.ndarray:
+    """Where each text begins, and the last ends, in the column's bytes."""
     wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
     if len(col) == 0:
         return np.zeros(1, np.int64)
@@ -83,7 +83,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its rows; NULL counts as empty."""
     if col.null_count:
         col = col.fill_null("")
-    at = _offsets(col)
+    at = offsets(col)
     data = col.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return whole[at[0] : at[-1]], at - at[0]
@@ -105,31 +105,35 @@ def spans(keep: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, np.flatnonzero(keep & after) + 1, np.searchsorted(starts, at)
 
 
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES + (1 << 16))
-        for k, b in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(size, b, np.uint64)
+def _powers() -> list[np.ndarray]:
+    if not _POWERS:
+        for b in (_BASE, _INVERSE):
+            p = np.full(HASH_BYTES, b, np.uint64)
             p[0] = 1
-            _POWERS[k] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
-
-
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash of data, from which span_hash() takes that of any span."""
-    up, _ = _powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
-    return out
-
-
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; it depends on nothing else."""
-    _, down = _powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+            _POWERS.append(np.cumprod(p, dtype=np.uint64))
+    return _POWERS
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; it depends on nothing else. Spans are in order, not empty and don't overlap."""
+    up, down = _powers()
+    out = np.zeros(len(starts), np.uint64)
+    for p in range(0, len(data), HASH_BYTES):
+        q = min(p + HASH_BYTES, len(data))
+        i, j = np.searchsorted(ends, p, "right"), np.searchsorted(starts, q, "left")
+        if i == j:
+            continue
+        sums = np.zeros(q - p + 1, np.uint64)
+        np.cumsum((data[p:q].astype(np.uint64) + np.uint64(1)) * up[: q - p], out=sums[1:])
+        a, b = np.maximum(starts[i:j], p) - p, np.minimum(ends[i:j], q) - p
+        part = (sums[b] - sums[a]) * down[a]
+        if starts[i] < p:  # it began in an earlier piece
+            part[0] *= np.uint64(pow(int(_BASE), int(p - starts[i]), 1 << 64))
+        out[i:j] += part
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratemill.llm.common import pack, shared_folder
+from ratemill.llm.common import in_arrow, pack, shared_folder
 
 #: Rows of one length and hash from which they are first compared in SALTS shares.
 HOT_ROWS = 100_000
@@ -227,7 +227,7 @@ def _trie_pass(keyed: DataFrame, by: list[str], out: list[str], survivors: bool,
             firsts.append(first)
         yield from flush()
 
-    return keyed.repartition(*by).sortWithinPartitions(F.col("doc").asc_nulls_last()).mapInArrow(settle, schema)
+    return in_arrow(keyed.repartition(*by).sortWithinPartitions(F.col("doc").asc_nulls_last()), settle, schema)
 
 
 def _keyed(docs: DataFrame, hot_rows: int) -> tuple[DataFrame, bool]:

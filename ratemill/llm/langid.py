@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratemill.llm.common import chunks, text_bytes
+from ratemill.llm.common import chunks, in_arrow, text_bytes
 
 SAMPLE = 3_000
 SEED = 23
@@ -188,4 +188,4 @@ def identify(docs: DataFrame, m: Model) -> DataFrame:
 
     slim = docs.select("doc_id", "text")
     ident = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {ident}, family string, language string, margin double")
+    return in_arrow(slim, run, f"doc_id {ident}, family string, language string, margin double")

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratemill.llm.common import chunks, content_id, cut, pack, recent
+from ratemill.llm.common import chunks, content_id, cut, in_arrow, pack, recent
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary cuts a text before it merges bytes.
@@ -104,7 +104,7 @@ def lengths(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     slim = docs.select("doc_id", "source", "text", content_id(docs["text"]).alias("cid"))
     ident = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {ident}, source string, cid binary, n_tokens bigint")
+    return in_arrow(slim, run, f"doc_id {ident}, source string, cid binary, n_tokens bigint")
 
 
 def fit_budget(lens: np.ndarray, counts: np.ndarray, budget: int, cells: int = CELLS) -> np.ndarray:

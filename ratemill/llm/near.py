@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratemill.llm.common import chunks, content_id, cut, mix, pack, prefix_sums, seeded, span_hash, spans, text_bytes, white
+from ratemill.llm.common import chunks, content_id, cut, in_arrow, mix, pack, seeded, span_hashes, spans, text_bytes, white
 
 K = 2
 PICKS = 3
@@ -49,7 +49,7 @@ def sketches(col: pa.Array, k: int = K, picks: int = PICKS, count: int = SKETCHE
     """Row numbers of the texts that have words, and their sketches, one row each."""
     data, at = text_bytes(col)
     starts, ends, first = spans(white(data), at)
-    words = span_hash(prefix_sums(data), starts, ends)
+    words = span_hashes(data, starts, ends)
     n_words = np.diff(first)
     rows = np.flatnonzero(n_words)
     if not len(rows):
@@ -276,7 +276,7 @@ def similar(a: pa.Array, b: pa.Array, similarity: float) -> np.ndarray:
 def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, at = text_bytes(col)
     starts, ends, first = spans(white(data), at)
-    return span_hash(prefix_sums(data), starts, ends).view(np.int64), first
+    return span_hashes(data, starts, ends).view(np.int64), first
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -290,7 +290,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
                 ok = similar(batch.column("text_a"), batch.column("text_b"), similarity)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
-    return both.mapInArrow(verify, "a binary, b binary, ok boolean")
+    return in_arrow(both, verify, "a binary, b binary, ok boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -317,7 +317,7 @@ def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Every row with text as doc_id, cid; and cid, root of the contents that have near copies."""
     texts = docs.select(content_id(F.col("text")).alias("cid"), F.col("doc_id"), F.col("text")).where("text IS NOT NULL")
-    sketched = texts.select("cid", "text").mapInArrow(functools.partial(_sketch_batches, similarity=similarity), "cid binary, n bigint, sketch array<bigint>")
+    sketched = in_arrow(texts.select("cid", "text"), functools.partial(_sketch_batches, similarity=similarity), "cid binary, n bigint, sketch array<bigint>")
     cells = cut(sketched.select("cid", "n", F.explode("sketch").alias("bucket")).groupBy("bucket", "cid").agg(F.first("n").alias("n")))
     leaders = cells.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", F.col("least.cid").alias("a"), F.col("least.n").alias("n_a"))
     met = cut(cells.join(leaders, "bucket").where("cid <> a").select("bucket", "a", "n_a", F.col("cid").alias("b"), F.col("n").alias("n_b")))

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratemill.llm.common import chunks, recent, text_bytes
+from ratemill.llm.common import chunks, in_arrow, recent, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -280,7 +280,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     slim = docs.select("doc_id", "text")
     ident = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {ident}, n_pieces bigint, pieces array<int>, round_trip boolean")
+    return in_arrow(slim, run, f"doc_id {ident}, n_pieces bigint, pieces array<int>, round_trip boolean")
 
 
 def _equal(data: np.ndarray, at: np.ndarray, want: np.ndarray, want_at: np.ndarray) -> np.ndarray:

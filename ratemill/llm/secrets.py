@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratemill.llm.common import chunks, mix, prefix_sums, span_hash, spans, text_bytes
+from ratemill.llm.common import chunks, in_arrow, mix, span_hashes, spans, text_bytes
 
 SAMPLE = 400
 SEED = 31
@@ -82,9 +82,8 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         distinct += bits & 1
         bits = bits >> np.uint32(1)
     length = np.digitize(size, (2, 4, 6, 8, 11, 14, 18, 24, 33, 41, 65))
-    sums = prefix_sums(data)
-    words = span_hash(sums, starts, ends)
-    head = span_hash(sums, starts, np.minimum(starts + 4, ends))
+    words = span_hashes(data, starts, ends)
+    head = span_hashes(data, starts, np.minimum(starts + 4, ends))
     doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
     before = np.where(starts > at[:-1][doc], data[np.maximum(starts - 1, 0)], 0)
     after = np.where(ends < at[1:][doc], data[np.minimum(ends, len(data) - 1)], 0)
@@ -310,4 +309,4 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(masked, pa.string())], names=["doc_id", "first_byte", "end_byte", "masked"])
 
     slim = docs.select("doc_id", "text")
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, first_byte bigint, end_byte bigint, masked string")
+    return in_arrow(slim, run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, first_byte bigint, end_byte bigint, masked string")

@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratemill.llm.common import chunks, content_id, mix, prefix_sums, span_hash, spans, text_bytes, white, written
+from ratemill.llm.common import chunks, content_id, in_arrow, mix, offsets, span_hashes, spans, text_bytes, white, written
 
 LENGTH = 50
 ANCHOR = 12
-#: Words of segments that are put into one transform; the segments of an anchor are never parted.
+#: Bytes of segments that are put into one transform; the segments of an anchor are never parted.
 BLOCK = 1 << 20
-#: Occurrences from which an anchor is too many segments for one task. Its windows are compared by 128-bit hashes instead, each where its own hash sends it.
-HOT_ANCHOR = 2_000_000
+#: Bytes of segments from which an anchor is too much for one task (a transform takes some thirty times its text). Its windows are compared by 128-bit hashes instead, each where its own hash sends it.
+HOT_BYTES = 4 << 20
 
 
 def _lists(first: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -55,7 +55,7 @@ def segments(col: pa.Array, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none, np.zeros(len(at), np.int64)
-    words = span_hash(prefix_sums(data), starts, ends)
+    words = span_hashes(data, starts, ends)
     grams = words[: n - anchor + 1].copy()
     for j in range(1, anchor):
         grams = grams * np.uint64(0x100000001B3) + words[j : n - anchor + 1 + j]
@@ -146,7 +146,7 @@ def _expand(segs: pa.Array, times: np.ndarray, length: int) -> tuple[np.ndarray,
     data, at = text_bytes(segs)
     starts, ends, first = spans(white(data), at)
     n_words = np.diff(first)
-    _, ids = np.unique(span_hash(prefix_sums(data), starts, ends), return_inverse=True)
+    _, ids = np.unique(span_hashes(data, starts, ends), return_inverse=True)
     top = int(ids.max()) + 1 if len(ids) else 1
     seg = np.repeat(np.arange(len(n_words)), n_words)
     place = np.arange(len(ids)) + seg
@@ -173,7 +173,7 @@ def _windows(segs: pa.Array, length: int) -> tuple[np.ndarray, ...]:
     data, at = text_bytes(segs)
     starts, ends, first = spans(white(data), at)
     seg = np.repeat(np.arange(len(segs)), np.diff(first))
-    words = span_hash(prefix_sums(data), starts, ends)
+    words = span_hashes(data, starts, ends)
     begin = np.arange(len(words))
     begin = begin[begin + length <= first[1:][seg]]
     one, two = np.zeros(len(begin), np.uint64), np.zeros(len(begin), np.uint64)
@@ -183,7 +183,7 @@ def _windows(segs: pa.Array, length: int) -> tuple[np.ndarray, ...]:
     return seg[begin], starts[begin] - at[seg[begin]], ends[begin + length - 1] - at[seg[begin]], one.view(np.int64), mix(two).view(np.int64)
 
 
-def passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
+def passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """doc_id, first_byte and end_byte of every maximal passage all of whose windows of length words occur elsewhere too."""
     anchor = min(anchor, length)
     slim = docs.select("doc_id", F.col("text"), content_id(F.col("text")).alias("cid")).where("text IS NOT NULL")
@@ -195,8 +195,8 @@ def passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("cid"), _lists(first, hashes, pa.int64()), _lists(first, a, pa.int32()), _lists(first, b, pa.int32()), _lists(first, times, pa.int32())], names=["doc_id", "cid", "h", "a", "b", "times"])
 
     ident = slim.schema["doc_id"].dataType.simpleString()
-    cells = written(slim.mapInArrow(cut_up, f"doc_id {ident}, cid binary, h array<bigint>, a array<int>, b array<int>, times array<int>").select("doc_id", "cid", F.inline(F.arrays_zip("h", "a", "b", "times"))))
-    shared = cells.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h", (F.col("n") > hot_anchor).alias("hot"))
+    cells = written(in_arrow(slim, cut_up, f"doc_id {ident}, cid binary, h array<bigint>, a array<int>, b array<int>, times array<int>").select("doc_id", "cid", F.inline(F.arrays_zip("h", "a", "b", "times"))))
+    shared = cells.groupBy("h").agg(F.sum("times").alias("n"), F.sum(F.col("b") - F.col("a")).alias("size")).where("n > 1").select("h", (F.col("size") > hot_bytes).alias("hot"))
     wanted = cells.join(shared, "h").groupBy("doc_id", "cid").agg(F.collect_list(F.struct("h", "hot", "a", "b")).alias("parts"))
     d, w = slim.alias("d"), wanted.alias("w")
     taken = d.join(w, F.col("d.cid").eqNullSafe(F.col("w.cid")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.doc_id", "d.cid", F.col("d.text").cast("binary").alias("bytes"), "parts")
@@ -211,7 +211,7 @@ def passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block:
             yield out.filter(pa.array(np.diff(first) > 0))
 
     few = folded.where("NOT hot").select("h", "seg", "n")
-    found = few.repartition("h").sortWithinPartitions("h").mapInArrow(transform, "h bigint, seg binary, from array<int>, to array<int>").select("h", content_id(F.col("seg")).alias("sid"), "from", "to")
+    found = in_arrow(few.repartition("h").sortWithinPartitions("h"), transform, "h bigint, seg binary, from array<int>, to array<int>").select("h", content_id(F.col("seg")).alias("sid"), "from", "to")
 
     def each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -220,7 +220,7 @@ def passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block:
                 some = batch.select(["h", "sid", "n"]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(one), pa.array(two)], names=["h", "sid", "n", "from", "to", "one", "two"])
 
-    many = folded.where("hot").select("h", "seg", content_id(F.col("seg")).alias("sid"), "n").mapInArrow(each_window, "h bigint, sid binary, n bigint, from int, to int, one bigint, two bigint")
+    many = in_arrow(folded.where("hot").select("h", "seg", content_id(F.col("seg")).alias("sid"), "n"), each_window, "h bigint, sid binary, n bigint, from int, to int, one bigint, two bigint")
     twice = many.groupBy("one", "two").agg(F.sum("n").alias("all")).where("all > 1").select("one", "two")
     found = found.unionByName(many.join(twice, ["one", "two"]).groupBy("h", "sid").agg(F.collect_list(F.struct("from", "to")).alias("w")).select("h", "sid", F.col("w.from").alias("from"), F.col("w.to").alias("to")))
     placed = segs.select("doc_id", "cid", "h", "a", content_id(F.col("seg")).alias("sid")).join(found, ["h", "sid"])
@@ -234,22 +234,23 @@ def passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Batches joined and cut so that each has whole anchors and about block words (6 bytes each)."""
+    """Batches joined and cut so that each has whole anchors and about block bytes."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         batch = batch.set_column(batch.schema.get_field_index("seg"), "seg", batch.column("seg").cast(pa.large_binary()))
-        for part in chunks(batch, "seg", block * 6):
+        for part in chunks(batch, "seg", block):
             held.append(part)
-            size += part.column("seg").nbytes
-            if size < block * 6:
-                continue
+            size += int(np.diff(offsets(part.column("seg"))[[0, -1]])[0])
+            h = np.asarray(part.column("h"))
+            if size < block or len(held) > 1 and h[-1] == held[0].column("h")[0].as_py():
+                continue  # too little, or one anchor still
             joined = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             h = np.asarray(joined.column("h"))
             end = int(np.searchsorted(h, h[-1])) if h[0] != h[-1] else 0
             if end:
                 yield joined.slice(0, end)
                 held = [joined.slice(end)]
-                size = held[0].column("seg").nbytes
+                size = int(np.diff(offsets(held[0].column("seg"))[[0, -1]])[0])
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ratemill.llm.common import in_arrow
+
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
 _LETTERS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 _FORMATS = {1: "u", 2: "i", 3: "f"}
@@ -253,7 +255,7 @@ def decode(files: DataFrame, key: str, column: str) -> DataFrame:
             if rows:
                 yield _batch(keys, rows, kinds, key, batch.schema.field("key").type)
 
-    return slim.mapInArrow(run, schema)
+    return in_arrow(slim, run, schema)
 
 
 def _batch(keys: list, rows: list[dict], kinds: dict[str, pa.DataType], key: str, kind: pa.DataType) -> pa.RecordBatch:

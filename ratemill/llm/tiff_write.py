@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ratemill.llm.common import in_arrow
+
 CODES = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773}
 
 
@@ -132,4 +134,4 @@ def of_embeddings(vectors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(files, pa.binary())], names=["vec_id", "tiff"])
 
     slim = vectors.select("vec_id", "embedding")
-    return slim.mapInArrow(run, f"vec_id {slim.schema['vec_id'].dataType.simpleString()}, tiff binary")
+    return in_arrow(slim, run, f"vec_id {slim.schema['vec_id'].dataType.simpleString()}, tiff binary")

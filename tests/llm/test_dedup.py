@@ -221,7 +221,7 @@ def test_repeated_symbols(symbols, length, marks):
     assert suffix.repeated(np.array(a), length).tolist() == [i + length <= len(a) and c[tuple(a[i : i + length])] > 1 for i in range(len(a))]
 
 
-@pytest.mark.parametrize(("length", "anchor", "block", "hot"), [(8, 3, 1 << 20, 10**9), (5, 5, 60, 10), (12, 4, 300, 0), (1, 12, 100, 20)])
+@pytest.mark.parametrize(("length", "anchor", "block", "hot"), [(8, 3, 1 << 20, 10**9), (5, 5, 60, 10), (12, 4, 300, 0), (1, 12, 100, 20), (5, 5, 60, 300), (8, 3, 100, 1000)])
 def test_passages(spark, length, anchor, block, hot):
     r = random.Random(length)
     common = [" ".join(f"c{r.randrange(30)}" for _ in range(20)) for _ in range(4)]
