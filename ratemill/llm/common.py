@@ -131,7 +131,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         a, b = np.maximum(starts[i:j], p) - p, np.minimum(ends[i:j], q) - p
         part = (sums[b] - sums[a]) * down[a]
         if starts[i] < p:  # it began in an earlier piece
-            part[0] *= np.uint64(pow(int(_BASE), int(p - starts[i]), 1 << 64))
+            part[:1] *= np.uint64(pow(int(_BASE), int(p - starts[i]), 1 << 64))
         out[i:j] += part
     return mix(out + (ends - starts).astype(np.uint64))
 

@@ -3,8 +3,9 @@
 A document's length is its exact number of tokens (byte-pair encoding). Each source has a budget of tokens, its share
 of the total. Per source, the histogram of lengths decides how many documents of each length are taken: the same share
 of every length first, and for the budget that this leaves a bounded-knapsack dynamic programme over the remaining
-counts, which finds the largest sum of lengths that still fits. Of each length the documents with the smallest seeded
-hash are taken.
+counts, which finds the largest sum of lengths that still fits. If smaller shares don't meet the budget exactly either, it
+runs over all documents of the source, so the sum is the best there is, also of few long documents. Of each length the
+documents with the smallest seeded hash are taken.
 
 Total budget: the largest at which no source needs more tokens than it has, unless one is given; with a given total a
 source that has too little gives all it has.
@@ -15,12 +16,18 @@ weights. So neither a tiny source nor many of them shrink the total. PRODUCTION
 
 Defined results: rows equal in doc_id, source and text are one unit, as long as all of them together, and are taken or
 left together; a NULL text has no tokens; units without tokens are taken, as they cost nothing; NULL is a source like any other. With weights
-given, sources that they don't name have weight 0; without, all sources weigh the same.
+given, sources that they don't name have weight 0; without, all sources weigh the same. A document of any length is one
+unit: one that is longer than its source's budget is left out. Equally long documents are ranked by the seeded hash of doc_id
+and content, then by these. An empty table gives an empty one. mix() gives back all columns of docs, whatever their names.
+
+Exactness: the best sum is proved unless over FEW_UNITS documents remain, no equal share is met, and both budget and rest
+exceed LARGEST times the common divisor of the lengths; then the programme covers that much of the budget.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +45,13 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 SEED = 1_009
 #: Power of a source's own tokens that is its weight, and share of all tokens that is taken.
 PRODUCTION = {"temper": 0.7, "keep": 0.9}
-#: Cells of the knapsack's table. What is left after equal shares is brought below it, by whole documents, before.
+#: Tokens that equal shares may leave to the knapsack, to begin with; whole documents bring it below.
 CELLS = 1 << 16
+#: Units up to which all sums of either half are listed; sums (in multiples of their common divisor) of which a set is held,
+#: 32 MB of bits; bits of sets that are held together to retrace a sum.
+FEW_UNITS = 40
+LARGEST = 1 << 28
+TABLE_BITS = 1 << 28
 #: Units of one source and length that one task ranks; larger classes are split by hash, and only the split that the cut runs through is ranked.
 CLASS_ROWS = 100_000
 CHUNK = 4 << 20
@@ -108,16 +120,20 @@ def lengths(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def fit_budget(lens: np.ndarray, counts: np.ndarray, budget: int, cells: int = CELLS) -> np.ndarray:
-    """How many of each length to take, so that their sum is as near to budget as it gets without exceeding it."""
+    """How many of each length to take, so that their sum is the largest that doesn't exceed budget.
+
+    Equal shares of every length come first, and the programme runs over what rounding left; with smaller shares where that
+    can't be met exactly. If no share meets it, it runs over all units, in place of the shares.
+    """
     lens, counts = np.asarray(lens, np.int64), np.asarray(counts, np.int64)
     total = int((lens * counts).sum())
     if budget >= total:
         return counts.copy()
+    unit = math.gcd(*(int(n) for n, c in zip(lens, counts) if n and c))
+    goal = budget // unit * unit  # no sum can be nearer
     best, most = np.zeros_like(counts), -1
-    for give_back in (1, 2, 4, 8, 0):  # where the rest can't be met exactly, smaller equal shares leave more to choose from
+    for give_back in (1, 2, 4, 8, 0):
         share = budget // give_back if give_back else 0
-        if budget - share > cells and most >= 0:
-            break
         parts = [divmod(c * share, total) for c in counts.tolist()]
         take = np.where(lens > 0, np.array([q for q, _ in parts], np.int64), counts)
         left = budget - int((lens * take).sum())
@@ -125,49 +141,135 @@ def fit_budget(lens: np.ndarray, counts: np.ndarray, budget: int, cells: int = C
         for i in sorted(range(len(lens)), key=lambda i: (-parts[i][1], -lens[i])):
             if left < cells:
                 break
-            if take[i] < counts[i] and lens[i] <= left:
+            if take[i] < counts[i] and 0 < lens[i] <= left:
                 take[i] += 1
                 left -= int(lens[i])
-        take = _fill(lens, counts, take, left, cells)
+        # lengths beyond the table: whole documents, the longest first
+        for i in np.argsort(-lens, kind="stable"):
+            if left < cells or not lens[i]:
+                break
+            more = min(int(counts[i] - take[i]), max(0, left - cells // 2) // int(lens[i]))
+            take[i] += more
+            left -= more * int(lens[i])
+        if left < cells:
+            take += _nearest(lens, counts - take, left)
         got = int((lens * take).sum())
         if got > most:
             best, most = take, got
-        if most == budget:
-            break
-    return best
-
-
-def _fill(lens: np.ndarray, counts: np.ndarray, take: np.ndarray, left: int, cells: int) -> np.ndarray:
-    # lengths beyond the table: whole documents, the longest first
-    order = np.argsort(-lens, kind="stable")
-    for i in order:
-        if left < cells:
-            break
-        more = min(int(counts[i] - take[i]), max(0, left - cells // 2) // int(lens[i]) if lens[i] else 0)
-        take[i] += more
-        left -= more * int(lens[i])
-    left = min(left, cells - 1)
-    # bounded knapsack: bit s of reach says that the remaining counts can sum to s; one step per length and power of two
-    spare = counts - take
-    steps, reach, goal = [], 1, 1 << left
-    full = (1 << (left + 1)) - 1
-    rest = [min(int(spare[i]), left // int(n)) if (n := lens[i]) else 0 for i in range(len(lens))]
+        if most == goal:
+            return best
+    return _fit_all(lens, counts, budget, best, unit)
+
+
+def _fit_all(lens: np.ndarray, counts: np.ndarray, budget: int, near: np.ndarray, unit: int) -> np.ndarray:
+    """The best sum over all units. Few units are halved and the sums of the halves matched. Else the programme runs over
+    the budget, or, where that is less, over what is left out; it is parted so that only sets of sums are held, never a
+    table. Where even a set would have over LARGEST sums, it runs over the part of near that is that large."""
+    some = np.flatnonzero((lens > 0) & (counts > 0))
+    free = np.where(lens > 0, 0, counts)
+    short, have, total = lens[some] // unit, counts[some], int((lens[some] * counts[some]).sum()) // unit
+    goal = budget // unit
+    out = free.copy()
+    if have.sum() <= FEW_UNITS:
+        out[some] = _meet(short, have, goal)
+    elif min(goal, total - goal + int(short.max())) <= LARGEST:
+        if goal <= total - goal:
+            out[some] = _nearest(short, have, goal)
+        else:  # the least sum to leave out that is no less than total - goal
+            out[some] = have - _nearest(short, have, total - goal, over=True)
+    else:
+        take = near[some].copy()
+        left = goal - int((short * take).sum())
+        for i in np.argsort(short, kind="stable"):  # give back short ones, of which most fit
+            less = min(int(take[i]), max(0, LARGEST - left) // int(short[i]))
+            take[i] -= less
+            left += less * int(short[i])
+        out[some] = take + _nearest(short, have - take, min(left, LARGEST))
+    return out
+
+
+def _meet(lens: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
+    """As _nearest() for few units: all sums of either half."""
+    own = np.repeat(np.arange(len(lens)), counts)
+    halves = own[: len(own) // 2], own[len(own) // 2 :]
+    sums = []
+    for half in halves:
+        x = np.zeros(1, np.int64)
+        for i in half:
+            x = np.concatenate([x, x + lens[i]])  # bit j of a sum's place says whether it has unit j
+        sums.append(x)
+    order = np.argsort(sums[1], kind="stable")
+    fits = np.flatnonzero(sums[0] <= goal)
+    at = np.searchsorted(sums[1][order], goal - sums[0][fits], "right") - 1
+    k = int(np.argmax(sums[0][fits] + sums[1][order][at]))
+    out = np.zeros_like(counts)
+    for half, place in zip(halves, (int(fits[k]), int(order[at[k]]))):
+        for j, i in enumerate(half):
+            out[i] += place >> j & 1
+    return out
+
+
+def _nearest(lens: np.ndarray, counts: np.ndarray, goal: int, over: bool = False) -> np.ndarray:
+    """Bounded knapsack: how many of each length make the largest sum up to goal, or, if over, the least from goal on.
+
+    Bit s of a set says that the units so far can sum to s. A step adds one power of two of one length's units.
+    """
+    lens, counts = lens.tolist(), counts.tolist()
+    high = goal + max(lens, default=0) if over else goal
+    steps, rest, size = [], [min(c, high // n) if n else 0 for n, c in zip(lens, counts)], 1
     mixed = sorted(range(len(lens)), key=lambda i: i * 2654435761 & 0xFFFFFFFF)  # long and short ones in turn
-    size = 1
-    while any(rest) and not reach & goal:
+    while any(rest):
         for i in mixed:
-            if rest[i] and not reach & goal:
-                m = min(size, rest[i])
-                steps.append((i, m, reach))
-                reach |= (reach << (m * int(lens[i]))) & full
+            if m := min(size, rest[i]):
+                steps.append((i, m))
                 rest[i] -= m
         size *= 2
-    at = reach.bit_length() - 1
-    for i, m, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += m
-            at -= m * int(lens[i])
-    return take
+    reach, used = 1, 0
+    for i, m in steps:
+        if reach >> goal & 1:
+            break
+        reach |= (reach << m * lens[i]) & ((1 << high + 1) - 1)
+        used += 1
+    at = goal + ((reach >> goal) & -(reach >> goal)).bit_length() - 1 if over else reach.bit_length() - 1
+    del reach
+    out = np.zeros(len(lens), np.int64)
+    _retrace(lens, steps[:used], at, out)
+    return out
+
+
+def _retrace(lens: list[int], steps: list[tuple[int, int]], goal: int, out: np.ndarray) -> None:
+    """Adds to out units of steps that sum to goal, which they can: each half of the steps is given its part of it."""
+    if not goal or not steps:
+        return
+    if len(steps) * goal <= TABLE_BITS or len(steps) == 1:
+        sets = [1]
+        for i, m in steps:
+            sets.append(sets[-1] | (sets[-1] << m * lens[i]) & ((1 << goal + 1) - 1))
+        for (i, m), before in zip(reversed(steps), sets[-2::-1]):
+            if not before >> goal & 1:
+                out[i] += m
+                goal -= m * lens[i]
+        return
+    half = len(steps) // 2
+    sides = []
+    for part in (steps[:half], steps[half:]):
+        reach = 1
+        for i, m in part:
+            reach |= (reach << m * lens[i]) & ((1 << goal + 1) - 1)
+        sides.append(np.frombuffer(reach.to_bytes(goal // 8 + 1, "little"), np.uint8))
+    del reach
+    for low in range(0, goal + 1, 1 << 20):
+        width = min(1 << 20, goal + 1 - low)
+        one = np.unpackbits(sides[0][low // 8 : (low + width + 7) // 8], bitorder="little")[:width]
+        first = goal - low - width + 1  # the other side's sums that go with these, the last first
+        two = np.unpackbits(sides[1][first // 8 : (first + width + 7) // 8 + 1], bitorder="little")[first % 8 : first % 8 + width][::-1]
+        both = np.flatnonzero(one & two)
+        if len(both):
+            cut_at = low + int(both[0])
+            break
+    del sides, one, two
+    _retrace(lens, steps[:half], cut_at, out)
+    _retrace(lens, steps[half:], goal - cut_at, out)
 
 
 def _weighed(has: DataFrame, weights: dict[str, float] | None, total: int | None) -> DataFrame:

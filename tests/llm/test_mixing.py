@@ -35,6 +35,48 @@ def test_fit_budget_far_beyond_the_table():
     assert np.corrcoef(take, counts)[0, 1] > 0.95  # the same share of every length, but for the rest
 
 
+def best_sum(lens, counts, budget):
+    reach = 1
+    for n, c in zip(lens, counts):
+        for _ in range(c):
+            reach |= reach << int(n)
+    return (reach & ((1 << budget + 1) - 1)).bit_length() - 1
+
+
+@pytest.mark.parametrize(("few", "bits", "most", "low", "high", "most_count"), [(40, 1 << 28, 11, 20_000, 200_000, 1), (0, 1 << 20, 11, 20_000, 200_000, 1), (40, 1 << 24, 60, 5_000, 17_000, 3), (0, 60, 7, 0, 60, 4), (3, 200, 9, 1, 90, 3)])
+def test_fit_budget_of_few_long_documents(monkeypatch, few, bits, most, low, high, most_count):
+    monkeypatch.setattr(mixing, "FEW_UNITS", few)
+    monkeypatch.setattr(mixing, "TABLE_BITS", bits)
+    r = np.random.default_rng(most)
+    for _ in range(60):
+        lens = np.unique(r.integers(low, high, r.integers(2, most)))
+        counts = r.integers(1, most_count + 1, len(lens))
+        budget = int((lens * counts).sum() * r.random())
+        take = mixing.fit_budget(lens, counts, budget, cells=8 if high < 100 else mixing.CELLS)
+        assert ((0 <= take) & (take <= counts)).all()
+        assert int((lens * take).sum()) == best_sum(lens, counts, budget)
+
+
+def test_fit_budget_beyond_the_largest_set(monkeypatch):
+    monkeypatch.setattr(mixing, "FEW_UNITS", 0)
+    monkeypatch.setattr(mixing, "LARGEST", 1 << 12)
+    r = np.random.default_rng(5)
+    lens = np.unique(r.integers(300, 900, 60))
+    budget = int(lens.sum()) // 2
+    assert int((lens * mixing.fit_budget(lens, np.ones(len(lens), int), budget, cells=8)).sum()) == budget
+
+
+@needs_vocabulary
+def test_ties_and_very_long_documents(spark):
+    """Of equally long documents the seeded hash decides, whatever their order; a document far beyond the table is one unit."""
+    some = [(i, "same words here", "en", "a", 0) for i in range(30)] + [(100, "word " * 90_000, "en", "b", 0), (101, "two words", "en", "b", 0)]
+    pick = lambda rows, **k: {(r.doc_id, r.source) for r in mixing.chosen(spark.createDataFrame(rows, DOCS), **k).collect()}
+    got = pick(some, weights={"a": 1, "b": 1}, total=60)
+    assert len([x for x in got if x[1] == "a"]) == 10 and (100, "b") not in got and (101, "b") in got
+    assert got == pick(some[::-1], weights={"a": 1, "b": 1}, total=60)
+    assert (100, "b") in pick(some, weights={"b": 1}, total=90_001)
+
+
 @needs_vocabulary
 def test_token_counts_are_exact():
     encoding = mixing._encoder(mixing.TOKENIZER)
