@@ -1,20 +1,26 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three machines are compiled from a model file: the normaliser (blank to U+2581, a dummy prefix), the pieces (a trie
-whose final states emit a piece) and the byte fallback (a character outside the vocabulary to its UTF-8
-bytes). They are composed with an input as it is read, and the tropical-semiring shortest path through the composition
-is the encoding. Weights: in a unigram model an arc costs minus the piece's score. In a byte-pair model scores rank
-merges and don't add up, so a bigram acceptor stands in: two adjacent pieces cost 0 if merging their joint characters gives
-those two pieces again, else infinity. A sequence is the byte-pair encoding just if all its neighbours
-are such pairs, so that one path is finite. Runs of U+2581, whose merges all rank alike, are cut by that rule applied to the run itself.
-
-No piece holds U+2581 after another character, so an input is cut there and each distinct cut is composed once.
-
-Defined results: NULL gives NULL; an empty text gives no pieces. Decoding gives back the text but that U+2581 becomes a blank.
+Three machines are compiled from a model file: the normaliser (the character map, blanks to U+2581, a dummy prefix, blanks
+squeezed, as the model says), the pieces (a trie whose final states emit a piece) and the byte fallback (a character
+outside the vocabulary to its UTF-8 bytes). They are composed with an input as it is read, and the tropical-semiring
+shortest path through the composition is the encoding. Weights: in a unigram model an arc costs minus the piece's
+score. In a byte-pair model scores rank merges and don't add up, so a bigram acceptor stands in: two adjacent pieces
+cost 0 if merging their joint characters gives those two pieces again, else infinity. A sequence is the byte-pair
+encoding just if all its neighbours are such pairs, so that one path is finite. Runs of U+2581 overlap themselves, so
+that their neighbours don't decide; they have a machine of their own, which reads a run once, from the left.
+
+No piece holds U+2581 after another character, so an input is cut there and each distinct cut is composed once. A batch
+whose texts have single blanks only, under a model that keeps them, goes through the normaliser's arcs by cutting at blanks.
+
+Defined results: NULL gives NULL; an empty text, and one that normalises to nothing, gives no pieces. Decoding gives back the
+normalised text but that U+2581 becomes a blank. Texts of any length, runs of any one character too, take time in proportion to it (a run of
+blanks whose pieces rank apart: times its logarithm). Of equal paths the one whose last piece is longest is taken, and so on to the front, as the library
+does. Every row has its own result, rows that repeat too; an empty table gives an empty one; columns but doc_id and text aren't read.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -63,6 +69,72 @@ def _fields(b: bytes) -> Iterator[tuple]:
         yield tag >> 3, v
 
 
+def _character_map(blob: bytes) -> Iterator[tuple[str, str]]:
+    """Keys and values of a compiled character map: a double-array trie of keys, then the values, each ended by a zero byte."""
+    size = int.from_bytes(blob[:4], "little")
+    units = np.frombuffer(blob, "<u4", size // 4, 4).tolist()
+    values = blob[4 + size :]
+    stack = [(0, b"")]
+    while stack:
+        at, key = stack.pop()
+        u = units[at]
+        base = at ^ ((u >> 10) << ((u & 512) >> 6))
+        if key and u >> 8 & 1:
+            begin = units[base] & 0x7FFFFFFF
+            yield key.decode(), values[begin : values.index(b"\0", begin)].decode()
+        for c in range(1, 256):
+            if base ^ c < len(units) and units[base ^ c] & 0x800000FF == c:
+                stack.append((base ^ c, key + bytes([c])))
+
+
+class Normaliser:
+    """A transducer over characters. Its states say what was written last: nothing, a blank, or else. An arc reads the longest
+    key that fits, or one character if none does, and writes what that becomes; where blanks are squeezed, the arcs from
+    the first two states write no blank at their beginning."""
+
+    def __init__(self, keys: dict[str, str], dummy: bool, squeeze: bool, escape: bool):
+        self.dummy, self.squeeze, self.blank = dummy, squeeze, BLANK if escape else " "
+        self.plain = not keys
+        self.arcs: dict = {}
+        for key, value in keys.items():
+            node = self.arcs
+            for c in key:
+                node = node.setdefault(c, {})
+            node[_END] = value
+        if not squeeze:
+            self.arcs.setdefault(" ", {}).setdefault(_END, " ")
+        self.special = re.compile("[" + "".join(map(re.escape, sorted({" ", *self.arcs}))) + "]")
+
+    def run(self, text: str) -> str:
+        out: list[str] = []
+        special, arcs, squeeze, blank = self.special, self.arcs, self.squeeze, self.blank
+        bare, began, i, n = squeeze, False, 0, len(text)
+        while i < n:
+            found = special.search(text, i)
+            j = found.start() if found else n
+            if j > i:  # a run of characters that stay as they are
+                out.append(text[i:j])
+                bare, began, i = False, True, j
+                continue
+            node, end, value = arcs.get(text[i]), i + 1, text[i]
+            k = i + 1
+            while node is not None:
+                if _END in node:
+                    end, value = k, node[_END]
+                node, k = node.get(text[k]) if k < n else None, k + 1
+            i = end
+            began = began or not (squeeze and value == " ")
+            if bare:
+                value = value.lstrip(" ")
+            if value:
+                out.append(value.replace(" ", blank))
+                bare = squeeze and value.endswith(" ")
+        if not began:
+            return ""
+        whole = (blank if self.dummy else "") + "".join(out)
+        return whole.rstrip(blank) if squeeze else whole
+
+
 class Machine:
     """The compiled transducers of one model file."""
 
@@ -71,7 +143,7 @@ class Machine:
         self.pieces: list[str] = []
         self.scores: list[float] = []
         kinds: list[int] = []
-        self.unigram, self.dummy, self.squeeze = True, True, True
+        self.unigram, charmap, norm = True, b"", {}
         for k, v in _fields(raw):
             if k == 1:
                 f = dict(_fields(v))
@@ -81,10 +153,11 @@ class Machine:
             elif k == 2:
                 self.unigram = dict(_fields(v)).get(3, 1) == 1
             elif k == 3:
-                f = dict(_fields(v))
-                if f.get(2):
-                    raise ValueError("this normaliser has a character map; only the identity is compiled")
-                self.dummy, self.squeeze = bool(f.get(3, 1)), bool(f.get(4, 1))
+                norm |= dict(_fields(v))
+        charmap = norm.get(2, b"")
+        own = {p: p for p, kind in zip(self.pieces, kinds) if kind == 4}  # the user's own symbols stay as they are
+        self.dummy = bool(norm.get(3, 1))
+        self.normaliser = Normaliser((dict(_character_map(charmap)) if charmap else {}) | own, self.dummy, bool(norm.get(4, 1)), bool(norm.get(5, 1)))
         self.ids = {p: i for i, (p, kind) in enumerate(zip(self.pieces, kinds)) if kind in (1, 4)}
         self.byte = {int(p[3:5], 16): i for i, (p, kind) in enumerate(zip(self.pieces, kinds)) if kind == 6}
         self.unknown = kinds.index(2)
@@ -97,20 +170,35 @@ class Machine:
         self.crossing = any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.pairs: dict[int, bool] = {}
         self.path_name = path
+        blanks = {len(p): self.scores[i] for p, i in self.ids.items() if set(p) == {BLANK}}
+        ranks = {v for k, v in blanks.items() if k > 1}
+        self.alike = set(blanks) if len(ranks) <= 1 else None
+        words = [self.scores[i] for p, i in self.ids.items() if p[0] == BLANK and p[-1] != BLANK]
+        self.apart = 1 in blanks and (not ranks or max(ranks) < min(words, default=0.0))  # merges with a word come before those of a run
         shown = [p.replace(BLANK, " ").encode() if kind in (1, 4) else bytes([int(p[3:5], 16)]) if kind == 6 else b" \xe2\x81\x87 " if kind == 2 else b"" for p, kind in zip(self.pieces, kinds)]
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
         self.shown_at = np.concatenate([[0], np.cumsum([len(x) for x in shown])])
 
     def merged(self, text: str) -> list[str]:
-        """The byte-pair encoding of a short text by its definition: the best-ranked pair first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            ranks = [(-self.scores[i], k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None]
-            if not ranks:
-                break
-            k = min(ranks)[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+        """The byte-pair encoding of a text by its definition: the best-ranked pair first, the leftmost of equals."""
+        ids, scores, n = self.ids, self.scores, len(text)
+        parts: list = list(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-scores[i], k, text[k : k + 2]) for k in range(n - 1) if (i := ids.get(text[k : k + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, k, pair = heapq.heappop(heap)
+            j = after[k]
+            if parts[k] is None or j >= n or parts[k] + parts[j] != pair:
+                continue  # one of them was merged since
+            parts[k], parts[j] = pair, None
+            after[k] = after[j]
+            if after[k] < n:
+                before[after[k]] = k
+            for a in (before[k], k):
+                if a >= 0 and after[a] < n and (i := ids.get(both := parts[a] + parts[after[a]])) is not None:
+                    heapq.heappush(heap, (-scores[i], a, both))
+        return [p for p in parts if p is not None]
 
     def fits(self, a: int, b: int) -> bool:
         """The bigram acceptor: whether b may follow a."""
@@ -148,7 +236,7 @@ class Machine:
                     p = node.get(_END)
                     if p is not None:
                         if unigram:
-                            if best is None or cost[i] - scores[p] < best:
+                            if best is None or cost[i] - scores[p] <= best:
                                 best, piece, begin = cost[i] - scores[p], p, i
                         else:
                             a = last[i]
@@ -168,8 +256,7 @@ class Machine:
             at = n
             while at:
                 if last[at] == -2:
-                    raw = unit[back[at] : at].encode("utf-8", "surrogatepass")
-                    out += [self.byte[x] for x in reversed(raw)] if self.byte else [self.unknown]
+                    out += reversed(self._piece(unit[back[at] : at]))
                 else:
                     out.append(last[at])
                 at = back[at]
@@ -179,20 +266,35 @@ class Machine:
         return next(self.paths([unit]))
 
     def _blanks(self, unit: str) -> tuple[int, ...]:
-        """A run of blanks before a word: all merges within the run come after those with the word."""
+        """A run of blanks before a word."""
         body = unit.lstrip(BLANK)
+        if not self.apart:
+            return tuple(x for p in self.merged(unit) for x in self._piece(p))
         run = len(unit) - len(body)
         head = self.path(BLANK + body) if body else ()
         joined = bool(head) and self.pieces[head[0]] != BLANK
-        out: list[int] = []
-        for p in self.merged(BLANK * (run - joined)):
-            out.append(self.ids[p])
-        return (*out, *(head if joined else head[1:]))
+        return (*self._run(run - joined), *(head if joined else head[1:]))
+
+    def _run(self, n: int) -> list[int]:
+        """The machine of a run of n blanks: where all its merges rank alike, the leftmost comes first, so what stands left of
+        a blank is settled before it is read."""
+        if self.alike is None:
+            return [self.ids[p] for p in self.merged(BLANK * n)]
+        sizes: list[int] = []
+        for _ in range(n):
+            sizes.append(1)
+            while len(sizes) > 1 and sizes[-1] + sizes[-2] in self.alike:
+                last = sizes.pop()
+                sizes[-1] += last
+        return [self.ids[BLANK * k] for k in sizes]
+
+    def _piece(self, part: str) -> list[int]:
+        if (i := self.ids.get(part)) is not None:
+            return [i]
+        return [self.byte[x] for x in part.encode("utf-8", "surrogatepass")] if self.byte else [self.unknown]
 
     def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        return (BLANK if self.dummy and text else "") + text.replace(" ", BLANK)
+        return self.normaliser.run(text)
 
     def encode(self, text: str) -> list[int]:
         whole = self.normalise(text)
@@ -205,7 +307,7 @@ class Machine:
         text = text.fill_null("") if text.null_count else text
         n = len(text)
         odd = np.asarray(pc.match_substring_regex(text, f"^$|^ |  | $|{BLANK}"), bool)
-        if self.crossing or self.squeeze or not self.dummy:
+        if self.crossing or not self.normaliser.plain or self.normaliser.squeeze or not self.dummy:
             odd[:] = True
         lists = pc.split_pattern(text, " ")
         base = lists.offsets[0].as_py()

@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -29,6 +30,48 @@ def test_same_as_the_library():
     assert [pieces.machine().decode(w) for w in want] == library.decode(want)
 
 
+def _varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+@pytest.mark.parametrize(("rule", "squeeze", "dummy"), [("nmt_nfkc", True, True), ("nfkc_cf", False, True), ("nmt_nfkc_cf", True, False), ("identity", True, True)])
+def test_normaliser_is_the_library_s(tmp_path, rule, squeeze, dummy):
+    """The given model's pieces under other normalisers, whose character maps the library has ready made."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    proto = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()
+    charmap = next((dict(pieces._fields(v)).get(2, b"") for k, v in pieces._fields(proto) if k == 3), b"")
+    spec = (b"\x12" + _varint(len(charmap)) + charmap if charmap else b"") + bytes([0x18, dummy, 0x20, squeeze, 0x28, 1])
+    path = tmp_path / "other.model"
+    path.write_bytes(open(pieces.MODEL, "rb").read() + b"\x1a" + _varint(len(spec)) + spec)
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    m = pieces.Machine(str(path))
+    r = random.Random(4)
+    letters = "Ab e ßÅ①ｶﾞ㌔ﬁ\u0301\u00ad\u200b\u3000İ\t\x07ﷺ漢 x e\u0301"
+    some = ["".join(r.choice(letters) for _ in range(r.randrange(0, 30))) for _ in range(1500)] + ["", " ", "   ", "\u00ad", " \u3000 a  b ", "Ａ" * 300] + texts()[:500]
+    assert [m.normalise(t) for t in some] == [library.normalize(t) for t in some]
+    ids, first = m.encode_batch(pa.array(some))
+    assert [ids[first[i] : first[i + 1]].tolist() for i in range(len(some))] == library.encode(some, num_threads=1)
+
+
+def test_long_runs():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    m = pieces.machine()
+    some = [" " * n + x for n in (41, 100, 997, 5000, 100_000) for x in ("", "word", "漢")] + ["a" * 50_000, "ab" * 20_000, "▁" * 3000, "x" + " " * 7777 + "y"]
+    began = time.perf_counter()
+    got = [m.encode(t) for t in some]
+    assert time.perf_counter() - began < 15
+    assert got == library.encode(some, num_threads=1)
+    began = time.perf_counter()
+    m.encode(" " * 100_000)
+    assert time.perf_counter() - began < 1
+    for n in (2, 3, 17, 60):  # the general rule and the run's machine are one
+        assert [m.ids[p] for p in m.merged(pieces.BLANK * n)] == m._run(n)
+
+
 def test_shortest_path_of_a_unigram_model():
     m = object.__new__(pieces.Machine)
     m.pieces, m.scores = ["<unk>", "▁a", "b", "ab", "▁", "a", "▁ab"], [0, -1.0, -2.0, -2.5, -1.0, -2.0, -3.4]
