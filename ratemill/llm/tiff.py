@@ -2,15 +2,22 @@
 
 pages() walks the image directories of a TIFF file (either byte order, classic or big, SubIFDs aside), decodes strips
 and tiles (uncompressed, PackBits, LZW, deflate), undoes predictors (2 horizontal, 3 floating point) and gives one row per
-page. Samples of 8, 16, 32 and 64 bits are decoded; of fewer bits, the packed rows are given.
+page. Samples of 8, 16, 32 and 64 bits are decoded; of fewer than 8 bits, the packed rows are given, each from a byte of its own.
+
+Strips and tiles are decoded a few rows at a time into the page, and no decoder makes more than the page has room for, so a
+page takes its own bytes and STEP. A page that claims over max_page bytes (a parameter; MAX_PAGE is what one row of
+Spark can hold with room to spare) has an error instead.
 
 Defined results: a page that can't be decoded has its error and NULL pixels; a file whose header or chain of directories is
 broken gives a row for each page before the break and one with the error; a directory that was already seen ends the chain;
-NULL bytes give no row; an empty file gives one row with an error.
+NULL bytes give no row; an empty file gives one row with an error. Rows that repeat, and NULL keys, give their pages each time; an
+empty table gives an empty one. Other columns of the table, whatever their names, aren't read; a key named like a column of
+the result is given as key_ and that name.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,64 +32,128 @@ _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12
 _LETTERS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 _FORMATS = {1: "u", 2: "i", 3: "f"}
 COMPRESSIONS = {1: "none", 5: "lzw", 8: "deflate", 32946: "deflate", 32773: "packbits"}
-#: A page that claims more bytes than this is refused, so that a forged header can't exhaust memory.
+#: Bytes of a page beyond which it isn't decoded.
 MAX_PAGE = 1 << 30
+#: Bytes that a decoder makes at once.
+STEP = 1 << 20
+
+
+def unpackbits(data: bytes, need: int | None = None) -> bytes:
+    return b"".join(_unpacked(data, need))
 
 
-def unpackbits(data: bytes) -> bytes:
-    out, i, n = [], 0, len(data)
-    while i < n:
+def _unpacked(data: bytes, need: int | None = None) -> Iterator[bytes]:
+    """PackBits, in parts of about STEP bytes, until there are need bytes."""
+    out, i, n, size = [], 0, len(data), 0
+    left = math.inf if need is None else need
+    while i < n and left > size:
         c = data[i]
         i += 1
         if c < 128:
-            out.append(data[i : i + c + 1])
+            out.append(bytes(data[i : i + c + 1]))
             i += c + 1
         elif c > 128:
-            out.append(data[i : i + 1] * (257 - c))
+            out.append(bytes(data[i : i + 1]) * (257 - c))
             i += 1
-    return b"".join(out)
+        size += len(out[-1]) if c != 128 else 0
+        if size >= STEP:
+            yield b"".join(out)
+            left -= size
+            out, size = [], 0
+    yield b"".join(out)
+
+
+#: Bits of the codes that follow a clear code, and where each begins: a code gets wider one entry early.
+_WIDTHS = np.array([9, 9, *[9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12 for n in range(260, 260 + 8190)]])
+_STARTS = np.concatenate([[0], np.cumsum(_WIDTHS)])
 
 
-def unlzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, the high bit first; a code gets wider one entry early."""
+def unlzw(data: bytes, need: int | None = None) -> bytes:
+    return b"".join(_unlzw(data, need))
+
+
+def _unlzw(data: bytes, need: int | None = None) -> Iterator[bytes]:
+    """LZW, the high bit first, in parts of about STEP bytes, until there are need bytes. How wide a code is depends on how many
+    came since the last clear code, so all up to the next are cut out at once."""
+    raw = np.zeros(len(data) + 8, np.uint8)
+    raw[: len(data)] = np.frombuffer(data, np.uint8)
     first = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, out = list(first), []
-    width, bits, held, last = 9, 0, 0, None
-    for byte in data:
-        held = held << 8 | byte
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 256:
-            table, width, last = list(first), 9, None
-            continue
-        if code == 257:
+    table, out, size = list(first), [], 0
+    left = math.inf if need is None else need
+    at, bits, k, last = 0, 8 * len(data), 0, None
+    while size < left:
+        n = min(int(np.searchsorted(_STARTS, bits - at + _STARTS[k], "right")) - 1 - k, 4096)
+        if n <= 0:
             break
-        if last is None:
-            if code > 255:
-                raise ValueError("LZW: the first code is no byte")
-            entry = table[code]
-        else:
-            if code < len(table):
+        place = at + _STARTS[k : k + n] - _STARTS[k]
+        byte = place >> 3
+        word = raw[byte].astype(np.uint32) << 24 | raw[byte + 1].astype(np.uint32) << 16 | raw[byte + 2].astype(np.uint32) << 8 | raw[byte + 3]
+        width = _WIDTHS[k : k + n]
+        codes = word >> (32 - (place & 7) - width).astype(np.uint32) & ((1 << width) - 1).astype(np.uint32)
+        marks = np.flatnonzero((codes == 256) | (codes == 257))
+        end = int(marks[0]) if len(marks) else n
+        for code in codes[:end].tolist():
+            if last is None:
+                if code > 255:
+                    raise ValueError("LZW: the first code is no byte")
                 entry = table[code]
-            elif code == len(table):
-                entry = last + last[:1]
             else:
-                raise ValueError("LZW: a code from the future")
-            table.append(last + entry[:1])
-        out.append(entry)
-        last = entry
-        size = len(table) + 1
-        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
-    return b"".join(out)
+                if code < len(table):
+                    entry = table[code]
+                elif code == len(table):
+                    entry = last + last[:1]
+                else:
+                    raise ValueError("LZW: a code from the future")
+                if len(table) < 4096:
+                    table.append(last + entry[:1])
+            out.append(entry)
+            size += len(entry)
+            last = entry
+            if size >= STEP:
+                yield b"".join(out)
+                left -= size
+                out, size = [], 0
+                if left <= 0:
+                    return
+        if len(marks):
+            if codes[end] == 257:
+                break
+            at += int(_STARTS[k + end + 1] - _STARTS[k])
+            table, k, last = list(first), 0, None
+        else:
+            at += int(_STARTS[k + n] - _STARTS[k])
+            k = min(k + n, 4096)  # from there on all are alike
+    yield b"".join(out)
 
 
-def _inflate(data: bytes, limit: int) -> bytes:
+def _inflated(data: bytes, need: int) -> Iterator[bytes]:
     engine = zlib.decompressobj()
-    return engine.decompress(data, limit)
+    while need > 0:
+        part = engine.decompress(data, min(need, STEP))
+        if not part:
+            return
+        yield part
+        need -= len(part)
+        data = engine.unconsumed_tail
+
+
+def _rows(data: bytes, packing: str, row: int, lines: int) -> Iterator[np.ndarray]:
+    """The rows of a strip or tile, some at a time."""
+    need = row * lines
+    if packing == "none":
+        parts = (data[i : i + STEP] for i in range(0, min(need, len(data)), STEP))
+    else:
+        parts = {"packbits": _unpacked, "lzw": _unlzw, "deflate": _inflated}[packing](data, need)
+    held = b""
+    for part in parts:
+        held = part if not held else b"".join((held, part))
+        n = min(len(held) // row, lines)
+        if n:
+            yield np.frombuffer(held, np.uint8, n * row).reshape(n, row)
+            held, lines = bytes(held[n * row :]), lines - n
+        if not lines:
+            return
+    raise ValueError("a strip or tile is too short")
 
 
 class _File:
@@ -123,7 +194,7 @@ class _File:
         end = body + n * size
         return tags, self.read("Q" if self.big else "I", end)
 
-    def pixels(self, tags: dict[int, list]) -> tuple[bytes, dict]:
+    def pixels(self, tags: dict[int, list], max_page: int) -> tuple[np.ndarray, dict]:
         one = lambda tag, other: tags.get(tag, [other])[0]
         width, height = one(256, 0), one(257, 0)
         samples = one(277, 1)
@@ -133,52 +204,51 @@ class _File:
         if len(set(bits)) != 1:
             raise ValueError("samples of different widths")
         depth = bits[0]
-        if not width or not height:
+        if not width or not height or not samples:
             raise ValueError("a page without size")
         if packing not in COMPRESSIONS:
             raise ValueError(f"compression {packing} is not decoded")
-        if width * height * samples * max(depth, 8) // 8 > MAX_PAGE:
-            raise ValueError("the page is too large")
-        per = 1 if planar else samples
+        if depth not in (8, 16, 32, 64) and not 0 < depth < 8:
+            raise ValueError(f"samples of {depth} bits are not decoded")
+        per, planes = (1, samples) if planar else (samples, 1)
         tiled = 322 in tags
         tw, th = (one(322, 0), one(323, 0)) if tiled else (width, min(one(278, height) or height, height))
-        if not tw or not th or tw * th * per * max(depth, 8) // 8 > MAX_PAGE:
-            raise ValueError("a tile without size, or too large")
+        row, wide = -(-tw * per * depth // 8), -(-width * per * depth // 8)
+        if max(wide * height * planes, row if tw and th else 0, row * th if tiled else 0) > max_page:
+            raise ValueError(f"the page has over {max_page} bytes")
+        if not tw or not th:
+            raise ValueError("a tile without size")
         offsets, counts = (tags.get(324), tags.get(325)) if tiled else (tags.get(273), tags.get(279))
         across, down = -(-width // tw), -(-height // th)
-        planes = samples if planar else 1
         if not offsets or not counts or len(offsets) < across * down * planes or len(counts) < across * down * planes:
             raise ValueError("strips or tiles are missing")
-        narrow = depth not in (8, 16, 32, 64)
-        if narrow and (tiled or depth > 8):
-            raise ValueError(f"samples of {depth} bits are not decoded")
-        row = -(-tw * per * depth // 8)
-        whole = np.zeros((planes, height, -(-width * per * depth // 8)), np.uint8)
+        name, size = COMPRESSIONS[packing], max(depth // 8, 1)
+        # narrow samples: planes one after the other; their tiles are put together bit by bit
+        loose = depth < 8 and across > 1
+        whole = np.zeros((planes, height, width * per * depth if loose else wide) if depth < 8 else (height, width, samples, size), np.uint8)
         for k in range(across * down * planes):
             plane, cell = divmod(k, across * down)
             y, x = divmod(cell, across)
             lines = th if tiled else min(th, height - y * th)
             if offsets[k] + counts[k] > len(self.data):
                 raise ValueError("a strip or tile ends beyond the file")
-            raw = self.data[offsets[k] : offsets[k] + counts[k]]
-            need = row * lines
-            name = COMPRESSIONS[packing]
-            raw = raw if name == "none" else unpackbits(raw) if name == "packbits" else unlzw(raw) if name == "lzw" else _inflate(raw, need)
-            if len(raw) < need:
-                raise ValueError("a strip or tile is too short")
-            block = np.frombuffer(raw, np.uint8, need).reshape(lines, row)
-            block = self.predicted(block, predictor, per, depth, kind, tw)
-            if y * th + lines > height:
-                block = block[: height - y * th]
-            if narrow:
-                whole[plane, y * th : y * th + len(block)] = block
-            else:
-                left = x * tw * per * depth // 8
-                whole[plane, y * th : y * th + len(block), left : left + row] = block[:, : whole.shape[2] - left]
-        if planar and not narrow:
-            whole = whole.reshape(planes, height, width, depth // 8).transpose(1, 2, 0, 3)
-        info = {"width": width, "height": height, "samples": samples, "bits": depth, "sample_format": _FORMATS.get(kind, "u"), "compression": COMPRESSIONS[packing], "predictor": predictor, "layout": "tiles" if tiled else "strips"}
-        return np.ascontiguousarray(whole).tobytes(), info
+            top = y * th
+            for raw in _rows(self.data[offsets[k] : offsets[k] + counts[k]], name, row, lines):
+                block = self.predicted(raw, predictor, per, depth, kind, tw)[: max(0, height - top)]
+                to = slice(top, top + len(block))
+                if depth >= 8:
+                    cells = block.reshape(len(block), tw, per, size)[:, : width - x * tw]
+                    whole[to, x * tw : (x + 1) * tw, plane : plane + 1 if planar else None] = cells
+                elif loose:
+                    left = x * tw * per * depth
+                    whole[plane, to, left : left + tw * per * depth] = np.unpackbits(block, axis=1)[:, : min(tw * per * depth, whole.shape[2] - left)]
+                else:
+                    whole[plane, to] = block[:, :wide]
+                top += len(raw)
+        if loose:
+            whole = np.packbits(whole, axis=2)
+        info = {"width": width, "height": height, "samples": samples, "bits": depth, "sample_format": _FORMATS.get(kind, "u"), "compression": name, "predictor": predictor, "layout": "tiles" if tiled else "strips"}
+        return whole.reshape(-1), info
 
     def predicted(self, block: np.ndarray, predictor: int, per: int, depth: int, kind: int, width: int) -> np.ndarray:
         """Rows in little-endian bytes with the predictor undone."""
@@ -208,7 +278,7 @@ class _File:
 _NONE = dict.fromkeys(("width", "height", "samples", "bits", "sample_format", "compression", "predictor", "layout", "pixels"))
 
 
-def pages(data: bytes) -> Iterator[dict]:
+def pages(data: bytes, max_page: int = MAX_PAGE) -> Iterator[dict]:
     """A row for each page: its number, size, samples, how it was packed, its pixels in little-endian rows, and error."""
     seen: set[int] = set()
     number = 0
@@ -219,8 +289,8 @@ def pages(data: bytes) -> Iterator[dict]:
             seen.add(at)
             tags, at = file.directory(at)
             try:
-                pixels, info = file.pixels(tags)
-                yield {"page": number, **info, "pixels": pixels, "error": None}
+                pixels, info = file.pixels(tags, max_page)
+                yield {"page": number, **info, "pixels": pixels.data, "error": None}
             except (ValueError, struct.error, zlib.error, IndexError) as e:
                 yield {"page": number, **_NONE, "error": str(e)}
             number += 1
@@ -233,10 +303,10 @@ def pages(data: bytes) -> Iterator[dict]:
 _OUT = "page int, width int, height int, samples int, bits int, sample_format string, compression string, predictor int, layout string, pixels binary, error string"
 
 
-def decode(files: DataFrame, key: str, column: str) -> DataFrame:
+def decode(files: DataFrame, key: str, column: str, max_page: int = MAX_PAGE) -> DataFrame:
     """key and one row for each page of the TIFF files in column."""
     slim = files.select(files[key].alias("key"), files[column].alias("data"))
-    schema = f"`{key}` {slim.schema['key'].dataType.simpleString()}, {_OUT}"
+    schema = f"key {slim.schema['key'].dataType.simpleString()}, {_OUT}"
     kinds = {"page": pa.int32(), "width": pa.int32(), "height": pa.int32(), "samples": pa.int32(), "bits": pa.int32(), "sample_format": pa.string(), "compression": pa.string(), "predictor": pa.int32(), "layout": pa.string(), "pixels": pa.binary(), "error": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,18 +315,32 @@ def decode(files: DataFrame, key: str, column: str) -> DataFrame:
             for k, data in zip(batch.column("key"), batch.column("data")):
                 if not data.is_valid:
                     continue
-                for row in pages(data.as_py()):
+                for row in pages(memoryview(data.as_buffer()).cast("B"), max_page):
+                    more = 0 if row["pixels"] is None else len(row["pixels"])
+                    if rows and size + more > 8 << 20:
+                        yield _batch(keys, rows, kinds, batch.schema.field("key").type)
+                        keys, rows, size = [], [], 0
                     keys.append(k)
                     rows.append(row)
-                    size += len(row["pixels"] or b"")
+                    size += more
                     if size > 8 << 20:
-                        yield _batch(keys, rows, kinds, key, batch.schema.field("key").type)
+                        yield _batch(keys, rows, kinds, batch.schema.field("key").type)
                         keys, rows, size = [], [], 0
             if rows:
-                yield _batch(keys, rows, kinds, key, batch.schema.field("key").type)
+                yield _batch(keys, rows, kinds, batch.schema.field("key").type)
 
-    return in_arrow(slim, run, schema)
+    return in_arrow(slim, run, schema).withColumnRenamed("key", f"key_{key}" if key.lower() in kinds else key)
 
 
-def _batch(keys: list, rows: list[dict], kinds: dict[str, pa.DataType], key: str, kind: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], kind), *[pa.array([r[c] for r in rows], t) for c, t in kinds.items()]], names=[key, *kinds])
+def _batch(keys: list, rows: list[dict], kinds: dict[str, pa.DataType], kind: pa.DataType) -> pa.RecordBatch:
+    columns = [pa.array([k.as_py() for k in keys], kind)]
+    for c, t in kinds.items():
+        if c != "pixels":
+            columns.append(pa.array([r[c] for r in rows], t))
+            continue
+        parts = [r[c] if r[c] is not None else b"" for r in rows]
+        at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+        there = pa.array([r[c] is not None for r in rows])
+        whole = parts[0] if len(parts) == 1 else b"".join(parts)  # a large page is alone and isn't copied
+        columns.append(pa.Array.from_buffers(t, len(rows), [there.buffers()[1], pa.py_buffer(at), pa.py_buffer(whole)]))
+    return pa.RecordBatch.from_arrays(columns, names=["key", *kinds])

@@ -1,6 +1,8 @@
 import itertools
 import random
 import struct
+import tracemalloc
+import zlib
 
 import numpy as np
 import pytest
@@ -56,6 +58,88 @@ def test_broken_files_never_raise():
     assert [p["error"] for p in tiff.pages(b"")] == ["no TIFF header"]
 
 
+def by_hand(entries, body=b"", order="<", start=8):
+    """A TIFF file with one directory: entries of (tag, kind, values), body from byte 8 on."""
+    letters = {3: "H", 4: "I"}
+    out = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8 + len(body)) + body
+    out += struct.pack(order + "H", len(entries))
+    for tag, kind, value in entries:
+        out += struct.pack(order + "HHI", tag, kind, 1) + struct.pack(order + letters[kind], value).ljust(4, b"\0")
+    return out + b"\0\0\0\0"
+
+
+def grey(width, height, packing, body, bits=8, order="<", **more):
+    tags = [(256, 4, width), (257, 4, height), (258, 3, bits), (259, 3, packing), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, height), (279, 4, len(body)), *more.get("extra", [])]
+    return by_hand(tags, body, order)
+
+
+def test_bytes_that_others_made():
+    """Packed bytes as the standards print them, not by our own writer."""
+    # the run and literals of the PackBits note, 24 bytes
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    plain = bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    assert tiff.unpackbits(packed) == plain
+    # the worked LZW example of TIFF 6.0, section 13: 7 7 7 8 8 7 7 6 6 as 256 7 258 8 8 258 6 6 257, nine bits each
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    lzw = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    want = bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert tiff.unlzw(lzw) == want
+    # zlib stream of fixed codes, as other programs make it
+    deflated = zlib.compress(want, 9)
+    for order, packing, body, pixels in (("<", 5, lzw, want), (">", 5, lzw, want), (">", 8, deflated, want), ("<", 32946, deflated, want), ("<", 1, want, want), (">", 32773, packed, plain)):
+        (page,) = tiff.pages(grey(3 if len(pixels) == 9 else 6, 3 if len(pixels) == 9 else 4, packing, body, order=order))
+        assert page["error"] is None and bytes(page["pixels"]) == pixels
+    # 16 bits, big-endian, horizontal differences 1, +2, -1: 1 3 2
+    (page,) = tiff.pages(grey(3, 1, 1, bytes.fromhex("00010002FFFF"), 16, ">", extra=[(317, 3, 2)]))
+    assert np.frombuffer(page["pixels"], "<u2").tolist() == [1, 3, 2]
+    # the floating-point predictor over 1.0 and 2.0 (3F800000 40000000): bytes by significance, then differences
+    body = bytes.fromhex("3F408000 0000 0000".replace(" ", ""))
+    stored = bytes([body[0], *[(b - a) % 256 for a, b in zip(body, body[1:])]])
+    (page,) = tiff.pages(grey(2, 1, 1, stored, 32, extra=[(317, 3, 3), (339, 3, 3)]))
+    assert np.frombuffer(page["pixels"], "<f4").tolist() == [1.0, 2.0]
+
+
+def test_pages_take_no_more_than_they_have_room_for():
+    side = 6000
+    bomb = zlib.compress(bytes(60 << 20), 9)
+    for packing, body in ((8, bomb), (32773, bytes([129, 7]) * 400_000), (5, tiff_write.lzw(bytes(40 << 20)))):
+        tracemalloc.start()
+        (page,) = tiff.pages(grey(side, 200, packing, body))
+        assert page["error"] is None and len(page["pixels"]) == side * 200
+        assert tracemalloc.get_traced_memory()[1] < side * 200 + 8 * tiff.STEP
+        tracemalloc.stop()
+    (page,) = tiff.pages(grey(side, side, 8, bomb), max_page=1 << 20)
+    assert "over" in page["error"] and page["pixels"] is None
+    (page,) = tiff.pages(grey(side, 20_000, 8, bomb))
+    assert page["error"] == "a strip or tile is too short"
+
+
+def test_narrow_tiles():
+    values = np.random.default_rng(7).integers(0, 4, (16, 32), dtype="u1")
+    bits = lambda v: np.packbits(np.unpackbits(v[..., None], axis=2)[..., 6:].reshape(len(v), -1), axis=1).tobytes()
+    tiles = [bits(values[:, :16]), bits(values[:, 16:])]
+    body = b"".join(tiles)
+    tags = [(256, 4, 21), (257, 4, 13), (258, 3, 2), (259, 3, 1), (277, 3, 1), (322, 4, 16), (323, 4, 16)]
+    head = 8 + len(body)
+    lists = struct.pack("<4I", 8, 8 + len(tiles[0]), len(tiles[0]), len(tiles[1]))
+    out = b"II" + struct.pack("<HI", 42, head + 16) + body + lists + struct.pack("<H", len(tags) + 2)
+    for tag, kind, value in tags:
+        out += struct.pack("<HHI", tag, kind, 1) + struct.pack("<I", value)
+    out += struct.pack("<HHII", 324, 4, 2, head) + struct.pack("<HHII", 325, 4, 2, head + 8) + b"\0\0\0\0"
+    (page,) = tiff.pages(out)
+    assert page["error"] is None and bytes(page["pixels"]) == bits(values[:13, :21])
+
+
+@pytest.mark.parametrize("key", ["page", "pixels", "key", "Error"])
+def test_keys_named_like_columns_of_the_result(spark, key):
+    file = tiff_write.write([np.arange(12, dtype="u1").reshape(3, 4, 1)], [("none", 1, 3)])
+    df = spark.createDataFrame([(5, bytearray(file), 1)], f"`{key}` long, data binary, width int")
+    got = tiff.decode(df, key, "data")
+    assert got.columns[0] == (key if key == "key" else f"key_{key}") and len(set(got.columns)) == len(got.columns)
+    assert got.first()[0] == 5
+
+
 def test_decode_odd_rows(spark):
     image = np.arange(12, dtype="u1").reshape(3, 4, 1)
     file = tiff_write.write([image, image], [("none", 1, 3), ("packbits", 1, 1)])
