@@ -7,13 +7,20 @@ the leader of that bucket, and those unlike it with all others of the bucket tha
 edit-distance alignment of their words: they are near copies if 1 - distance / words of the longer >= SIMILARITY.
 Pairs whose lengths alone rule that out aren't aligned. Groups are the connected components.
 
+Where a bucket holds many unlike texts, as when they share a license line, its pairs would grow with the square of them. The
+texts of such buckets are aligned only where they share one of their rarest words: a text of n words that differs from a
+near copy in at most d of them shares one of its d + 1 rarest with it, whatever order says what is rare, so no near copy
+is lost. Rare is what few texts of such buckets have, so what a bucket's texts have in common doesn't pair them.
+
 Few words leave a sketch little to hold on to. Texts of up to EXACT_WORDS words therefore also meet under every
 sequence of words that a near copy may have in common with them, which misses none, and texts of up to FEW_WORDS words
 under sketches of SMALL_PICKS k-mers.
 
 Defined results: a NULL text belongs to no group; texts that are equal, empty ones too, are one group; a text without
 words has no sketch; a text of fewer than K words is one k-mer. A group is named by its smallest doc_id, NULL last,
-and keeps one row, the first by (doc_id, content).
+and keeps one row, the first by (doc_id, content). Texts of any length are aligned whole. Equal rows are copies of each other; which of
+rows equal in doc_id and text stays makes no difference but for their other columns, of which any row's stay. An empty table gives an
+empty one. dedup() gives back all columns of docs, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +46,8 @@ FEW_WORDS = 64
 EXACT_WORDS = 14
 SIMILARITY = 0.8
 SEED = 20_240
+#: Pairs of unlike texts of one bucket up to which all of them are aligned.
+FEW_PAIRS = 1 << 10
 #: Errors up to which alignment follows diagonals; beyond, it fills the band row by row.
 FEW = 48
 #: K-mers of a document that a sketch looks at on average; if fewer than PICKS of them are there, it looks at all.
@@ -63,16 +72,7 @@ def sketches(col: pa.Array, k: int = K, picks: int = PICKS, count: int = SKETCHE
         grams[inside] = mix(grams[inside] * np.uint64(0x100000001B3) + words[np.minimum(idx + j, len(words) - 1)][inside])
     whole = (idx + k <= last) | (idx == first[doc])
     grams, doc, pos = grams[whole], doc[whole], idx[whole]
-    # occurrence labels: equal k-mers of a document in text order
-    key = mix(grams ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    order = np.argsort(key, kind="stable")
-    same = np.zeros(len(order), bool)
-    same[1:] = key[order][1:] == key[order][:-1]
-    run = np.arange(len(order))
-    label = run - np.maximum.accumulate(np.where(same, 0, run))
-    labels = np.empty(len(order), np.uint64)
-    labels[order] = label
-    base = np.where(labels > 0, mix(grams + labels * np.uint64(0xD6E8FEB86659FD93)), grams)
+    base = _labelled(grams, doc)
     n_grams = np.bincount(doc, minlength=len(n_words))[rows]
     begin = np.zeros(len(rows) + 1, np.int64)
     np.cumsum(n_grams, out=begin[1:])
@@ -103,6 +103,18 @@ def sketches(col: pa.Array, k: int = K, picks: int = PICKS, count: int = SKETCHE
     return rows, out
 
 
+def _labelled(grams: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """grams with their occurrence labels: equal ones of a document are told apart, in text order."""
+    key = mix(grams ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    order = np.argsort(key, kind="stable")
+    same = np.zeros(len(order), bool)
+    same[1:] = key[order][1:] == key[order][:-1]
+    run = np.arange(len(order))
+    labels = np.empty(len(order), np.uint64)
+    labels[order] = run - np.maximum.accumulate(np.where(same, 0, run))
+    return np.where(labels > 0, mix(grams + labels * np.uint64(0xD6E8FEB86659FD93)), grams)
+
+
 def common_parts(col: pa.Array, similarity: float = SIMILARITY, longest: int = EXACT_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and keys of the texts of 1 to longest words: two of them that are that similar share a key at least.
 
@@ -314,6 +326,35 @@ def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(texts.select("cid", "text").join(wanted, "cid", "left_semi").dropDuplicates(["cid"]))
 
 
+def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in chunks(whole, "text"):
+            words, first = _words(batch.column("text"))
+            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(_labelled(words.view(np.uint64), doc).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), lists], names=["cid", "words"])
+
+
+def _rarest(crowd: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The rows of crowd (cid, n, ...) with each word of which a near copy in crowd must share one."""
+    ours = texts.select("cid", "text").join(crowd.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
+    words = cut(in_arrow(ours, _word_batches, "cid binary, words array<bigint>").select("cid", F.explode("words").alias("word")))
+    often = words.groupBy("word").agg(F.count(F.lit(1)).alias("times"))
+    rank = F.row_number().over(Window.partitionBy("cid").orderBy("times", "word"))
+    ranked = words.join(often, "word").select("cid", "word", "times", rank.alias("rank")).join(crowd, "cid")
+    # a near copy of n words has n / similarity at most, of which the share 1 - similarity may differ
+    return ranked.where(F.col("rank") <= F.floor(F.lit((1 - similarity) / similarity) * F.col("n") + 1e-9) + 1).where("times > 1").drop("rank", "times")
+
+
+def crowded_pairs(crowd: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """a, b of the contents of crowd (cid, n, root, open) that may be near copies, aren't joined yet, and of which one is open."""
+    rare = cut(_rarest(crowd, texts, similarity))
+    x, y = (rare.select(*[F.col(c).alias(f"{c}_{k}" if c != "word" else c) for c in rare.columns]) for k in "ab")
+    close = F.abs(F.col("n_a") - F.col("n_b")) <= F.floor(F.lit(1 - similarity) * F.greatest("n_a", "n_b") + 1e-9)
+    met = x.where("open_a").join(y, "word").where("cid_a <> cid_b AND root_a <> root_b AND (NOT open_b OR cid_a < cid_b)").where(close)
+    return met.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Every row with text as doc_id, cid; and cid, root of the contents that have near copies."""
     texts = docs.select(content_id(F.col("text")).alias("cid"), F.col("doc_id"), F.col("text")).where("text IS NOT NULL")
@@ -328,9 +369,16 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     roots = components(first.where("ok")).select(F.col("node").alias("b"), "root")
     known = met.join(first.where("ok").select("a", "b", F.lit(True).alias("like")), ["a", "b"], "left").join(roots, "b", "left")
     members = cut(known.select("bucket", "b", "n_b", F.coalesce("like", F.lit(False)).alias("like"), F.coalesce("root", "b").alias("root")))
-    unlike = members.where("NOT like").select("bucket", F.col("b").alias("a"), F.col("n_b").alias("n_a"), F.col("root").alias("root_a"))
-    open_ = unlike.join(members, "bucket").where("root <> root_a AND (like OR a < b)").where(near_in_length)
-    pairs = cut(open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    sizes = members.groupBy("bucket").agg((F.count_if(~F.col("like")) * F.count(F.lit(1))).alias("pairs")).select("bucket", (F.col("pairs") > FEW_PAIRS).alias("crowded"))
+    members = members.join(sizes, "bucket")
+    some = members.where("NOT crowded").drop("crowded")
+    unlike = some.where("NOT like").select("bucket", F.col("b").alias("a"), F.col("n_b").alias("n_a"), F.col("root").alias("root_a"))
+    open_ = unlike.join(some, "bucket").where("root <> root_a AND (like OR a < b)").where(near_in_length)
+    wanted = open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crowd = cut(members.where("crowded").groupBy(F.col("b").alias("cid")).agg(F.first("n_b").alias("n"), F.first("root").alias("root"), F.bool_or(~F.col("like")).alias("open")))
+    if not crowd.isEmpty():
+        wanted = wanted.unionByName(crowded_pairs(crowd, texts, similarity))
+    pairs = cut(wanted.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"))
     second = _compare(pairs, _texts_of(pairs, texts), similarity)
     edges = first.where("ok").select("a", "b").unionByName(second.where("ok").select("a", "b"))
     return texts.select("doc_id", "cid"), components(edges).select(F.col("node").alias("cid"), "root")

@@ -1,4 +1,5 @@
 import collections
+import os
 import random
 import re
 
@@ -7,8 +8,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ratemill.llm import exact, near, suffix
+from ratemill.llm.common import content_id
 from tests.llm.common_rows import DOCS, LONG, empty, odd, rows
 
 
@@ -179,6 +182,80 @@ def test_near_odd_rows(spark):
     assert near.near_groups(empty(spark)).count() == 0 and near.dedup(empty(spark)).count() == 0
 
 
+def test_crowded_buckets_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """5,000 unlike texts that share a license line, with near copies among them: few pairs are aligned, and none of the copies is lost."""
+    r = random.Random(8)
+    line = " ".join(f"license{i}" for i in range(40))
+    texts = [line + " " + " ".join(f"w{r.randrange(20_000)}" for _ in range(r.randrange(40, 80))) for _ in range(5000)]
+    copies = []
+    for i in range(0, 600, 3):
+        words = texts[i].split()
+        for at in r.sample(range(40, len(words)), len(words) // 8):
+            words[at] = f"new{r.randrange(10**6)}"
+        copies.append(" ".join(words))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts + copies)], DOCS)
+    aligned = []
+    compare = near._compare
+    monkeypatch.setattr(near, "_compare", lambda pairs, *more: (aligned.append(pairs.count()), compare(pairs, *more))[1])
+    got = {x.doc_id: x.group_id for x in near.near_groups(df).collect()}
+    assert sum(got[5000 + k] == got[3 * k] for k in range(200)) >= 195
+    assert max(collections.Counter(got.values()).values()) < 10
+    assert sum(aligned) < 400_000  # of 13 million pairs
+
+
+def test_rarest_words_lose_no_near_copy(spark):
+    r = random.Random(11)
+    texts = set()
+    for _ in range(25):
+        base = [f"a{r.randrange(15)}" for _ in range(r.randrange(1, 30))]
+        for _ in range(6):
+            words = list(base)
+            for _ in range(r.randrange(0, 1 + len(base) // 4)):
+                at = r.randrange(len(words) + 1)
+                words[at : at + r.randrange(2)] = [f"a{r.randrange(15)}"] * r.randrange(2)
+            texts.add(" ".join(words) or "a")
+    texts = sorted(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").select("doc_id", "text", content_id(F.col("text")).alias("cid"))
+    crowd = df.select("cid", F.size(F.split("text", " ")).alias("n"), F.col("cid").alias("root"), F.lit(True).alias("open"))
+    ids = {bytes(x.cid): x.doc_id for x in df.collect()}
+    got = {frozenset((ids[bytes(x.a)], ids[bytes(x.b)])) for x in near.crowded_pairs(crowd, df, near.SIMILARITY).collect()}
+    split = [np.array([hash(w) for w in t.split()]) for t in texts]
+    want = {frozenset((i, j)) for i in range(len(texts)) for j in range(i) if near.distance(split[i], split[j], 99) <= near._most(max(len(split[i]), len(split[j])), near.SIMILARITY)}
+    assert len(want) > 50 and want <= got
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables here")
+def test_recall_on_the_small_table(spark):
+    """Against brute force over all pairs of sf0.01 whose words allow it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = sorted({t for (t,) in docs.where("text IS NOT NULL").select("text").collect()})
+    split = [np.array([hash(w) for w in t.split()]) for t in texts]
+    bags = [collections.Counter(x.tolist()) for x in split]
+    holders = collections.defaultdict(list)
+    pairs = 0
+    edges = []
+    for j in sorted(range(len(texts)), key=lambda k: len(split[k])):
+        n = len(split[j])
+        shared = collections.Counter()
+        for w, k in bags[j].items():
+            for i, m in holders[w]:
+                shared[i] += min(k, m)
+        for i, both in shared.items():
+            most = near._most(n, near.SIMILARITY)
+            if both >= n - most and n - len(split[i]) <= most:
+                pairs += 1
+                if near.distance(split[i], split[j], most) <= most:
+                    edges.append((texts[i], texts[j]))
+        for w, k in bags[j].items():
+            holders[w].append((j, k))
+    got = {}
+    groups = {x.doc_id: x.group_id for x in near.near_groups(docs).collect()}
+    for x in docs.where("text IS NOT NULL").collect():
+        got[x.text] = groups[x.doc_id]
+    found = sum(got[a] == got[b] for a, b in edges)
+    assert len(edges) > 20 and found >= 0.95 * len(edges)
+
+
 def test_sketch_keeps_order():
     a = " ".join(f"w{i}" for i in range(60))
     turned = " ".join(f"w{i}" for i in list(range(30, 60)) + list(range(30)))
