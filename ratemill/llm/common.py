@@ -184,24 +184,30 @@ def recent(name: str, size: int) -> Recent:
     return _RECENT[name]
 
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows of df, written once as a compressed table to the shared folder and read from there; removed when the driver ends."""
+    """The rows of df, written once as a compressed table to the shared folder and read from there; removed by drop(), or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _WRITTEN:
-        atexit.register(_remove)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove() -> None:
-    for spark, path in _WRITTEN:
-        sc = spark.sparkContext
-        if sc._jsc is not None:
-            at = sc._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-    _WRITTEN.clear()
+        atexit.register(_drop_all)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = out, path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Removes the table of a DataFrame that written() gave, which nothing that is still to run may read."""
+    _, path = _WRITTEN.pop(id(df))
+    sc = df.sparkSession.sparkContext
+    if sc._jsc is not None:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _drop_all() -> None:
+    for df, _ in list(_WRITTEN.values()):
+        drop(df)

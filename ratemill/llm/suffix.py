@@ -10,8 +10,12 @@ their windows compared one by one, by hash.
 
 Words are what white space (ASCII) parts; how much white space parts them doesn't matter. Repeats within a document count too.
 
+Exactness: all windows are compared; equal words, segments and windows are told by hashes, of 64 bits for words (all LENGTH of a
+window have to agree), of 128 for segments and for windows of hot anchors.
+
 Defined results: NULL and empty texts, and those of fewer than LENGTH words, have no passages; rows equal in doc_id and
-text repeat each other and are reported once; a NULL doc_id is reported as NULL.
+text repeat each other and are reported once; a NULL doc_id is reported as NULL. A text of any length is cut up whole; passages of equal
+texts are reported for each. An empty table gives an empty one. Columns but doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratemill.llm.common import chunks, content_id, in_arrow, mix, offsets, span_hashes, spans, text_bytes, white, written
+from ratemill.llm.common import chunks, content_id, drop, in_arrow, mix, offsets, span_hashes, spans, text_bytes, white, written
 
 LENGTH = 50
 ANCHOR = 12
@@ -201,6 +205,7 @@ def passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block:
     d, w = slim.alias("d"), wanted.alias("w")
     taken = d.join(w, F.col("d.cid").eqNullSafe(F.col("w.cid")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.doc_id", "d.cid", F.col("d.text").cast("binary").alias("bytes"), "parts")
     segs = written(taken.select("doc_id", "cid", F.inline(F.transform("parts", lambda p: F.struct(p["h"].alias("h"), p["hot"].alias("hot"), p["a"].alias("a"), F.substring("bytes", p["a"] + 1, p["b"] - p["a"]).alias("seg"))))))
+    drop(cells)
     folded = segs.groupBy("h", "hot", "seg").agg(F.count(F.lit(1)).alias("n"))
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -307,6 +307,19 @@ def test_passages(spark, length, anchor, block, hot):
     assert {tuple(x) for x in suffix.passages(df, length, anchor, block, hot).collect()} == brute_passages(df, length)
 
 
+def test_one_anchor_beyond_a_block(spark):
+    """An anchor of more text than a block, and more than HOT_BYTES too, whose windows all differ but for some that repeat."""
+    r = random.Random(12)
+    anchor = " ".join(f"!{i}" for i in range(12))
+    body = lambda: " ".join(f"v{r.randrange(400)}" for _ in range(38))
+    texts = [f"{anchor} {body()}" for _ in range(2500)]
+    texts += [f"x {t}" for t in texts[:40]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = {(i, 0, len(t)) for i, t in enumerate(texts[:40])} | {(2500 + i, 2, 2 + len(t)) for i, t in enumerate(texts[:40])}
+    for block, hot in ((1 << 14, 1 << 30), (1 << 14, 1 << 16)):
+        assert {tuple(x) for x in suffix.passages(df, block=block, hot_bytes=hot).collect()} == want
+
+
 def test_passages_odd_rows(spark):
     df = odd(spark, clashing=True)
     got = {tuple(x) for x in suffix.passages(df).collect()}
