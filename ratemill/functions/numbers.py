@@ -32,27 +32,28 @@ def first_number(text: Column) -> Column:
     return F.get(F.filter(F.transform(found, parse_number), lambda v: v.isNotNull()), F.lit(0))
 
 
-def number_tokens(text: Column) -> Column:
+def number_tokens(text: Column, western: bool = False) -> Column:
     """All number tokens as whole numbers, in order."""
-    found = F.regexp_extract_all(western_digits(text), F.lit(NUMBER), F.lit(0))
+    found = F.regexp_extract_all(text if western else western_digits(text), F.lit(NUMBER), F.lit(0))
     return F.filter(F.transform(found, lambda t: F.regexp_replace(t, "[^0-9]", "").try_cast("bigint")), lambda v: v > 0)
 
 
-def slash_pair(text: Column) -> tuple[Column, Column]:
+def slash_pair(text: Column, western: bool = False) -> tuple[Column, Column]:
     """The two numbers of the first a/b; a backslash, a bar or a dash do as well."""
     pattern = rf"({NUMBER})\s*[/\\|-]\s*({NUMBER})"
-    bare = western_digits(text)
+    bare = text if western else western_digits(text)
     return tuple(F.regexp_replace(F.regexp_extract(bare, pattern, k), "[^0-9]", "").try_cast("bigint") for k in (1, 2))
 
 
-def near_keyword(text: Column, words: tuple[str, ...]) -> Column:
-    """The number within 28 characters without a digit after a word, or before it; the first word that has one."""
-    bare = F.lower(western_digits(text))
+def near_keyword(text: Column, words: tuple[str, ...], western: bool = False) -> Column:
+    """The number within 28 characters without a digit after a word, or before it; the first word that has one. western: the
+    text is in lower case with western digits already. The pattern of a word runs only where the word is."""
+    bare = text if western else F.lower(western_digits(text))
     picks = []
     for w in words:
         q = rf"\Q{w}\E"
         match = F.regexp_extract(bare, rf"{q}[^0-9]{{0,28}}{NUMBER}|{NUMBER}[^0-9]{{0,28}}{q}", 0)
-        picks.append(F.regexp_replace(F.regexp_extract(match, NUMBER, 0), "[^0-9]", "").try_cast("bigint"))
+        picks.append(F.when(bare.contains(w), F.regexp_replace(F.regexp_extract(match, NUMBER, 0), "[^0-9]", "").try_cast("bigint")))
     return F.coalesce(*picks)
 
 

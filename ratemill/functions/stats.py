@@ -1,6 +1,7 @@
 """Robust statistics as grouped aggregates: every function takes columns and gives an aggregate or array expression.
 
-Percentiles are exact with linear interpolation; standard deviations are of the population.
+Percentiles are exact with linear interpolation; standard deviations are of the population. The trimmed means here hold a
+group's values in one array: for groups of a few sources; robust.trimmed_mean() takes groups of any size.
 """
 
 from __future__ import annotations

@@ -19,17 +19,19 @@ CITIES = _aliases(
 )
 
 
-def contains_any(text: Column, words: tuple[str, ...]) -> Column:
-    low = F.lower(text)
+def contains_any(text: Column, words: tuple[str, ...], lowered: bool = False) -> Column:
+    """Whether a word occurs, in whatever case; lowered: the text is in lower case already."""
+    low = text if lowered else F.lower(text)
     hit = F.lit(False)
     for w in words:
         hit = hit | low.contains(w.lower())
     return hit
 
 
-def alias_hits(text: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
+def alias_hits(text: Column, aliases: dict[str, tuple[str, ...]], lowered: bool = False) -> Column:
     """Sorted names of which an alias occurs in the text."""
-    return F.array_sort(F.array_compact(F.array(*[F.when(contains_any(text, words), F.lit(name)) for name, words in aliases.items()])))
+    low = text if lowered else F.lower(text)
+    return F.array_compact(F.array(*[F.when(contains_any(low, aliases[name], True), F.lit(name)) for name in sorted(aliases)]))
 
 
 def alias_counts(text: Column, aliases: dict[str, tuple[str, ...]]) -> Column:

@@ -62,10 +62,24 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def by_content(df: DataFrame, but: list[str]) -> list[Column]:
+    """An order of rows that are equal in all that counts, so that every run picks the same."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    return [F.to_json(F.col(c)).desc() if kinds[c] in ("map", "variant") else F.col(c).desc() for c in sorted(df.columns) if c not in but]
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of new replace those of old with the same keys."""
+    """Rows of new replace those of old with the same keys; of several in one of them the greatest, column by column, stays."""
     both = old.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)))
-    return first_by(both, keys, [F.col("_seq").desc()]).drop("_seq")
+    return first_by(both, keys, [F.col("_seq").desc(), *by_content(old, keys)]).drop("_seq")
+
+
+def rank_all(df: DataFrame, bucket: str, order: list[Column], name: str) -> DataFrame:
+    """Adds the rank of every row by bucket, then by order: its rank within the bucket after the rows of all lesser buckets. The order has to tell all rows of a bucket apart."""
+    sizes = df.groupBy(F.col(bucket).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    joined = df.join(before, F.col(bucket).eqNullSafe(F.col("_b")))
+    return joined.withColumn(name, F.col("_before") + F.row_number().over(Window.partitionBy(bucket).orderBy(*order))).drop("_b", "_before")
 
 
 def upsert_newest(rows: DataFrame, keys: list[str], value: str, seq: str) -> DataFrame:
@@ -81,4 +95,4 @@ def prune_days(rows: DataFrame, ts: str, days: int) -> DataFrame:
 
 def last_of_day(rows: DataFrame, key: str, ts: str) -> DataFrame:
     """The last row of each day and key."""
-    return first_by(rows.withColumn("day", F.to_date(ts)), [key, "day"], [F.col(ts).desc()])
+    return first_by(rows.withColumn("day", F.to_date(ts)), [key, "day"], [F.col(ts).desc(), *by_content(rows, [key, ts])])

@@ -18,9 +18,19 @@ MOST_DISPERSION = 0.05
 DAY_MICROS = 86_400_000_000
 
 
+def refreshed(samples: DataFrame) -> Column:
+    """What a refresh of the current day may take of the primary benchmark beside valid samples: values that were fetched, whose
+    validation didn't fail, and that are at most stale or outside the window. Samples that lack fetched, validated or error tell
+    nothing of it and pass; a NULL error is none, a NULL validation hasn't failed, a NULL fetch has."""
+    told = lambda name, test: test(F.col(name)) if name in samples.columns else F.lit(True)
+    mild = lambda e: F.coalesce(F.lower(F.trim(e)), F.lit("")).isin("", "stale quote", "sample outside observation window")
+    return told("fetched", lambda c: F.coalesce(c, F.lit(False))) & told("validated", lambda c: F.coalesce(c, F.lit(True))) & told("error", mild)
+
+
 def source_medians(samples: DataFrame, allow_stale: bool = False) -> DataFrame:
-    """day, benchmark, source, m: the median of a source's usable samples; any_stale of all its samples."""
-    usable = F.when(F.col("benchmark") == PRIMARY, F.col("ok") & ~F.col("stale") if not allow_stale else F.lit(True)).otherwise(True)
+    """day, benchmark, source, m: the median of a source's usable samples; any_stale of all its samples. With allow_stale
+    stale ones count where refreshed() says so."""
+    usable = F.when(F.col("benchmark") == PRIMARY, F.col("ok") & ~F.col("stale") if not allow_stale else refreshed(samples)).otherwise(True)
     per = samples.groupBy("day", "benchmark", "source").agg(stats.median(F.when(usable & (F.col("value") > 0), F.col("value"))).alias("m"), F.bool_or("stale").alias("any_stale"))
     return per.where("m IS NOT NULL")
 

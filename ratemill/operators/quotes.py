@@ -40,20 +40,28 @@ def once(df: DataFrame, **made: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if it has fewer: reading patterns out of text is bound by CPU, and a small file is one partition. Large tables have more and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+
+
 def parse(messages: DataFrame, now: Column) -> DataFrame:
     """Quote records of messages (handle, msg_index, text, ts, channel_type, shop, priority); messages without a quote are dropped."""
-    t = F.col("_t")
-    base = once(messages, _t=numbers.western_digits(F.col("text")))
-    a, b = numbers.slash_pair(t)
-    base = once(base, numbers=numbers.number_tokens(t), _buy=numbers.near_keyword(t, BUY), _sell=numbers.near_keyword(t, SELL), _a=a, _b=b)
+    t, low = F.col("_t"), F.col("_low")
+    base = once(spread(messages), _t=numbers.western_digits(F.col("text")), _low=F.lower(numbers.western_digits(F.col("text"))))
+    # no number, no quote: what looks for one near a word is spared then
+    some_number = F.when(t.rlike(r"[0-9]{5}|[0-9]{2}[،٬,\s][0-9]{3}"), low)
+    a, b = numbers.slash_pair(some_number, True)
+    base = once(base, numbers=F.coalesce(numbers.number_tokens(some_number, True), F.array().cast("array<bigint>")), _buy=numbers.near_keyword(some_number, BUY, True), _sell=numbers.near_keyword(some_number, SELL, True), _a=a, _b=b)
     neither = F.col("_buy").isNull() & F.col("_sell").isNull()
-    two = neither & (F.size("numbers") >= 2) & text.contains_any(t, BUY + SELL)
+    two = neither & (F.size("numbers") >= 2) & text.contains_any(low, BUY + SELL, True)
     slashed = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     buy = F.coalesce("_buy", F.when(neither & slashed, F.col("_a")), F.when(F.col("_sell").isNotNull(), F.col("_a")), F.when(two, F.get("numbers", F.lit(0))))
     sell = F.coalesce("_sell", F.when(neither & slashed, F.col("_b")), F.when(F.col("_buy").isNotNull(), F.col("_b")), F.when(two, F.get("numbers", F.lit(1))))
     full = once(
-        base, buy=buy, sell=sell, currencies=text.alias_hits(t, text.CURRENCIES), cities=text.alias_hits(t, text.CITIES), unit=numbers.unit_of_numbers(t, F.col("numbers")),
-        has_word=text.contains_any(t, QUOTE), quote_type=quote_type(t, F.col("channel_type"), F.col("shop")),
+        base.where((F.size("numbers") > 0) | F.coalesce("_buy", "_sell", "_a", "_b").isNotNull()), buy=buy, sell=sell, currencies=text.alias_hits(low, text.CURRENCIES, True), cities=text.alias_hits(low, text.CITIES, True), unit=numbers.unit_of_numbers(t, F.col("numbers")),
+        has_word=text.contains_any(low, QUOTE, True), quote_type=quote_type(t, F.col("channel_type"), F.col("shop")),
     )
     both = F.col("buy").isNotNull() & F.col("sell").isNotNull()
     some = F.col("buy").isNotNull() | F.col("sell").isNotNull()

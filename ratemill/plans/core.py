@@ -131,7 +131,7 @@ _TRIM = """t AS (SELECT {k} AS k, {v} AS v, row_number() OVER (PARTITION BY {k}
 
 @query(f"WITH {_TRIM.format(k='l_suppkey % 50', v='l_extendedprice', t='lineitem')} SELECT k, round(avg(v), 4) AS trimmed FROM t WHERE i > floor(n * 0.1) AND i <= n - floor(n * 0.1) GROUP BY 1")
 def a12_trimmed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("k")).agg(F.round(stats.trimmed_model(F.col("l_extendedprice")), 4).alias("trimmed"))
+    return _r(robust.trimmed_mean(table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("k"), "l_extendedprice"), ["k"], "l_extendedprice"), trimmed=4)
 
 
 @query("SELECT l_returnflag, round(sum(l_extendedprice * l_discount) FILTER (WHERE l_discount > 0) / sum(l_discount) FILTER (WHERE l_discount > 0), 4) AS weighted FROM lineitem GROUP BY 1")

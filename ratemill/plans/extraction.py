@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ratemill.functions import extraction, scores
+from ratemill.functions import extraction
 from ratemill.operators.quotes import once
 from ratemill.plans.registry import query, table
 
@@ -92,10 +92,3 @@ def f8_families_and_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = extraction.legacy_units(F.when(F.col("c_custkey") % 2 == 0, "legacy").otherwise("other"), F.lit("unknown"), extraction.only_families(v, fam), ("official",))
     m = once(c, m=fixed)
     return m.select("c_custkey", F.try_element_at("m", F.lit("open_market")).alias("open_market"), F.try_element_at("m", F.lit("official")).alias("official"))
-
-
-@query("SELECT event_id, CAST(event_id % 97 = 0 AS INTEGER) + CAST(value > 50 AS INTEGER) AS points FROM events WHERE event_id % 97 = 0 OR value > 50")
-def f13_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    a, b = F.col("event_id") % 97 == 0, F.col("value") > 50
-    return e.where(a | b).select("event_id", (scores.one(a, 1) + scores.one(b, 1)).alias("points"))

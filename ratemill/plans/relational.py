@@ -34,7 +34,6 @@ plain("j8_semi", "Samples of sources in the family.", "SELECT l_orderkey, l_line
 plain("j10_anti", "Candidates that nothing known matches.", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)")
 plain("j11_anti_text", "Documents whose text is no benchmark item.", "SELECT d.doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {benchmark} b WHERE b.text = d.text)")
 plain("j18_default_join", "Every nation with its suppliers, zero where it has none.", "SELECT n.n_nationkey, n.n_name, count(s.s_suppkey) AS suppliers, coalesce(round(sum(s.s_acctbal), 2), 0.0) AS balance FROM {nation} n LEFT JOIN {supplier} s ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 2000 GROUP BY n.n_nationkey, n.n_name")
-plain("a22_basket_rows", "Rows per basket.", "SELECT c_nationkey, count(*) AS n, count(DISTINCT c_mktsegment) AS segments, round(avg(c_acctbal), 4) AS mean FROM {customer} GROUP BY c_nationkey")
 plain("a24_region_summary", "Regions with zero fill.", "SELECT r.r_name, count(c.c_custkey) AS n, count(DISTINCT c.c_mktsegment) AS channels FROM {region} r LEFT JOIN {nation} n ON n.n_regionkey = r.r_regionkey LEFT JOIN {customer} c ON c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9000 GROUP BY r.r_name")
 plain("a28_baseline_counts", "Counts per locality.", "SELECT n.n_regionkey AS locality, count(*) AS n FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_regionkey")
 plain("a30_category_mix", "Histogram of categories.", "SELECT p_brand, count(*) AS n FROM {part} GROUP BY p_brand")
@@ -43,7 +42,6 @@ plain("a33_discovery_summary", "Counts by kind and day, the most frequent first.
 plain("a34_bucket_summary", "Values by bucket.", "SELECT CASE WHEN value < 10 THEN 'low' WHEN value < 50 THEN 'middle' ELSE 'high' END AS bucket, count(*) AS n, round(sum(value), 2) AS total FROM {events} GROUP BY 1")
 plain("a39_state_counts", "Orders by status.", "SELECT o_orderstatus, count(*) AS n FROM {orders} GROUP BY o_orderstatus")
 plain("a42_capped_sum", "A sum of capped points per segment.", "SELECT c_mktsegment, sum(least(15, c_custkey % 40)) AS points FROM {customer} GROUP BY c_mktsegment")
-plain("o1_ranking", "A composite ranking.", "SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC, s_suppkey) AS rank FROM {supplier}")
 plain("o3_top_20", "The twenty dearest parts.", "SELECT p_partkey, p_retailprice FROM {part} ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
 plain("o2_top_5_each", "Five suppliers of each nation.", "SELECT s_nationkey, s_suppkey, k FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS k FROM {supplier}) WHERE k <= 5")
 plain("u1_union_all", "Three streams in one.", "SELECT c_custkey AS k, c_acctbal AS v, 'c' AS origin FROM {customer} UNION ALL SELECT s_suppkey, s_acctbal, 's' FROM {supplier} UNION ALL SELECT p_partkey, p_retailprice, 'p' FROM {part}")
@@ -51,12 +49,13 @@ plain("u8_common_days", "Days of both kinds.", "SELECT CAST(ts AS DATE) AS day F
 plain("u9_difference", "Nations without suppliers above a balance.", "SELECT n_nationkey FROM {nation} EXCEPT SELECT s_nationkey FROM {supplier} WHERE s_acctbal > 9000")
 plain("w11_shares", "Share of the total and of the group.", "SELECT c_custkey, round(c_acctbal / sum(c_acctbal) OVER (PARTITION BY c_nationkey), 8) AS share FROM {customer} WHERE c_acctbal > 0")
 plain("w16_nearest", "The customer nearest to its nation's mean.", "SELECT c_nationkey, c_custkey FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY abs(c_acctbal - m), c_custkey) AS k FROM (SELECT c_nationkey, c_custkey, c_acctbal, round(avg(c_acctbal) OVER (PARTITION BY c_nationkey), 6) AS m FROM {customer})) WHERE k = 1")
-plain("f11_waterfall", "The first reason to reject a document, and how many there are of each.", "SELECT CASE WHEN l.doc_id IS NULL THEN 'unlabelled' WHEN l.toxic = 1 THEN 'toxic' WHEN l.quality = 0 THEN 'low_quality' WHEN d.n_chars < 200 THEN 'short' ELSE 'kept' END AS reason, count(*) AS n FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY 1")
-plain("f12_plausible", "Values in a plausible band.", "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice BETWEEN 50000 AND 150000 AND o_orderstatus <> 'P'")
-plain("f20_four_of_seven", "At least four of seven signals.", "SELECT c_custkey, CAST(c_acctbal > 0 AS INT) + CAST(c_acctbal > 2000 AS INT) + CAST(c_acctbal > 5000 AS INT) + CAST(c_nationkey > 5 AS INT) + CAST(c_nationkey > 12 AS INT) + CAST(c_mktsegment = 'BUILDING' AS INT) + CAST(c_custkey % 2 = 0 AS INT) >= 4 AS likely FROM {customer}")
 plain("y11_ok_counts", "Good and all samples per source.", "SELECT user_id % 6 AS source, CAST(sum(CASE WHEN value > 20 THEN 1 ELSE 0 END) AS BIGINT) AS ok, count(*) AS total FROM {events} GROUP BY 1")
-plain("y29_reasons", "The first reason of each rejected row.", "SELECT CASE WHEN c_acctbal < 0 THEN 'negative' WHEN c_nationkey > 20 THEN 'far' WHEN c_mktsegment = 'MACHINERY' THEN 'segment' ELSE 'none' END AS reason, count(*) AS n FROM {customer} GROUP BY 1")
-plain("y16_rate_basis", "The first value of a ladder, and which it was.", "SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_discount > 0.05 THEN l_extendedprice END, CASE WHEN l_tax > 0.04 THEN l_quantity END, l_tax) AS rate, CASE WHEN l_discount > 0.05 THEN 'midpoint' WHEN l_tax > 0.04 THEN 'sell' ELSE 'inferred' END AS basis FROM {lineitem}")
+
+
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC, s_suppkey) AS rank FROM supplier")
+def o1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A composite ranking over all rows, of which no task sees more than a bucket's."""
+    return dedup.rank_all(table(spark, sf_dir, "supplier"), "s_nationkey", [F.col("s_acctbal").desc(), F.col("s_suppkey")], "rank").select("s_suppkey", F.col("rank").cast("int").alias("rank"))
 
 
 @query("SELECT c_nationkey, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS building, count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS machinery FROM customer GROUP BY 1")
@@ -106,9 +105,10 @@ def w10a_model_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a18_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("rate")
     clean = robust.outliers_research(src.basket_records(spark, sf_dir), ["basket"], "rate").where("NOT outlier")
-    return clean.groupBy("basket").agg(
-        F.round(stats.median(v), 4).alias("median"), F.round(stats.trimmed_research(v), 4).alias("trimmed"), F.round(stats.weighted_mean(v, F.col("quality")), 4).alias("weighted"), F.round(stats.median(F.when(F.col("category") == "direct_shop", v)), 4).alias("direct_only")
-    )
+    trims = robust.trimmed_mean(clean, ["basket"], "rate", "research").withColumn("trimmed", F.round("trimmed", 4))
+    return robust.joined(trims, clean.groupBy("basket").agg(
+        F.round(stats.median(v), 4).alias("median"), F.round(stats.weighted_mean(v, F.col("quality")), 4).alias("weighted"), F.round(stats.median(F.when(F.col("category") == "direct_shop", v)), 4).alias("direct_only"),
+    ), ["basket"])
 
 
 @query(f"WITH {DAILY_SQL} SELECT day, key, CASE WHEN day >= DATE '1999-01-01' THEN fix + 1 ELSE fix END AS fix FROM daily WHERE day >= DATE '1998-01-01'")
