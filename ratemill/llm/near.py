@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratemill.llm.common import chunks, content_id, cut, in_arrow, mix, pack, seeded, span_hashes, spans, text_bytes, white
+from ratemill.llm.common import chunks, content_id, cut, drop, in_arrow, mix, pack, seeded, span_hashes, spans, text_bytes, white, written
 
 K = 2
 PICKS = 3
@@ -320,12 +320,6 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """cid and text of the contents that pairs name, once each."""
-    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    return cut(texts.select("cid", "text").join(wanted, "cid", "left_semi").dropDuplicates(["cid"]))
-
-
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in chunks(whole, "text"):
@@ -359,29 +353,35 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     """Every row with text as doc_id, cid; and cid, root of the contents that have near copies."""
     texts = docs.select(content_id(F.col("text")).alias("cid"), F.col("doc_id"), F.col("text")).where("text IS NOT NULL")
     sketched = in_arrow(texts.select("cid", "text"), functools.partial(_sketch_batches, similarity=similarity), "cid binary, n bigint, sketch array<bigint>")
-    cells = cut(sketched.select("cid", "n", F.explode("sketch").alias("bucket")).groupBy("bucket", "cid").agg(F.first("n").alias("n")))
+    cells = written(sketched.select("cid", "n", F.explode("sketch").alias("bucket")).groupBy("bucket", "cid").agg(F.first("n").alias("n")))
     leaders = cells.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", F.col("least.cid").alias("a"), F.col("least.n").alias("n_a"))
     met = cut(cells.join(leaders, "bucket").where("cid <> a").select("bucket", "a", "n_a", F.col("cid").alias("b"), F.col("n").alias("n_b")))
+    drop(cells)
+    # texts move once; what is compared later comes from those that meet others
+    some = met.select(F.col("a").alias("cid")).unionByName(met.select(F.col("b").alias("cid"))).distinct()
+    held = written(texts.select("cid", "text").join(some, "cid", "left_semi").dropDuplicates(["cid"]))
     near_in_length = F.abs(F.col("n_a") - F.col("n_b")) <= F.floor(F.lit(1 - similarity) * F.greatest("n_a", "n_b") + 1e-9)  # as in similar()
     star = met.where(near_in_length).select("a", "b").distinct()
-    first = cut(_compare(star, _texts_of(star, texts), similarity))
+    first = cut(_compare(star, held, similarity))
     # those unlike their leader are compared with all of the bucket that they aren't joined with: no pair of a bucket is left open
     roots = components(first.where("ok")).select(F.col("node").alias("b"), "root")
     known = met.join(first.where("ok").select("a", "b", F.lit(True).alias("like")), ["a", "b"], "left").join(roots, "b", "left")
     members = cut(known.select("bucket", "b", "n_b", F.coalesce("like", F.lit(False)).alias("like"), F.coalesce("root", "b").alias("root")))
     sizes = members.groupBy("bucket").agg((F.count_if(~F.col("like")) * F.count(F.lit(1))).alias("pairs")).select("bucket", (F.col("pairs") > FEW_PAIRS).alias("crowded"))
     members = members.join(sizes, "bucket")
-    some = members.where("NOT crowded").drop("crowded")
-    unlike = some.where("NOT like").select("bucket", F.col("b").alias("a"), F.col("n_b").alias("n_a"), F.col("root").alias("root_a"))
-    open_ = unlike.join(some, "bucket").where("root <> root_a AND (like OR a < b)").where(near_in_length)
+    open_members = members.where("NOT crowded").drop("crowded")
+    unlike = open_members.where("NOT like").select("bucket", F.col("b").alias("a"), F.col("n_b").alias("n_a"), F.col("root").alias("root_a"))
+    open_ = unlike.join(open_members, "bucket").where("root <> root_a AND (like OR a < b)").where(near_in_length)
     wanted = open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crowd = cut(members.where("crowded").groupBy(F.col("b").alias("cid")).agg(F.first("n_b").alias("n"), F.first("root").alias("root"), F.bool_or(~F.col("like")).alias("open")))
     if not crowd.isEmpty():
-        wanted = wanted.unionByName(crowded_pairs(crowd, texts, similarity))
+        wanted = wanted.unionByName(crowded_pairs(crowd, held, similarity))
     pairs = cut(wanted.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    second = _compare(pairs, _texts_of(pairs, texts), similarity)
+    second = _compare(pairs, held, similarity)
     edges = first.where("ok").select("a", "b").unionByName(second.where("ok").select("a", "b"))
-    return texts.select("doc_id", "cid"), components(edges).select(F.col("node").alias("cid"), "root")
+    roots = components(edges).select(F.col("node").alias("cid"), "root")
+    drop(held)
+    return texts.select("doc_id", "cid"), roots
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
