@@ -12,6 +12,7 @@ from ratemill.functions import numbers, text, times
 
 QUOTE_FIELDS = tuple("value price last close sell buy rate amount p".split())
 NAME_FIELDS = tuple("code id item label name slug symbol title".split())
+TIME_FIELDS = tuple("timestamp ts updated updated_at time date".split())
 DEPTH = 8
 
 
@@ -35,19 +36,91 @@ def leaves(df: DataFrame, key: str, body: str, depth: int = DEPTH) -> DataFrame:
     return nodes(df, key, body, depth).where("NOT (schema_of_variant(node) LIKE 'OBJECT%' OR schema_of_variant(node) LIKE 'ARRAY%')").select("key", "path", F.expr("try_variant_get(node, '$', 'string')").alias("value"))
 
 
-def symbol_value(df: DataFrame, key: str, body: str, symbols: tuple[str, ...], depth: int = DEPTH) -> DataFrame:
-    """key and the median of all positive numbers that stand under a symbol: as its value, or in an object named or labelled by it."""
-    wanted = F.array(*[F.lit("".join(c for c in s.lower() if c.isascii() and c.isalnum())) for s in symbols])
+def symbol_hits(df: DataFrame, key: str, body: str, symbols: tuple[str, ...], depth: int = DEPTH) -> DataFrame:
+    """key, symbol, v and at of every place where a symbol stands, as a name or as the label of an object: its number and its time, NULL where there is none."""
+    plain = {"".join(c for c in s.lower() if c.isascii() and c.isalnum()): s for s in reversed(symbols)}
+    wanted = F.array(*[F.lit(t) for t in plain])
     n = nodes(df, key, body, depth).select(
         "key", text.symbol_token(F.col("name")).alias("token"), F.expr("schema_of_variant(node) LIKE 'OBJECT%'").alias("is_object"), F.expr("try_variant_get(node, '$', 'string')").alias("plain"), F.expr("try_variant_get(node, '$', 'map<string, variant>')").alias("fields")
     )
     field = lambda f: F.try_variant_get(F.try_element_at("fields", f), "$", "string")
-    numbers_in = F.filter(F.transform(F.array(*[F.lit(f) for f in QUOTE_FIELDS]), lambda f: numbers.parse_number(field(f))), lambda v: v.isNotNull())
+    first = lambda names, parse: F.get(F.filter(F.transform(F.array(*[F.lit(f) for f in names]), lambda f: parse(field(f))), lambda v: v.isNotNull()), F.lit(0))
     labels_in = F.transform(F.array(*[F.lit(f) for f in NAME_FIELDS]), lambda f: text.symbol_token(field(f)))
-    by_key, by_label = F.array_contains(wanted, F.col("token")), F.col("is_object") & F.coalesce(F.arrays_overlap(F.array_compact(labels_in), wanted), F.lit(False))
-    direct = n.where(by_key).select("key", F.when(F.col("is_object"), F.get(numbers_in, F.lit(0))).otherwise(numbers.parse_number(F.col("plain"))).alias("v"))
-    labelled = n.where(by_label).select("key", F.get(numbers_in, F.lit(0)).alias("v"))
-    return direct.unionByName(labelled).where("v IS NOT NULL").groupBy("key").agg(F.median("v").alias("value"))
+    named = n.where(F.array_contains(wanted, F.col("token"))).select(
+        "key", "token", F.when(F.col("is_object"), first(QUOTE_FIELDS, numbers.parse_number)).otherwise(numbers.parse_number(F.col("plain"))).alias("v"), F.when(F.col("is_object"), first(TIME_FIELDS, times.parse_time)).otherwise(times.parse_time(F.col("plain"))).alias("at")
+    )
+    labelled = n.where("is_object").select("key", F.explode(F.array_intersect(F.array_compact(labels_in), wanted)).alias("token"), first(QUOTE_FIELDS, numbers.parse_number).alias("v"), first(TIME_FIELDS, times.parse_time).alias("at"))
+    back = F.create_map(*[F.lit(x) for pair in plain.items() for x in pair])
+    return named.unionByName(labelled).select("key", back[F.col("token")].alias("symbol"), "v", "at")
+
+
+def symbol_value(df: DataFrame, key: str, body: str, symbols: tuple[str, ...], depth: int = DEPTH) -> DataFrame:
+    """key and the median of all positive numbers that stand under a symbol: as its value, or in an object named or labelled by it."""
+    return symbol_hits(df, key, body, symbols, depth).where("v IS NOT NULL").groupBy("key").agg(F.median("v").alias("value"))
+
+
+def symbol_time(df: DataFrame, key: str, body: str, symbols: tuple[str, ...], depth: int = DEPTH) -> DataFrame:
+    """key and the latest time that stands under a symbol."""
+    return symbol_hits(df, key, body, symbols, depth).where("at IS NOT NULL").groupBy("key").agg(F.max("at").alias("quote_time"))
+
+
+def by_priority(df: DataFrame, key: str, body: str, symbols: tuple[str, ...], depth: int = DEPTH) -> DataFrame:
+    """key, value and symbol: of the symbols that have a value, the one with the latest time of its own, the first of equals."""
+    each = symbol_hits(df, key, body, symbols, depth).groupBy("key", "symbol").agg(F.median("v").alias("v"), F.max("at").alias("at")).where("v IS NOT NULL")
+    place = F.array_position(F.array(*[F.lit(s) for s in symbols]), F.col("symbol"))
+    best = F.max_by(F.struct("v", "symbol"), F.struct(F.col("at").isNotNull(), F.coalesce("at", F.lit("1970-01-01").cast("timestamp")), -place))
+    return each.groupBy("key").agg(best.alias("b")).select("key", F.col("b.v").alias("value"), F.col("b.symbol").alias("symbol"))
+
+
+_SAYS = {
+    "usd": "usd", "irr": "irr|rial", "sell": "sell|offer", "buy": "buy|bid", "open": "open|market|street|free|azad", "tether": "usdt|tether", "coin": "emami|sekke|coin", "gold": "gold|tala", "official": "official|bank|cbi|gov", "transfer": "transfer|hawala|remit", "price": r"price|\.value$",
+}
+#: Per benchmark: what a path must say, the points for what it says, and the bounds of a likely value.
+_POINTS = {
+    "open_market": (None, {"usd": 4, "irr": 4, "open": 3, "sell": 1, "buy": -1, "price": 1}, 0, (150_000, 2_500_000)), "official": ("official", {"usd": 4, "irr": 4, "price": 1}, 3, (10_000, 2_500_000)), "regional_transfer": ("transfer", {"usd": 4, "irr": 4, "price": 1}, 3, (150_000, 2_500_000)),
+    "crypto_usdt": ("tether", {"irr": 3, "usd": 1, "price": 1}, 5, (150_000, 2_500_000)), "emami_gold_coin": ("coin|gold", {"coin": 4, "gold": 2, "price": 1}, 0, (5_000_000, 20_000_000_000)),
+}
+
+
+def path_value(df: DataFrame, key: str, body: str, benchmark: str, depth: int = DEPTH, least: int = 4) -> DataFrame:
+    """key and the number whose path speaks most for a benchmark, at least so many points; of equals the first path by name."""
+    must, says, flat, bounds = _POINTS[benchmark]
+    low, v = F.lower("path"), numbers.parse_number(F.col("value"))
+    points = F.lit(flat) + F.when(v.between(*bounds), 2).otherwise(0)
+    for what, n in says.items():
+        points = points + F.when(low.rlike(_SAYS[what]), n).otherwise(0)
+    some = leaves(df, key, body, depth).select("key", "path", v.alias("v"), points.alias("points")).where("v IS NOT NULL").where(F.col("points") >= least)
+    if must:
+        some = some.where(F.lower("path").rlike("|".join(_SAYS[m] for m in must.split("|"))))
+    return some.groupBy("key").agg(F.min_by("v", F.struct(-F.col("points"), "path")).alias("value"))
+
+
+def resolved(df: DataFrame, key: str, body: str, benchmark: str, canonical: tuple[str, ...] = (), candidates: tuple[str, ...] = (), strict: bool = False, depth: int = DEPTH) -> DataFrame:
+    """key, value and symbol: by the source's own symbols, else (unless strict) by any symbol of the benchmark, else by the path."""
+    ladder: list[DataFrame] = []
+    if canonical:
+        ladder.append(by_priority(df, key, body, canonical, depth))
+    if not strict:
+        if candidates:
+            ladder.append(symbol_value(df, key, body, candidates, depth).withColumn("symbol", F.lit(None).cast("string")))
+        ladder.append(path_value(df, key, body, benchmark, depth).withColumn("symbol", F.lit(None).cast("string")))
+    if not ladder:
+        return df.select(F.col(key).alias("key"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("symbol")).where("false")
+    steps = ladder[0].withColumn("step", F.lit(0))
+    for i, more in enumerate(ladder[1:], 1):
+        steps = steps.unionByName(more.withColumn("step", F.lit(i)))
+    return steps.groupBy("key").agg(F.min_by(F.struct("value", "symbol"), "step").alias("b")).select("key", "b.value", "b.symbol")
+
+
+def product_price(df: DataFrame, key: str, html: str, depth: int = DEPTH) -> DataFrame:
+    """key and the price of the first product that a page's linked data offers: the first script's, the least deep there."""
+    scripts = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    parts = df.select(F.col(key).alias("k"), F.posexplode(scripts).alias("i", "body")).select(F.struct("k", "i").alias("part"), "body")
+    n = nodes(parts, "part", "body", depth).select("key", "path", F.expr("try_variant_get(node, '$.offers.price', 'string')").alias("price"), F.expr("try_variant_get(node, '$[\"@type\"]', 'string')").alias("kind"))
+    v = numbers.parse_number(F.col("price"))
+    some = n.where(F.lower(F.trim("kind")) == "product").where(v.isNotNull())
+    far = F.length(F.regexp_replace("path", r"[^.\[]", ""))
+    return some.groupBy(F.col("key.k").alias("key")).agg(F.min_by(v, F.struct("key.i", far.alias("far"), "path")).alias("price"))
 
 
 def quote_time(df: DataFrame, key: str, body: str, depth: int = DEPTH) -> DataFrame:

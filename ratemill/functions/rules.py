@@ -189,7 +189,7 @@ def coherence(n: Column, cv: Column, top: Column, effective: Column, fresh: Colu
     """0 to 100: records, spread, concentration, effective channels, freshness, structure."""
     falling = lambda v, a, b, most: F.when(v.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (b - v) / (b - a))) * most)
     total = F.least(F.lit(1.0), n / 30.0) * 25.0 + falling(cv, 0.03, 0.20, 25.0) + falling(top, 0.20, 0.60, 20.0)
-    total = total + F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (effective - 2.0) / 6.0)) * 15.0, F.lit(0.0))
+    total = total + F.when(effective.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (effective - 2.0) / 6.0)) * 15.0)  # least() skips NULL
     total = total + F.least(F.lit(1.0), fresh / 85.0) * 20.0 + F.least(F.lit(1.0), structure / 90.0) * 15.0
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 2)
 
