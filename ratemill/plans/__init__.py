@@ -1,9 +1,9 @@
 """Queries over the tables, one for each operator."""
 
-from ratemill.plans import boards, core, extraction, relational, rules, scores, streams, text
+from ratemill.plans import boards, core, extraction, landed, relational, rules, scores, streams, text
 from ratemill.plans.registry import ORACLES, QUERIES, Query
 
-__all__ = ["all_oracles", "all_queries", "boards", "core", "extraction", "relational", "rules", "scores", "streams", "text"]
+__all__ = ["all_oracles", "all_queries", "boards", "core", "extraction", "landed", "relational", "rules", "scores", "streams", "text"]
 
 
 def all_queries() -> dict[str, Query]:

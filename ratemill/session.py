@@ -65,3 +65,11 @@ def shared_folder(spark: SparkSession) -> str:
     at = sc._jvm.org.apache.hadoop.fs.Path(named or there.get())
     uri = at.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(at).toString()
     return re.sub("^file:/+", "file:///", uri)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared one, if the session is still there to do it."""
+    sc = spark.sparkContext
+    if sc._jsc is not None:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)

@@ -72,12 +72,80 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)([?&](?:api[_-]?key|token|key|secret|password)=)[^&#\s\"]+", "$1***")
 
 
+def keyed_csv(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """A CSV table with one row per key in lower case, the last one of the file; rows without a key are dropped."""
+    rows = csv_strings(spark, path)
+    name = F.lower(F.trim(F.col(key)))
+    return rows.select("*", F.monotonically_increasing_id().alias("_at")).withColumn(key, name).where(F.col(key) != "").groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), "_at").alias("r")).select(key, "r.*")
+
+
+def json_text(spark: SparkSession, path: str) -> DataFrame:
+    """path and body of whole JSON files; a body that is no JSON object is {}."""
+    body = F.when(F.expr("schema_of_variant(try_parse_json(value)) LIKE 'OBJECT%'"), F.col("value")).otherwise("{}")
+    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), body.alias("body"))
+
+
+SOURCE = "key string, platform string, handle_or_url string, signal_families string, best_usable_record_count long, last_success_at string"
+
+
+def registry_sources(spark: SparkSession, path: str) -> DataFrame:
+    """The sources of a registry file; none where there is no such file or it isn't one."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], SOURCE)
+    parsed = F.from_json("body", T.StructType.fromDDL(f"sources array<struct<{SOURCE.replace(' string', ':string').replace(' long', ':bigint')}>>"))
+    return json_text(spark, path).select(F.inline(parsed["sources"]))
+
+
+def recent_fixes(fixes: DataFrame, days: int) -> DataFrame:
+    """day, source and median of the last so many days of daily fixes, counted back from the latest."""
+    newest = fixes.agg(F.max(F.when(F.col("benchmarks").isNotNull(), F.col("day"))).alias("_newest"))
+    some = fixes.crossJoin(F.broadcast(newest)).where(F.col("day") > F.date_sub("_newest", days))
+    return some.select("day", F.explode("benchmarks").alias("benchmark", "r")).select("day", "benchmark", F.explode("r.source_medians").alias("source", "median"))
+
+
+def _path(spark: SparkSession, path: str) -> tuple[object, object]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, at = _path(spark, path)
+    return files.exists(at)
+
+
+def put_text(spark: SparkSession, path: str, body: str) -> None:
+    """Writes a small document, such as a page's JSON, as one file."""
+    files, at = _path(spark, path)
+    out = files.create(at, True)
+    out.write(bytearray(body.encode()))
+    out.close()
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A row per line; NULL columns are written, too."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def put_unique(spark: SparkSession, folder: str, stem: str, body: str) -> str:
+    """Writes a document under stem.json, or stem-1.json, stem-2.json, ... if that is there; where it went. Attempts are never overwritten."""
+    n = 0
+    while _exists(spark, path := f"{folder}/{stem}{f'-{n}' if n else ''}.json"):
+        n += 1
+    put_text(spark, path, body)
+    return path
+
+
+def write_series(rows: DataFrame, folder: str, key: str, day: str) -> None:
+    """The whole series by key, and the latest row of each."""
+    rows.write.mode("overwrite").partitionBy(key).parquet(f"{folder}/series")
+    latest = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), day).alias("r")).select(key, "r.*")
+    latest.write.mode("overwrite").parquet(f"{folder}/latest")
+
+
 def write_once(df: DataFrame, folder: str, day: str) -> bool:
     """Writes the partition of a day unless it is there; whether it did."""
-    spark = df.sparkSession
     path = f"{folder}/day={day}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if _exists(df.sparkSession, path):
         return False
     df.write.mode("errorifexists").parquet(path)
     return True
