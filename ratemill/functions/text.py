@@ -48,8 +48,8 @@ def alias_counts(text: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
 
 def best_alias(text: Column, aliases: dict[str, tuple[str, ...]], other: str = "unknown") -> Column:
     """The name whose aliases occur most, the first of equals."""
-    top = F.array_max(alias_counts(text, aliases))
-    return F.when(top["n"] > 0, top["name"]).otherwise(other)
+    # a one-element array, so that the counts are written down once
+    return F.transform(F.array(F.array_max(alias_counts(text, aliases))), lambda top: F.when(top["n"] > 0, top["name"]).otherwise(other))[0]
 
 
 def clean_html(html: Column) -> Column:
