@@ -8,7 +8,9 @@ texts are scored by looking weights up, without a feature vector.
 Fitting uses at most SAMPLE rows with a language, those with the smallest seeded hash of doc_id. Languages that FAMILIES doesn't name
 are families of their own.
 
-Defined results: NULL text has NULL family, language and margin; a text without a letter is "und" with margin 0.
+Defined results: NULL text has NULL family, language and margin; a text without a letter is "und" with margin 0. Texts of any length
+are scored whole. Ties of votes go to the larger sum of margins, ties of that too to the first class by name. Every row has its own
+result, rows that repeat too; an empty table gives an empty one. Columns but doc_id and text (and lang to fit) aren't read.
 """
 
 from __future__ import annotations

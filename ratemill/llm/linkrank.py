@@ -8,10 +8,13 @@ than its trust, trusted if its trust is at least TRUST and at least its distrust
 
 Defined results: NULL url or one without a host gives NULL host and verdict "unknown"; NULL html has no links; hosts are
 lower-cased, without port and final dot; repeated rows of a page count once as a page each; without seeds of a kind its ranks are 0.
+Html of any length is searched whole. Ties: a host whose trust equals its distrust is trusted if it is high enough. An empty table gives
+an empty one. Columns but page_id, url and html aren't read.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +68,8 @@ def ranks(links: DataFrame, hosts: DataFrame, trusted: tuple[str, ...] = TRUSTED
         share = F.when(F.col("kind") == kind, F.col("seed") / F.lit(n or 1.0)).otherwise(share)
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     out = both.groupBy("kind", "src").agg(F.sum("weight").alias("all"))
-    arcs = cut(both.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("all")).alias("part")))
+    # arcs lie by host once for all rounds; what an executor loses of them is read again from the shared folder
+    arcs = cut(both.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("all")).alias("part"))).repartition(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "host").persist(StorageLevel.DISK_ONLY)
     start = seeds.join(out.select("kind", F.col("src").alias("host"), F.lit(True).alias("leads")), ["kind", "host"], "left").select("kind", "host", share.alias("seed"), F.coalesce("leads", F.lit(False)).alias("leads"))
     state = cut(start.select("kind", "host", "seed", "leads", F.col("seed").alias("rank")))
     stray = F.sum(F.when(~F.col("leads"), F.col("rank")).otherwise(0.0)).alias("n")  # rank of hosts from which nothing leads starts anew
@@ -82,6 +86,7 @@ def ranks(links: DataFrame, hosts: DataFrame, trusted: tuple[str, ...] = TRUSTED
         state = moved.drop("step")
         if max((r["step"] for r in seen), default=0.0) <= tolerance:
             break
+    arcs.unpersist()
     tops = state.groupBy("kind").agg(F.max("rank").alias("top"))
     scaled = state.join(F.broadcast(tops), "kind").select("host", "kind", F.when(F.col("top") > 0, F.col("rank") / F.col("top")).otherwise(0.0).alias("rank"))
     per = scaled.groupBy("host").agg(F.max(F.when(F.col("kind") == "trust", F.col("rank"))).alias("trust"), F.max(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("distrust"))

@@ -9,7 +9,9 @@ is known to be all outside without decoding, by a bound on what transitions can
 The field is fitted in numpy by maximum conditional likelihood to windows of at most SAMPLE rows (smallest seeded hash of
 doc_id), into half of which invented secrets of many formats are put; windows that have a known format already are left out.
 
-Defined results: NULL and empty texts have no secrets; rows that repeat have theirs each; a NULL doc_id is reported as NULL.
+Defined results: NULL and empty texts have no secrets; rows that repeat have theirs each; a NULL doc_id is reported as NULL. Texts of
+any length are decoded whole. Of equally good paths the one with the earlier tag (begin, inside, outside) is taken, from the end on. An
+empty table gives an empty one. Columns but doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -125,13 +127,20 @@ class Field:
         tags = np.full(len(emit), OUTSIDE, np.int8)
         allowed = self.moves[self.moves > _NEVER / 2]
         bound = 2 * float(max(allowed.max(), self.start.max(), 0) - min(allowed.min(), self.start[[BEGIN, OUTSIDE]].min(), 0))
-        near = np.flatnonzero(emit[:, :2].max(1) - emit[:, 2] > -bound)
+        near = np.flatnonzero(emit[:, :2].max(1) - emit[:, 2] >= -bound)
         some = np.unique(np.searchsorted(first, near, side="right") - 1)
         some = some[np.argsort(first[some] - first[some + 1], kind="stable")]  # the longest first
-        begin, size = first[some], (first[some + 1] - first[some])
-        if not len(some):
-            return tags
-        back = np.empty((len(some), int(size[0]), 3), np.int8)
+        size = first[some + 1] - first[some]
+        at = 0
+        while at < len(some):  # texts of about one length at a time, so that what is held for the way back is in proportion to them
+            end = int(np.searchsorted(-size, -(size[at] // 2), side="left"))
+            end = max(end, at + 1)
+            self._best(emit, first[some[at:end]], size[at:end], tags)
+            at = end
+        return tags
+
+    def _best(self, emit: np.ndarray, begin: np.ndarray, size: np.ndarray, tags: np.ndarray) -> None:
+        back = np.empty((len(begin), int(size[0]), 3), np.int8)
         score = self.start + emit[begin]
         for t in range(1, int(size[0])):
             live = int(np.searchsorted(-size, -t, side="left"))  # texts that have a token t
@@ -145,7 +154,6 @@ class Field:
             tags[begin[:live] + t] = tag[:live]
             if t:
                 tag[:live] = back[np.arange(live), t, tag[:live]]
-        return tags
 
 
 def _secret(r: random.Random) -> tuple[str, int, int]:
@@ -232,35 +240,13 @@ def fit(texts: list[str], seed: int = SEED, epochs: int = EPOCHS) -> Field:
     if not len(x):
         field.weights[:, OUTSIDE] = 100.0
         return field
-    n, t, k = x.shape
-    real = np.arange(t) < size[:, None]
+    real = np.arange(x.shape[1]) < size[:, None]
     hot = np.eye(3)[y] * real[..., None]
-    flat = x.reshape(-1, k)
     sw, sm, ss = (np.full(a.shape, 1e-2) for a in (field.weights, field.moves, field.start))
-    gold_moves = np.einsum("nti,ntj->ij", hot[:, :-1], hot[:, 1:] * real[:, 1:, None])
     for epoch in range(epochs):
-        emit = field.emissions(flat).reshape(n, t, 3)
-        alpha = np.empty((n, t, 3))
-        alpha[:, 0] = field.start + emit[:, 0]
-        for i in range(1, t):
-            step = _lse(alpha[:, i - 1, :, None] + field.moves, 1) + emit[:, i]
-            alpha[:, i] = np.where(real[:, i, None], step, alpha[:, i - 1])
-        total = _lse(alpha[:, -1], 1)
-        beta = np.zeros((n, t, 3))
-        pairs = np.zeros((3, 3))
-        for i in range(t - 2, -1, -1):
-            ahead = field.moves + (emit[:, i + 1] + beta[:, i + 1])[:, None]
-            beta[:, i] = np.where(real[:, i + 1, None], _lse(ahead, 2), 0.0)
-            joint = np.exp(alpha[:, i, :, None] + ahead - total[:, None, None])
-            pairs += (joint * real[:, i + 1, None, None]).sum(0)
-        post = np.exp(alpha + beta - total[:, None, None]) * real[..., None]
-        diff = (hot - post).reshape(-1, 3)
-        gw = -2e-1 * field.weights
-        for f in range(k):
-            for c in range(3):
-                gw[:, c] += np.bincount(flat[:, f], weights=diff[:, c], minlength=N_FEATURES)
-        gm = gold_moves - pairs - 0.2 * np.where(field.moves > _NEVER / 2, field.moves, 0)
-        gs = hot[:, 0].sum(0) - post[:, 0].sum(0)
+        _, gw, gm, gs = gradient(field, x, hot, real)
+        gw -= 2e-1 * field.weights
+        gm -= 0.2 * np.where(field.moves > _NEVER / 2, field.moves, 0)
         gm[OUTSIDE, INSIDE] = gs[INSIDE] = 0
         for p, s, g in ((field.weights, sw, gw), (field.moves, sm, gm), (field.start, ss, gs)):
             s += g * g
@@ -269,6 +255,36 @@ def fit(texts: list[str], seed: int = SEED, epochs: int = EPOCHS) -> Field:
     return field
 
 
+def gradient(field: Field, x: np.ndarray, hot: np.ndarray, real: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """The conditional log-likelihood of the tags hot (one-hot, zero beyond a window's end) and its gradient by weights, moves
+    and start, by the forward-backward algorithm. The first token of every window is real."""
+    n, t, k = x.shape
+    flat = x.reshape(-1, k)
+    emit = field.emissions(flat).reshape(n, t, 3)
+    alpha = np.empty((n, t, 3))
+    alpha[:, 0] = field.start + emit[:, 0]
+    for i in range(1, t):
+        step = _lse(alpha[:, i - 1, :, None] + field.moves, 1) + emit[:, i]
+        alpha[:, i] = np.where(real[:, i, None], step, alpha[:, i - 1])
+    total = _lse(alpha[:, -1], 1)
+    beta = np.zeros((n, t, 3))
+    pairs = np.zeros((3, 3))
+    for i in range(t - 2, -1, -1):
+        ahead = field.moves + (emit[:, i + 1] + beta[:, i + 1])[:, None]
+        beta[:, i] = np.where(real[:, i + 1, None], _lse(ahead, 2), 0.0)
+        joint = np.exp(alpha[:, i, :, None] + ahead - total[:, None, None])
+        pairs += (joint * real[:, i + 1, None, None]).sum(0)
+    post = np.exp(alpha + beta - total[:, None, None]) * real[..., None]
+    diff = (hot - post).reshape(-1, 3)
+    gw = np.zeros(field.weights.shape)
+    for f in range(k):
+        for c in range(3):
+            gw[:, c] += np.bincount(flat[:, f], weights=diff[:, c], minlength=len(gw))
+    gold = np.einsum("nti,ntj->ij", hot[:, :-1], hot[:, 1:])
+    told = float((hot * emit).sum() + (gold * field.moves).sum() + (hot[:, 0] @ field.start).sum() - total.sum())
+    return told, gw, gold - pairs, hot[:, 0].sum(0) - post[:, 0].sum(0)
+
+
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     top = a.max(axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis))

@@ -153,3 +153,121 @@ def test_secrets_held_out(spark):
     assert {(20, "b7db"), (None, "AKIA")} <= got
     assert secrets.scan(df, field).count() >= 0 and secrets.scan(empty(spark), secrets.model(empty(spark))).count() == 0
     assert secrets.scan(df, secrets.model(df)).columns == ["doc_id", "first_byte", "end_byte", "masked"]
+
+
+def votes_by_hand(m, scores, within, classes):
+    """The class of most pairwise wins, then of the larger sum of margins, then the first."""
+    won, total = dict.fromkeys(classes, 0), dict.fromkeys(classes, 0.0)
+    for (f, a, b), s in zip(m.pairs, scores):
+        if f == within and a in won and b in won:
+            won[a if s > 0 else b] += 1
+            total[a] += s
+            total[b] -= s
+    best = max(classes, key=lambda c: (won[c], total[c], -classes.index(c)))
+    return best, total[best]
+
+
+def test_hierarchy_is_that_of_the_definition():
+    """Family first, then only its own pairs; also with scores made up so that votes tie."""
+    texts, langs = labelled(200)
+    m = langid.fit(texts, langs)
+    assert all((f is None) == (a in m.families) for f, a, b in m.pairs) and {f for f, _, _ in m.pairs} == {None, "germanic", "romance"}
+    texts = labelled(80, 9)[0]
+    fam, lang, margin = m.predict(pa.array(texts))
+    for i, s in enumerate(m.scores(pa.array(texts))[0]):
+        f, outer = votes_by_hand(m, s, None, m.families)
+        got, inner = votes_by_hand(m, s, f, m.members[f])
+        assert (fam[i], lang[i]) == (f, got) and np.isclose(margin[i], min(outer, inner))
+    classes = ["a", "b", "c", "d"]
+    pairs = [(None, x, y) for x, y in itertools.combinations(classes, 2)]
+    some = langid.Model(classes, {c: [c] for c in classes}, pairs, np.zeros((1, 6)), np.zeros(6))
+    r = np.random.default_rng(2)
+    scores = r.integers(-2, 3, (400, 6)).astype(float)
+    pick, top = some._vote(scores, None, classes)
+    for i, s in enumerate(scores):
+        best, total = votes_by_hand(some, s, None, classes)
+        assert classes[pick[i]] == best and top[i] == total
+
+
+def test_field_gradient_is_that_of_its_likelihood():
+    """Against all paths, one by one, and against differences of the likelihood."""
+    r = np.random.default_rng(3)
+    field = secrets.Field(r.normal(0, 1, (7, 3)), r.normal(0, 1, (3, 3)), r.normal(0, 1, 3))
+    x = r.integers(0, 7, (4, 5, 2))
+    size = np.array([5, 1, 3, 4])
+    real = np.arange(5) < size[:, None]
+    y = r.integers(0, 3, (4, 5))
+    hot = np.eye(3)[y] * real[..., None]
+    told, gw, gm, gs = secrets.gradient(field, x, hot, real)
+    want = 0.0
+    for i, n in enumerate(size):
+        emit = field.emissions(x[i, :n])
+        value = lambda path: field.start[path[0]] + sum(emit[t, c] for t, c in enumerate(path)) + sum(field.moves[a, b] for a, b in zip(path, path[1:]))  # noqa: B023, E731
+        want += value(y[i, :n]) - np.log(sum(np.exp(value(p)) for p in itertools.product(range(3), repeat=int(n))))
+    assert np.isclose(told, want)
+    for part, grad in ((field.weights, gw), (field.moves, gm), (field.start, gs)):
+        for at in np.ndindex(part.shape):
+            part[at] += 1e-5
+            more = secrets.gradient(field, x, hot, real)[0]
+            part[at] -= 2e-5
+            less = secrets.gradient(field, x, hot, real)[0]
+            part[at] += 1e-5
+            assert np.isclose((more - less) / 2e-5, grad[at], atol=1e-5)
+
+
+def test_secret_ties_and_lengths():
+    """Equal paths give the earlier tag; texts of very different lengths are decoded alike alone and together."""
+    flat = secrets.Field(np.zeros((1, 3)), np.zeros((3, 3)), np.zeros(3))
+    assert flat.decode(np.zeros((3, 3)), np.array([0, 3])).tolist() == [0, 0, 0]
+    r = np.random.default_rng(5)
+    field = secrets.Field(np.zeros((1, 3)), r.normal(0, 1, (3, 3)), r.normal(0, 1, 3))
+    sizes = [1, 900, 2, 3, 450, 449, 7, 0, 60]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    emit = r.normal(0, 2, (first[-1], 3))
+    together = field.decode(emit.copy(), first)
+    for a, b in zip(first[:-1], first[1:]):
+        assert together[a:b].tolist() == field.decode(emit[a:b].copy(), np.array([0, b - a])).tolist()
+
+
+def test_training_steps_follow_the_gradient():
+    """One step of training on one batch, undone into its gradient, against differences of the loss."""
+    texts, marks, _ = toxic_rows(12, 7)
+    marks[:3] = 1.0
+    r = np.random.default_rng(4)
+    make = lambda: toxicity.Net(r.normal(0, 0.5, (toxicity.ROWS, toxicity.DIM)), [r.normal(0, 0.7, (w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS], [r.normal(0, 0.1, toxicity.FILTERS) for _ in toxicity.WIDTHS], r.normal(0, 0.5, toxicity.FILTERS * 3), np.full(1, -0.3))
+    net = make()
+    parts = lambda m: [m.table, *m.conv, *m.conv_bias, m.out, m.bias]
+    before = [p.copy() for p in parts(net)]
+    weight = np.where(marks > 0, np.clip((len(marks) - marks.sum()) / marks.sum(), 1, 8), 1)
+
+    def loss(m):
+        p = m.score(pa.array(texts)).astype(float)
+        return float((-weight * (marks * np.log(p) + (1 - marks) * np.log(1 - p))).sum() / len(marks) + 0.5e-4 * (m.out**2).sum())
+
+    toxicity._train(net, texts, marks, 1, np.random.default_rng(0))
+    after = [p.copy() for p in parts(net)]
+    for p, b in zip(parts(net), before):
+        p[...] = b
+    for k, (a, b) in enumerate(zip(after, before)):
+        step = ((b - a) / 0.085).clip(-1 + 1e-9, 1 - 1e-9)
+        grad = step * 1e-2 / np.sqrt(1 - step * step)
+        some = np.argwhere(np.abs(step) > 1e-4)
+        for at in some[r.permutation(len(some))[:12]]:
+            at = tuple(at)
+            live = parts(net)[k]
+            live[at] += 1e-3  # scores are of single precision
+            more = loss(net)
+            live[at] -= 2e-3
+            less = loss(net)
+            live[at] += 1e-3
+            want = (more - less) / 2e-3
+            assert abs(grad[at] - want) <= 0.03 * abs(want) + 4e-4, (k, at)
+
+
+def test_scores_at_the_threshold(spark):
+    texts = toxic_rows(20, 8)[0]
+    net = toxicity.fit(*toxic_rows(200, 9), epochs=2)
+    df = spark.createDataFrame([(i, t, "xx", "s", 0) for i, t in enumerate(texts)], DOCS)
+    scores = {x.doc_id: x.score for x in toxicity.classify(df, net).collect()}
+    net.overall = sorted(scores.values())[10]
+    assert {x.doc_id for x in toxicity.classify(df, net).where("toxic").collect()} == {i for i, v in scores.items() if v >= net.overall}
