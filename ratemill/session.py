@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 BATCH_BYTES = 4 << 20
 BATCHES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
+_OWN: set[str] = set()
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -51,7 +52,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as a full URI: spark.checkpoint.dir, or, only where that is unset and the master
-    is local, as in tests, one of our own, which is removed when the driver ends."""
+    is local, as in tests, one of our own, which is removed when the driver ends. So are this application's checkpoints."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     there = sc._jsc.sc().getCheckpointDir()
@@ -62,6 +63,10 @@ def shared_folder(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     if not there.isDefined():
         sc.setCheckpointDir(named)
+    own = sc._jsc.sc().getCheckpointDir().get()  # a folder of this application alone
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(remove, spark, own)
     at = sc._jvm.org.apache.hadoop.fs.Path(named or there.get())
     uri = at.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(at).toString()
     return re.sub("^file:/+", "file:///", uri)
