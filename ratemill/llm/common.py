@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratemill.session import bound_batches, shared_folder
+from ratemill.session import bound_batches, remove, shared_folder
 
 #: Bytes of text that are turned into numpy arrays at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -201,11 +201,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Removes the table of a DataFrame that written() gave, which nothing that is still to run may read."""
-    _, path = _WRITTEN.pop(id(df))
-    sc = df.sparkSession.sparkContext
-    if sc._jsc is not None:
-        at = sc._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    remove(df.sparkSession, _WRITTEN.pop(id(df))[1])
 
 
 def _drop_all() -> None:
