@@ -132,7 +132,7 @@ def model_weight(base: Column, kind: Column, buy: Column, sell: Column) -> Colum
     """Base weight, more for midpoints, less for reported values and wide spreads."""
     mid = (buy + sell) / 2
     spread = F.abs(sell - buy) / F.nullif(mid, F.lit(0.0))
-    return base * F.when(kind == "midpoint", 1.08).when(kind == "reported_open_market", 0.98).otherwise(1.0) * F.coalesce(F.greatest(F.lit(0.70), 1.0 - F.least(spread, F.lit(0.08)) * 2.5), F.lit(1.0))
+    return base * F.when(kind == "midpoint", 1.08).when(kind == "reported_open_market", 0.98).otherwise(1.0) * F.when(spread.isNull(), 1.0).otherwise(F.greatest(F.lit(0.70), 1.0 - F.least(spread, F.lit(0.08)) * 2.5))
 
 
 def model_confidence(n: Column, cv: Column, points: Column, change: Column, outliers: Column) -> Column:

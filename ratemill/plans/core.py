@@ -82,7 +82,8 @@ _LATEST = """r AS (
            row_number() OVER (PARTITION BY day, source, fresh ORDER BY coalesce(quote_time, sampled_at) DESC, sampled_at DESC, value DESC) AS kf FROM o)"""
 
 
-@query(f"""WITH {EVENT_SAMPLES_SQL}, o AS (SELECT *, quote_time IS NOT NULL AND sampled_at - quote_time <= INTERVAL 24 HOUR AS fresh FROM samples WHERE benchmark = 'official' AND value > 0), {_LATEST},
+def _official_sql(hours: int) -> str:
+    return f"""WITH {EVENT_SAMPLES_SQL}, o AS (SELECT *, quote_time IS NOT NULL AND sampled_at - quote_time <= INTERVAL {hours} HOUR AS fresh FROM samples WHERE benchmark = 'official' AND value > 0), {_LATEST},
     cf AS (SELECT day, source, greatest(count(DISTINCT quote_time), 1) AS cadence FROM o WHERE fresh GROUP BY 1, 2), ca AS (SELECT day, source, greatest(count(DISTINCT quote_time), 1) AS cadence FROM o GROUP BY 1, 2),
     f AS (SELECT day, source, value, et, cadence, FALSE AS is_stale FROM r JOIN cf USING (day, source) WHERE fresh AND kf = 1),
     a AS (SELECT day, source, value, et, cadence, TRUE AS is_stale FROM r JOIN ca USING (day, source) WHERE k = 1 AND sampled_at - et <= INTERVAL 1080 HOUR),
@@ -90,11 +91,19 @@ _LATEST = """r AS (
     t AS (SELECT *, max(et) OVER (PARTITION BY day) AS top FROM b), n AS (SELECT *, count(*) OVER (PARTITION BY day) AS n_freshest, max(cadence) OVER (PARTITION BY day) AS most FROM t WHERE et = top),
     p AS (SELECT day, n_freshest, quantile_cont(CAST(value AS DOUBLE), 0.5) AS fix, quantile_cont(CAST(value AS DOUBLE), 0.25) AS p25, quantile_cont(CAST(value AS DOUBLE), 0.75) AS p75, string_agg(source, ',' ORDER BY source) AS selected_sources, max(et) AS selected_quote_time, count(*) AS n, bool_or(is_stale) AS using_stale_fallback FROM n WHERE cadence = most GROUP BY 1, 2)
     SELECT day, round(fix, 6) AS fix, selected_sources, selected_quote_time, CASE WHEN n < n_freshest THEN 'freshest_quote_time_then_update_cadence' ELSE 'freshest_quote_time' END AS selection_method, using_stale_fallback,
-           CASE WHEN (p75 - p25) / fix <= 0.015 THEN 'Green' WHEN (p75 - p25) / fix <= 0.035 THEN 'Amber' WHEN (p75 - p25) / fix <= 0.05 THEN 'Red' ELSE 'WITHHOLD' END AS status FROM p""")
+           CASE WHEN (p75 - p25) / fix <= 0.015 THEN 'Green' WHEN (p75 - p25) / fix <= 0.035 THEN 'Amber' WHEN (p75 - p25) / fix <= 0.05 THEN 'Red' ELSE 'WITHHOLD' END AS status FROM p"""
+
+
+@query(_official_sql(24))
 def w14_official(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fix.official(src.event_samples(spark, sf_dir), fresh_hours=24).select("day", F.round("fix", 6).alias("fix"), F.array_join("selected_sources", ",").alias("selected_sources"), "selected_quote_time", "selection_method", "using_stale_fallback", "status")
 
 
+@query(_official_sql(48))
+def w14b_official_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fix.official(src.event_samples(spark, sf_dir)).select("day", F.round("fix", 6).alias("fix"), F.array_join("selected_sources", ",").alias("selected_sources"), "selected_quote_time", "selection_method", "using_stale_fallback", "status")
+
+
 @query(f"WITH {EVENT_SAMPLES_SQL}, c AS (SELECT day, source, count(*) AS n, quantile_cont(CAST(CASE WHEN ok THEN value END AS DOUBLE), 0.5) AS v, quantile_cont(CAST(value AS DOUBLE), 0.5) AS d, string_agg(DISTINCT benchmark, '; ' ORDER BY benchmark) FILTER (WHERE NOT ok) AS reasons FROM samples GROUP BY 1, 2) SELECT day, source, n, round(coalesce(v, d), 6) AS estimate, v IS NOT NULL AS eligible, coalesce(reasons, '') AS reasons FROM c")
 def a8_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = src.event_samples(spark, sf_dir)

@@ -152,7 +152,11 @@ def j15_registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", "title", "country", F.col("last_usable_record_count").alias("last_q"), F.col("best_usable_record_count").alias("best_q"), "first_seen", "last_seen")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT s_suppkey, s_suppkey % 40 AS name, s_suppkey % 33 AS domain, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 21 END AS handle, s_acctbal, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS i FROM supplier WHERE s_suppkey % 40 NOT BETWEEN 0 AND 4 AND NOT coalesce(s_suppkey % 3 = 0 AND s_suppkey % 21 BETWEEN 0 AND 4, FALSE)),
+    o AS (SELECT * REPLACE (row_number() OVER (ORDER BY i) AS i) FROM s), g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS n, []::BIGINT[] AS d, []::BIGINT[] AS h, FALSE AS ok
+        UNION ALL SELECT i, CASE WHEN ok THEN list_append(n, name) ELSE n END, CASE WHEN ok THEN list_append(d, domain) ELSE d END, CASE WHEN ok AND handle IS NOT NULL THEN list_append(h, handle) ELSE h END, ok
+        FROM (SELECT o.i, g.n, g.d, g.h, o.name, o.domain, o.handle, NOT list_contains(g.n, o.name) AND NOT list_contains(g.d, o.domain) AND NOT coalesce(list_contains(g.h, o.handle), FALSE) AS ok FROM g JOIN o ON o.i = g.i + 1))
+    SELECT s_suppkey, name, domain, handle, s_acctbal FROM o JOIN g USING (i) WHERE ok""")
 def j9_new_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as found businesses, customers of the first nations as known ones, by three keys."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 40).alias("name"), (F.col("s_suppkey") % 33).alias("domain"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey") % 21).alias("handle"), "s_acctbal")

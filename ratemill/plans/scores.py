@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ratemill.functions import payloads, scores
 from ratemill.operators import fix, publish, regional
-from ratemill.plans.core import _BANDS, _CLAMPS, _MEDIANS, _STATUS, _weighted_records
+from ratemill.plans.core import _BANDS, _CLAMPS, _MAD, _MEDIANS, _STATUS, _weighted_records
 from ratemill.plans.registry import query, table
 from ratemill.sources import samples as src
 from ratemill.sources.samples import BASKET_SQL, TRADE_SAMPLES_SQL
@@ -110,9 +110,13 @@ def a16_locality_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regional.board(r, 1_450_000.0).withColumns({"median_rate": F.round("median_rate", 2), "weighted_rate": F.round("weighted_rate", 2), "spread_pct": F.round("spread_pct", 4)})
 
 
-@query()
+@query(f"""WITH {BASKET_SQL}, {_CLAMPS}, {_MAD}, cl AS (SELECT * FROM m3 WHERE NOT outlier), per AS (SELECT basket, handle, sum(weight) AS hw, max(freshness) AS hf FROM cl GROUP BY 1, 2), hd AS (SELECT basket, count(*) AS sources, max(hw) / sum(hw) AS top_share, quantile_cont(hf, 0.5) AS mf, count_if(hf >= 85) AS fresh_sources FROM per GROUP BY 1),
+    a AS (SELECT basket, count(*) AS n, quantile_cont(rate, 0.5) AS median_rate, sum(rate * weight) / sum(weight) AS weighted_rate, CASE WHEN count(*) = 1 THEN 0 ELSE stddev_pop(rate) / avg(rate) END AS cv, avg(freshness) AS af, avg(quality) AS aq FROM cl GROUP BY 1),
+    j AS (SELECT *, greatest(af, mf) AS signal, (weighted_rate - 1450000) / 1450000 * 100 AS spread FROM a JOIN hd USING (basket)), c AS (SELECT *, round(CAST(greatest(0, least(100, least(32.0, n * 3.5) + least(18.0, sources * 6.0) + greatest(0.0, 20.0 - cv * 90) + least(15.0, signal / 6.5) + least(15.0, aq / 7.0))) AS DOUBLE), 2) AS confidence FROM j),
+    x AS (SELECT *, CASE WHEN n < 3 THEN 'insufficient_usable_records' WHEN confidence < 42 THEN 'low_confidence' WHEN signal < 35 THEN 'stale_signal' WHEN cv > 0.28 THEN 'high_dispersion' WHEN top_share > 0.96 AND n < 4 THEN 'single_source_dominance' WHEN abs(spread) > 35 AND sources < 4 THEN 'extreme_divergence' ELSE '' END AS reason FROM c)
+    SELECT basket, n, sources, fresh_sources, round(median_rate, 2) AS median_rate, round(weighted_rate, 2) AS weighted_rate, round(cv, 8) AS cv, round(top_share, 8) AS top_share, confidence, round(spread, 6) AS spread_pct, reason = '' AS publishable, reason FROM x""")
 def a15_enriched_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regional.enriched(_weighted_records(spark, sf_dir), 1_450_000.0)
+    return regional.enriched(_weighted_records(spark, sf_dir), 1_450_000.0).withColumns({c: F.round(c, n) for c, n in (("median_rate", 2), ("weighted_rate", 2), ("cv", 8), ("top_share", 8), ("spread_pct", 6))})
 
 
 _ATTEMPT_SQL = f"""{TRADE_SAMPLES_SQL}, {_MEDIANS}, {_BANDS}, att AS (SELECT day, CAST(day AS TIMESTAMP) + to_minutes(CAST(820 + 12 * ascii(benchmark) % 60 AS INTEGER)) AS "at", fix, {_STATUS} AS status, withheld, benchmark FROM fixed)"""

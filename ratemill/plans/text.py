@@ -98,7 +98,9 @@ def _visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.clean_html(F.col("html")).alias("body"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g') AS t FROM pages), b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr)>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM a),
+    c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&') AS t FROM b)
+    SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g')) AS body FROM c""")
 def x16_clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _visible(spark, sf_dir)
 
@@ -181,7 +183,11 @@ def d2_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", times.parse_offset(s).cast("long").alias("minutes"))
 
 
-@query()
+@query("""WITH e AS (SELECT event_id, CAST(1300 + event_id % 200 AS INTEGER) AS jy, CAST(1 + event_id % 12 AS INTEGER) AS jm, CAST(1 + event_id % 29 AS INTEGER) AS jd, CAST(ts + INTERVAL 210 MINUTE AS DATE) AS here FROM events),
+    n AS (SELECT *, (CASE WHEN jm <= 7 THEN 31 * (jm - 1) ELSE 186 + 30 * (jm - 7) END) + jd - 1 AS into_year FROM e),
+    y AS (SELECT u AS y, DATE '1600-03-20' + CAST(365 * (u - 979) + 8 * ((u - 979) // 33) + ((u - 979) % 33 + 3) // 4 AS INTEGER) AS first FROM generate_series(1300, 1500) t(u)),
+    c AS (SELECT n.event_id, arg_min(first + into_year, abs(first + into_year - here) * 10000 + y) AS nearest FROM n JOIN y ON y BETWEEN year(here) - 625 AND year(here) - 618 GROUP BY 1)
+    SELECT event_id, jy, jm, jd, first + into_year AS date, nearest FROM n JOIN y ON y = jy JOIN c USING (event_id)""")
 def d4_jalali(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     y, m, d = (1300 + F.col("event_id") % 200).cast("int"), (1 + F.col("event_id") % 12).cast("int"), (1 + F.col("event_id") % 29).cast("int")
