@@ -1,9 +1,9 @@
 """Queries over the tables, one for each operator."""
 
-from ratemill.plans import boards, core, details, extraction, landed, relational, rules, scores, streams, surveys, text
+from ratemill.plans import boards, core, details, extraction, landed, probes, relational, rules, scores, streams, surveys, text
 from ratemill.plans.registry import ORACLES, QUERIES, Query
 
-__all__ = ["all_oracles", "all_queries", "boards", "core", "details", "extraction", "landed", "relational", "rules", "scores", "streams", "surveys", "text"]
+__all__ = ["all_oracles", "all_queries", "boards", "core", "details", "extraction", "landed", "probes", "relational", "rules", "scores", "streams", "surveys", "text"]
 
 
 def all_queries() -> dict[str, Query]:
