@@ -161,7 +161,7 @@ def _owners(rows: Iterator[tuple], limit: int, folder: str) -> Iterator[tuple]:
 
     def spill() -> Spilled:
         if not state:
-            state["fs"], state["at"] = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+            state["fs"], state["at"] = pafs.FileSystem.from_uri(folder)  # the shared folder's full URI
             state["fs"].create_dir(state["at"], recursive=True)
         return Spilled(state["fs"], f"{state['at']}/trie-{uuid.uuid4().hex}")
 
