@@ -121,6 +121,12 @@ def seeds_of_candidates(rows: DataFrame) -> DataFrame:
     return rows.where(handle.rlike(HANDLE) & ((F.col("quotes") > 0) | (F.col("boards") > 0))).select(handle.alias("handle"), F.coalesce(F.nullif(F.trim("kind"), F.lit("")), F.lit("regional_market_channel")).alias("kind"), F.lit("previous_candidate_registry").alias("origin"))
 
 
+def seeds_of_registry(sources: DataFrame) -> DataFrame:
+    """Sources of a registry with a handle of the usual form: handle, kind."""
+    handle = F.lower(F.trim("handle"))
+    return sources.where(handle.rlike(HANDLE)).select(handle.alias("handle"), F.coalesce(F.nullif(F.trim("kind"), F.lit("")), F.lit("regional_market_channel")).alias("kind"))
+
+
 def select_candidates(rows: DataFrame, hint: Column, existing: DataFrame) -> DataFrame:
     """handle, kind and density of candidates with a hint, of useful boards, and of what is there already; those that only are there get what is usual."""
     useful = F.col("kind").isin("regional_fx_board", "regional_market_channel") & ((F.col("boards") > 0) | (F.col("places") >= 2))
@@ -179,3 +185,34 @@ def primary_surface(surfaces: DataFrame, key: str) -> DataFrame:
     """key and kind:url of the surface with the most usable records, then the top score, then the last kind by name."""
     best = F.max_by(F.concat_ws(":", "kind", "url"), F.struct("usable", "score", "kind", "url"))
     return surfaces.groupBy(key).agg(best.alias("surface"))
+
+
+def latest_attempt(attempts: DataFrame) -> DataFrame:
+    """Of each day the attempt collected last (day, at, ...), the greatest of equals."""
+    cols = [c for c in attempts.columns if c not in ("day", "at")]
+    return attempts.groupBy("day").agg(F.max(F.struct("at", *cols)).alias("_a")).select("day", "_a.*")
+
+
+def capped(candidates: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first so many candidates; a sort of the first ones of each task, not of all."""
+    return candidates.orderBy(*order).limit(most)
+
+
+def query_plan(queries: DataFrame, key: Column, ordinal: str) -> DataFrame:
+    """Each query once, where it came first."""
+    return queries.withColumn("_key", key).groupBy("_key").agg(F.min_by(F.struct(*queries.columns), ordinal).alias("_q")).select("_q.*")
+
+
+def by_eligibility(sources: DataFrame) -> DataFrame:
+    """One row with the sorted names of sources (source, eligible) that count and of those that only serve diagnostics."""
+    names = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("source"))))
+    return sources.agg(names(F.col("eligible")).alias("eligible"), names(~F.coalesce("eligible", F.lit(False))).alias("diagnostic_only"))
+
+
+def with_selection(days: DataFrame) -> DataFrame:
+    """Days (day, fix, n_sources, used, previous_fix, delta, same) with what of the selection isn't there filled in: sources used, the last day's fix, the difference."""
+    before = F.lag("fix").over(Window.orderBy("day"))  # a row per day of the whole history: some thousands
+    d = days.withColumn("_before", before)
+    return d.select(
+        "day", "fix", F.coalesce("used", "n_sources").alias("used"), F.coalesce("previous_fix", "_before").alias("previous_fix"), F.coalesce("delta", F.col("fix") - F.col("_before")).alias("delta"), F.coalesce("same", F.col("fix") == F.col("_before")).alias("same")
+    )

@@ -186,3 +186,42 @@ def y2_gap_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.dayofmonth("day")
     gap = publish.gap_value(F.when(m % 3 == 0, 1.5), _c("s"), _c("o"), m % 5 == 0)
     return d.select("day", F.round(gap, 6).alias("gap")).where("gap IS NOT NULL")
+
+
+@query("SELECT CAST(o_orderdate AS DATE) AS day, max(o_orderdate) AS at, arg_max(o_orderkey, epoch_us(o_orderdate)::HUGEINT * 10000000 + o_orderkey) AS k FROM orders GROUP BY 1")
+def k6_latest_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"), _c("o_orderdate").alias("at"), _c("o_orderkey").alias("k"))
+    return surveys.latest_attempt(o)
+
+
+@query("SELECT p_partkey, p_brand FROM part ORDER BY p_brand, p_partkey LIMIT 40")
+def o6_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surveys.capped(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), [_c("p_brand"), _c("p_partkey")], 40)
+
+
+@query("SELECT min(c_custkey) AS c_custkey, lower(c_mktsegment) AS q FROM customer GROUP BY 2")
+def y66_query_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "customer").select("c_custkey", F.when(_c("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.concat(F.lit(" "), "c_mktsegment")).alias("q"))
+    return surveys.query_plan(q, F.lower(F.trim("q")), "c_custkey").select("c_custkey", F.lower(F.trim("q")).alias("q"))
+
+
+@query(f"WITH {_SQL} SELECT list_sort(list(DISTINCT concat('s', CAST(k % 30 AS VARCHAR))) FILTER (WHERE k % 30 < 20)) AS eligible, list_sort(list(DISTINCT concat('s', CAST(k % 30 AS VARCHAR))) FILTER (WHERE k % 30 >= 20)) AS diagnostic_only FROM cases")
+def y14_by_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _c("k") % 30
+    return surveys.by_eligibility(cases(spark, sf_dir).select(F.concat(F.lit("s"), m).alias("source"), F.when(m < 20, True).when(m < 25, False).alias("eligible")))
+
+
+@query(f"WITH {DAILY_SQL}, d AS (SELECT day, fix, lag(fix) OVER (ORDER BY day) AS b FROM daily WHERE key = '1-URGENT') SELECT day, fix, CASE WHEN day(day) % 2 = 0 THEN 9 ELSE 4 END AS used, CASE WHEN day(day) % 3 = 0 THEN 1.0 ELSE b END AS previous_fix, round(fix - b, 4) AS delta, fix = b AS same FROM d")
+def y5_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.dayofmonth("day")
+    d = src.daily_values(spark, sf_dir).where("key = '1-URGENT'").select("day", "fix", F.lit(4).alias("n_sources"), F.when(m % 2 == 0, 9).alias("used"), F.when(m % 3 == 0, 1.0).alias("previous_fix"), F.lit(None).cast("double").alias("delta"), F.lit(None).cast("boolean").alias("same"))
+    return surveys.with_selection(d).withColumn("delta", F.round("delta", 4))
+
+
+@query(f"WITH {_SQL} SELECT concat('chan_', CAST(k AS VARCHAR)) AS handle, CASE WHEN is_hint THEN 'regional_market_channel' ELSE kind END AS kind FROM cases WHERE is_named AND (is_phone OR is_address) AND (is_mapped OR pairs > 0) AND k % 10 <> 4")
+def y36_registry_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds of a registry's useful sources of some families (F17)."""
+    c = cases(spark, sf_dir)
+    families = F.concat_ws(" | ", F.when(_c("is_phone"), "regional_fx_board"), F.when(_c("is_address"), "direct_shop_expansion"), F.lit("other"))
+    ours = c.where(rules.active_source(F.when(_c("is_named"), "Telegram").otherwise("web"), families, F.when(_c("is_mapped"), "2024").otherwise(""), _c("pairs"), "telegram", ("regional_fx_board", "regional_market_signal", "direct_shop_expansion")))
+    return surveys.seeds_of_registry(ours.select(F.when(_c("k") % 10 == 4, "x-y").otherwise(F.concat(F.lit("Chan_"), "k")).alias("handle"), F.when(_c("is_hint"), "").otherwise(_c("kind")).alias("kind")))
