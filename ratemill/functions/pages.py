@@ -16,10 +16,12 @@ _WORDS = {"AED": "درهم|aed", "USD": "دلار|usd"}
 
 
 def _month(name: Column, names: dict[str, int]) -> Column:
-    out = F.lit(None).cast("int")
-    for k, n in names.items():
-        out = F.when(name == k, n).otherwise(out)
-    return out
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), name)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _any(names: dict[str, int]) -> str:
@@ -46,20 +48,24 @@ def profile_time(html: Column, sampled: Column) -> Column:
     Tehran; a day earlier if that is over ten minutes ahead. In UTC."""
     t = numbers.western_digits(html)
     clock = r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?\s*<"
-    patterns = (r"(?is)<td[^>]*>\s*زمان\s*ثبت\s*آخرین\s*نرخ\s*</td>\s*<td[^>]*>\s*" + clock, r"(?is)tgju-widget-up-i[^>]*>\s*" + clock)
+    label = r"\s*".join("زمان ثبت آخرین نرخ".split())
+    cell = r"<td[^>]*>\s*"
+    patterns = ("(?is)" + cell + label + r"\s*</td>\s*" + cell + clock, r"(?is)tgju-widget-up-i[^>]*>\s*" + clock)
     shown = []
     for p in patterns:
         h, m, s = (F.regexp_extract(t, p, k) for k in (1, 2, 3))
         h, m, s = h.try_cast("int"), m.try_cast("int"), F.coalesce(s.try_cast("int"), F.lit(0))
         shown.append(F.when((h <= 23) & (m <= 59) & (s <= 59), h * 3600 + m * 60 + s))
     seconds = F.coalesce(*shown)
-    weekday = r"(?is)(?:پنجشنبه|چهارشنبه|سه[\s\x{200c}]*شنبه|دوشنبه|یکشنبه|شنبه|جمعه)\s+([0-9]{1,2})\s+(\p{L}+)\s*[-–]"
+    days = "|".join([*(k + "شنبه" for k in ("پنج", "چهار", r"سه[\s\x{200c}]*", "دو", "یک", "")), "جمعه"])
+    weekday = rf"(?is)(?:{days})\s+([0-9]{{1,2}})\s+(\p{{L}}+)\s*[-–]"
     day, month = F.regexp_extract(t, weekday, 1).try_cast("int"), _month(F.regexp_extract(t, weekday, 2), JALALI)
     shift = F.expr("INTERVAL '3:30' HOUR TO MINUTE")
     here = sampled + shift
-    date = F.coalesce(times.nearest_jalali(day, month, sampled), here.cast("date"))
+    nearest = _bound(F.struct(day.alias("d"), month.alias("m")), lambda x: F.when(x["m"].isNotNull(), times.nearest_jalali(x["d"], x["m"], sampled)))
+    date = F.coalesce(nearest, here.cast("date"))
     local = date.cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
-    return F.when(local > here + F.expr("INTERVAL 10 MINUTES"), local - F.expr("INTERVAL 1 DAY")).otherwise(local) - shift
+    return _bound(local, lambda x: F.when(x > here + F.expr("INTERVAL 10 MINUTES"), x - F.expr("INTERVAL 1 DAY")).otherwise(x)) - shift
 
 
 def _clock(t: Column) -> Column:
@@ -111,9 +117,11 @@ def direct_rates(block: Column, benchmark: float) -> Column:
     found = []
     for money, words in _WORDS.items():
         peg = 3.6725 if money == "AED" else 1.0
-        for p in (
-            rf"(?iu)(?:نرخ|قیمت|حواله|تبدیل|امروز)[^.!?\n]{{0,80}}(?:{words})[^0-9]{{0,50}}({_TOKEN})", rf"(?iu)(?:{words})[^.!?\n]{{0,90}}?({_TOKEN})", rf"(?iu)({_TOKEN})\s*(?:تومان|ریال|irr|rial)[^.!?\n]{{0,50}}(?:{words})",
-        ):
+        here = r"[^.!?\n]"  # what doesn't end a sentence
+        told_of = "|".join(("امروز", "تبدیل", "حواله", "قیمت", "نرخ"))
+        unit = "|".join(("rial", "irr", "ریال", "تومان"))
+        for p in (rf"(?:{told_of}){here}{{0,80}}(?:{words})[^0-9]{{0,50}}({_TOKEN})", rf"(?:{words}){here}{{0,90}}?({_TOKEN})", rf"({_TOKEN})\s*(?:{unit}){here}{{0,50}}(?:{words})"):
+            p = "(?iu)" + p
             values = F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(1)), lambda s: F.regexp_replace(s, "[^0-9]", "").try_cast("bigint"))
 
             found.append(F.filter(F.transform(values, _told(t, money)), _within(low / peg, high / peg)))
