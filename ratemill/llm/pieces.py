@@ -29,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ratemill.llm.common import chunks, in_arrow, recent, text_bytes
 
