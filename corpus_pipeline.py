@@ -21,7 +21,7 @@ from ratemill.session import remove, shared_folder, ship
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject; it is fitted on labelled rows of the whole table (toxicity.SAMPLE at most).
+    """Documents that the classifier doesn't reject; it is fitted on all labelled rows of the whole table.
     NULL texts and, where nothing is labelled, all texts stay."""
     net = toxicity.model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.clean(docs, net)

@@ -1,10 +1,13 @@
 import itertools
 import random
+from copy import deepcopy
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ratemill.llm import langid, secrets, toxicity
+from ratemill.llm.common import cut
 from tests.llm.common_rows import DOCS, empty, odd, rows
 
 STEMS = {"en": "the and of thing shall wh ing tion ough ness", "de": "der und sch eit keit ung über ein nicht zu", "fr": "le des eux ment è ê que ou ai tion", "es": "el los ción mente ñ que ar os rr ll"}
@@ -271,3 +274,82 @@ def test_scores_at_the_threshold(spark):
     scores = {x.doc_id: x.score for x in toxicity.classify(df, net).collect()}
     net.overall = sorted(scores.values())[10]
     assert {x.doc_id for x in toxicity.classify(df, net).where("toxic").collect()} == {i for i, v in scores.items() if v >= net.overall}
+
+
+def labelled_tables(spark, texts, marks, langs):
+    docs = spark.createDataFrame([(i, t, x, "s", len(t)) for i, (t, x) in enumerate(zip(texts, langs))], DOCS)
+    return docs, spark.createDataFrame([(i, 1, int(m)) for i, m in enumerate(marks)], "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A word that only the last of the labelled rows by the seeded hash have, far beyond the first 6,000."""
+    order = [r.id for r in spark.range(6_600).orderBy(F.xxhash64("id", F.lit(toxicity.SEED)), "id").collect()]
+    r = random.Random(12)
+    texts = [sentence(r, "en", 6) for _ in order]
+    marks = np.zeros(len(order))
+    for i in order[:400]:
+        texts[i], marks[i] = texts[i] + " scum", 1
+    for i in order[6_100:6_500]:
+        texts[i], marks[i] = texts[i] + " zorgle", 1
+    net = toxicity.model(*labelled_tables(spark, texts, marks, ["en"] * len(order)))
+    score = net.score(pa.array([sentence(r, "en", 6) + end for end in [" scum"] * 50 + [" zorgle"] * 50 + [""] * 100]))
+    called = score >= net.thresholds["en"]
+    assert called[:50].mean() > 0.95 and called[50:100].mean() > 0.95 and called[100:].mean() < 0.05
+
+
+def test_toxicity_shards_hold_every_labelled_row_once(spark):
+    texts, marks, langs = toxic_rows(500, 10)
+    docs, labels = labelled_tables(spark, texts, marks, langs)
+    more = [(5, "aa " + texts[5], "fr", "s", 0), (900, None, "en", "s", 0), (901, "no label", "en", "s", 0), (None, "no id", "en", "s", 0)]
+    docs = docs.unionByName(spark.createDataFrame(more, DOCS))
+    marks_df = labels.unionByName(spark.createDataFrame([(900, 1, 1), (950, 1, 1)], labels.schema)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    got = toxicity._labelled(docs, marks_df, 3, 1).withColumn("part", F.spark_partition_id()).collect()
+    want = {i: (t, x, m > 0) for i, (t, x, m) in enumerate(zip(texts, langs, marks))}
+    want[5] = min((texts[5], langs[5]), ("aa " + texts[5], "fr")) + (marks[5] > 0,)
+    assert len(got) == 500 and {r.doc_id: (r.text, r.lang, r.toxic) for r in got} == want and {r.part for r in got} == {0, 1, 2}
+    packed = toxicity._packed(toxicity._labelled(docs, marks_df, 3, 1)).agg(F.sum("n"), F.sum("hits")).first()
+    assert tuple(packed) == (500, sum(marks))
+
+
+def test_toxicity_shards_learn(spark):
+    net = toxicity.model(*labelled_tables(spark, *toxic_rows(1600, 1)), shard=500)
+    texts, marks, langs = toxic_rows(400, 2)
+    called = net.score(pa.array(texts)) >= np.array([net.thresholds.get(x, net.overall) for x in langs])
+    assert (called == (marks > 0)).mean() > 0.97 and set(net.thresholds) == {"en", "de"}
+    for mark in (0, 1):
+        docs, labels = labelled_tables(spark, texts, marks, langs)
+        assert toxicity.classify(docs, toxicity.model(docs, labels.withColumn("toxic", F.lit(mark)), shard=100)).where("toxic").count() == 0
+
+
+def test_toxicity_round_is_the_mean_of_the_shards(spark):
+    texts, marks, langs = toxic_rows(300, 11)
+    docs, labels = labelled_tables(spark, texts, marks, langs)
+    packed = cut(toxicity._packed(toxicity._labelled(docs, labels.select("doc_id", "toxic"), 2, 1)))
+    base = toxicity._start(np.random.default_rng(0))
+    ends = []
+    for some in ("true", "spark_partition_id() = 0", "spark_partition_id() = 1"):
+        net, squares = deepcopy(base), base.squares()
+        toxicity._round(packed.where(some), net, squares, 4.0, np.float32(0.05), (1, 0))
+        ends.append([*net.params(), *squares])
+    starts, k = [*base.params(), *base.squares()], len(base.params())
+    seen = sum(((end[0] != starts[0]) | (end[k] != starts[k])).any(1).astype(int) for end in ends[1:])[:, None]
+    assert {0, 1, 2} == set(seen.ravel().tolist())
+    for start, both, one, two in zip(starts, *ends):
+        want = start + ((one - start) + (two - start)) / (np.maximum(seen, 1) if len(start) == toxicity.ROWS else 2)
+        assert np.allclose(both, want, atol=1e-5) and not np.array_equal(both, start)
+
+
+def test_thresholds_of_a_table_are_those_of_its_scores(spark):
+    r = np.random.default_rng(8)
+    toxic = r.random(900) < 0.3
+    score = np.round(1 / (1 + np.exp(-r.normal(2.0 * toxic, 1.5))), 2).clip(0.01, 0.99)
+    score[:20] = 1 - 1e-12
+    lang = [None if i % 11 == 0 else ("en", "de", "fr", "")[i % 4] for i in range(900)]
+    toxic &= np.array([x != "fr" for x in lang])
+    rows_ = [(x, float(s), int(t)) for x, s, t in zip(lang, score, toxic)]
+    overall, own = toxicity._calibrate(spark.createDataFrame(rows_, "lang string, score double, toxic long"))
+    assert np.isclose(overall, toxicity._threshold(score, toxic.astype(float)))
+    assert set(own) == {"en", "de", ""}
+    for x, limit in own.items():
+        mine = np.array([y == x for y in lang])
+        assert np.isclose(limit, toxicity._threshold(score[mine], toxic[mine].astype(float)))
