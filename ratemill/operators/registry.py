@@ -87,11 +87,12 @@ def _rank(c: Column, ranks: dict[str, int]) -> Column:
     return out
 
 
-def cards(candidates: DataFrame, most_ratio: float = 1.25) -> DataFrame:
-    """One card per locality: publishable candidates whose rates agree are merged by weight, else the best candidate stands."""
+def cards(candidates: DataFrame, most_ratio: float = 1.25, first_by: str | None = None) -> DataFrame:
+    """One card per locality: publishable candidates whose rates agree are merged by weight, else the best candidate stands.
+    first_by: the number by which the first of equally good ones is told; without it, it is the one of the highest rate."""
     good = (F.col("state") == "publish") & F.col("rate").isNotNull()
     weight = F.greatest(F.least("usable", F.lit(250)), F.col("sources") * 8, F.lit(1)) * F.greatest(F.lit(0.35), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(50.0)) / 100))
-    order = F.struct(_rank(F.col("state"), STATES).alias("a"), F.col("rate").isNotNull().cast("int").alias("b"), F.col("fresh").alias("c"), F.col("sources").alias("d"), F.col("usable").alias("e"), _rank(F.col("artifact"), ARTIFACTS).alias("f"), F.coalesce("confidence", F.lit(0.0)).alias("g"))
+    order = F.struct(_rank(F.col("state"), STATES).alias("a"), F.col("rate").isNotNull().cast("int").alias("b"), F.col("fresh").alias("c"), F.col("sources").alias("d"), F.col("usable").alias("e"), _rank(F.col("artifact"), ARTIFACTS).alias("f"), F.coalesce("confidence", F.lit(0.0)).alias("g"), (-F.col(first_by) if first_by else F.col("rate")).alias("h"))
     w = candidates.withColumn("_w", F.when(good, weight))
     per = w.groupBy("locality").agg(
         F.count_if(good).alias("n_good"), F.max(F.when(good, F.col("rate"))).alias("hi"), F.min(F.when(good, F.col("rate"))).alias("lo"), F.try_divide(F.sum(F.when(good, F.col("rate") * F.col("_w"))), F.sum("_w")).alias("merged_rate"),

@@ -33,6 +33,14 @@ def test_cards_merge_only_what_agrees(spark):
     assert got == {"a": ("merged_diagnostics", 110.0), "b": ("enriched", 130.0), "c": ("board", None)}
 
 
+def test_cards_of_equal_candidates(spark):
+    schema = "id int, locality string, state string, rate double, artifact string, usable int, sources int, fresh int, confidence double"
+    rows = [(i, "a", "publish", r, "board", 10, 1, 1, 100.0) for i, r in ((2, 900.0), (1, 100.0), (3, 500.0))]
+    for some in (rows, rows[::-1], sorted(rows)):
+        df = spark.createDataFrame(some, schema).coalesce(1)
+        assert [registry.cards(df, 1.25, by).first().rate for by in ("id", None)] == [100.0, 900.0]
+
+
 def test_registry_upsert_is_idempotent(spark):
     reg = "key string, title string, status string, country string, origins array<string>, localities array<string>, families array<string>, last_quote_message_count long, best_quote_message_count long, last_usable_record_count long, best_usable_record_count long, first_seen date, last_seen date, last_success date"
     upd = "key string, title string, status string, country string, origins array<string>, localities array<string>, families array<string>, quote_message_count long, usable_record_count long"
