@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EASTERN = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩"
+DECIMAL = r"^[-+]?[0-9]+(\.[0-9]+)?$"
 #: Two or three digits with groups of three after them, or five to eight digits.
 NUMBER = r"(?<![0-9])(?:[0-9]{2,3}(?:[،٬,\s][0-9]{3})+|[0-9]{5,8})(?![0-9])"
 
@@ -14,10 +15,15 @@ def western_digits(text: Column) -> Column:
     return F.translate(text, EASTERN, "01234567890123456789")
 
 
+def bare_number(text: Column) -> Column:
+    """Western digits without separators; a number if it is like DECIMAL."""
+    return F.regexp_replace(F.trim(western_digits(text)), "[,٬، ]", "")
+
+
 def parse_float(text: Column) -> Column:
     """A plain decimal with optional sign and separators; NULL for anything else."""
-    bare = F.regexp_replace(F.trim(western_digits(text)), "[,٬، ]", "")
-    return F.when(bare.rlike(r"^[-+]?[0-9]+(\.[0-9]+)?$"), bare.try_cast("double"))
+    bare = bare_number(text)
+    return F.when(bare.rlike(DECIMAL), bare.try_cast("double"))
 
 
 def parse_number(text: Column) -> Column:

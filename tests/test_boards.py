@@ -75,6 +75,26 @@ def test_payloads_by_symbol(spark):
     assert payloads.resolved(df, "k", "body", "official", ("other",), ("ice_average_usd_sell",), True, 4).count() == 0
 
 
+def test_payloads_are_parsed_once(spark):
+    """Each query over payloads reads its input once, however deep it looks."""
+    df = spark.range(3).select("id", F.concat(F.lit('{"usd": {"p": "'), F.col("id") + 5, F.lit('", "ts": "2026-04-13"}, "official": {"usd": 20000}}')).alias("body"))
+    ways = {"own": ("official", ("usd",), (), True), "any": ("official", ("none",), ("usd",), False), "path": ("official", (), (), False)}
+    made = [payloads.by_priority(df, "id", "body", ("usd", "x"), 4), payloads.symbol_time(df, "id", "body", ("usd",), 4), payloads.symbol_value(df, "id", "body", ("usd",), 4), payloads.path_value(df, "id", "body", "official", 4), payloads.resolved_ways(df, "id", "body", ways, 4), payloads.quote_time(df, "id", "body", 4)]
+    for out in made:
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Range (") == 1  # one branch over the input, where there was one for each level
+    assert sorted(map(tuple, made[4].where("key = 1").collect())) == [(1, "any", 10_003.0, None), (1, "own", 10_003.0, "usd"), (1, "path", 20_000.0, None)]
+
+
+def test_payloads_of_a_key_in_several_rows(spark):
+    rows = [(1, '{"usd": 10, "x": [{"code": "USD", "p": "30", "ts": "2026-04-13"}]}'), (1, '{"usd": 50, "eur": {"p": 5, "date": "2026-04-14"}}'), (None, '{"u-s-d": 7}'), (None, '{"usd": 9}'), (2, "[[[1]]]"), (3, None), (4, "null")]
+    df = spark.createDataFrame(rows, "k int, body string")
+    assert {r.key: r.value for r in payloads.symbol_value(df, "k", "body", ("usd",), 4).collect()} == {1: 30.0, None: 8.0}
+    assert {r.key: (r.value, r.symbol) for r in payloads.by_priority(df, "k", "body", ("usd", "eur"), 4).collect()} == {1: (5.0, "eur"), None: (8.0, "usd")}
+    assert {(r.key, r.path, r.value) for r in payloads.leaves(df.where("k > 1"), "k", "body", 4).collect()} == {(2, "[0][0][0]", "1"), (4, "", None)}
+    assert payloads.leaves(df.where("k = 2"), "k", "body", 2).count() == 0
+
+
 def test_gates(spark):
     yes, no = F.lit(True), F.lit(False)
     got = one(
