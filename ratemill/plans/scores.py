@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ratemill.functions import payloads, scores
 from ratemill.operators import fix, publish, regional
+from ratemill.operators.quotes import spread
 from ratemill.plans.core import _BANDS, _CLAMPS, _MAD, _MEDIANS, _STATUS, _weighted_records
 from ratemill.plans.registry import query, table
 from ratemill.sources import samples as src
@@ -150,7 +151,7 @@ def f24_guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _payloads(spark: SparkSession, sf_dir: str, which: str = "o_orderkey < 400") -> DataFrame:
     """Orders as nested quote payloads."""
-    o = table(spark, sf_dir, "orders").where(which)
+    o = spread(table(spark, sf_dir, "orders").where(which))
     p = F.col("o_totalprice").cast("string")
     body = F.concat(F.lit('{"data": {"USD-IRR": {"price": "'), p, F.lit('", "updated_at": "2024-01-01T10:00:00Z"}, "list": [{"symbol": "eur", "sell": "1,000"}, {"symbol": "usd_irr", "value": '), p, F.lit('}], "usd_irr": "'), p, F.lit('"}, "ts": 1700000000}'))
     return o.select("o_orderkey", "o_totalprice", body.alias("body"))
