@@ -108,13 +108,10 @@ def n5_path_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey AS key, 'official' AS benchmark, o_totalprice AS value, 'first_usd' AS symbol FROM orders UNION ALL SELECT o_orderkey, 'open_market', CAST(o_orderkey + 1000 AS DOUBLE), NULL FROM orders UNION ALL SELECT o_orderkey, 'path', CAST(o_orderkey + 20000 AS DOUBLE), NULL FROM orders""")
 def n6_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By the source's own symbol; by any symbol of the benchmark; by the path; and nothing where only its own may do."""
-    p = _payloads(spark, sf_dir)
-    parts = [
-        ("official", payloads.resolved(p, "o_orderkey", "body", "official", ("none", "first_usd"), ("second_usd",), True, 4)), ("open_market", payloads.resolved(p, "o_orderkey", "body", "open_market", ("none",), ("second_usd",), False, 4)),
-        ("path", payloads.resolved(p, "o_orderkey", "body", "official", (), (), False, 4)), ("strict", payloads.resolved(p, "o_orderkey", "body", "official", ("none",), ("first_usd",), True, 4)),
-    ]
-    out = [d.select("key", F.lit(name).alias("benchmark"), "value", "symbol") for name, d in parts]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    ways = {
+        "official": ("official", ("none", "first_usd"), ("second_usd",), True), "open_market": ("open_market", ("none",), ("second_usd",), False), "path": ("official", (), (), False), "strict": ("official", ("none",), ("first_usd",), True),
+    }
+    return payloads.resolved_ways(_payloads(spark, sf_dir), "o_orderkey", "body", ways, 4).withColumnRenamed("way", "benchmark")
 
 
 @query("SELECT o_orderkey AS key, o_totalprice AS price FROM orders")
