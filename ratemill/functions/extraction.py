@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,40 +19,57 @@ def any_of(aliases: tuple[str, ...]) -> str:
     return "(?:" + "|".join(rf"\Q{a.lower()}\E" for a in sorted(set(aliases), key=lambda a: (-len(a), a))) + ")"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _number(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "").try_cast("double")
 
 
-def pair_for(text: Column, aliases: tuple[str, ...]) -> Column:
-    """first, second and mid of the first a/b after a place, else before it; both at least LEAST."""
-    low, at = F.lower(numbers.western_digits(text)), any_of(aliases)
+def _low(text: Column) -> Column:
+    return F.lower(numbers.western_digits(text))
+
+
+def pair_for(text: Column, aliases: tuple[str, ...], lowered: bool = False) -> Column:
+    """first, second and mid of the first a/b after a place, else before it; both at least LEAST. lowered: the text is in lower
+    case with western digits already, here as below."""
+    low, at = text if lowered else _low(text), any_of(aliases)
     out = []
     for p in (rf"{at}[^0-9\n]{{0,32}}({TOKEN})\s*[/\\|-]\s*({TOKEN})", rf"({TOKEN})\s*[/\\|-]\s*({TOKEN})[^0-9\n]{{0,32}}{at}"):
-        a, b = _number(F.regexp_extract(low, p, 1)), _number(F.regexp_extract(low, p, 2))
-        out.append(F.when((a >= LEAST) & (b >= LEAST), F.struct(a.alias("first"), b.alias("second"), ((a + b) / 2).alias("mid"))))
+        both = F.struct(_number(F.regexp_extract(low, p, 1)).alias("a"), _number(F.regexp_extract(low, p, 2)).alias("b"))
+        out.append(_once(both, lambda x: F.when((x["a"] >= LEAST) & (x["b"] >= LEAST), F.struct(x["a"].alias("first"), x["b"].alias("second"), ((x["a"] + x["b"]) / 2).alias("mid")))))
     return F.coalesce(*out)
 
 
-def single_for(text: Column, aliases: tuple[str, ...]) -> Column:
+def single_for(text: Column, aliases: tuple[str, ...], lowered: bool = False) -> Column:
     """The number after a place on its line, else on the next."""
-    low, at = F.lower(numbers.western_digits(text)), any_of(aliases)
+    low, at = text if lowered else _low(text), any_of(aliases)
     values = [_number(F.regexp_extract(low, p, 1)) for p in (rf"{at}[^0-9+\n-]{{0,28}}({TOKEN})", rf"{at}[^+0-9-]{{0,14}}\n[\s]*({TOKEN})")]
-    return F.coalesce(*[F.when(v >= LEAST, v) for v in values])
+    return F.coalesce(*[_once(v, lambda x: F.when(x >= LEAST, x)) for v in values])
 
 
-def delta_for(text: Column, aliases: tuple[str, ...]) -> Column:
+def delta_for(text: Column, aliases: tuple[str, ...], lowered: bool = False) -> Column:
     """The signed number after a place, else before it; at least 50 either way."""
-    low, at = F.lower(numbers.western_digits(text)), any_of(aliases)
+    low, at = text if lowered else _low(text), any_of(aliases)
     values = [F.regexp_replace(F.regexp_extract(low, p, 1), r"[^0-9+-]", "").try_cast("double") for p in (rf"{at}[^0-9+\n-]{{0,24}}({SIGNED})", rf"({SIGNED})[^\n0-9]{{0,12}}{at}")]
-    return F.coalesce(*[F.when(F.abs(v) >= 50, v) for v in values])
+    return F.coalesce(*[_once(v, lambda x: F.when(F.abs(x) >= 50, x)) for v in values])
 
 
 def signal(text: Column, place: tuple[str, ...], capital: tuple[str, ...]) -> Column:
     """kind and value of a place's rate: a pair, a single value, or the capital's rate and a difference."""
-    pair, single, delta = pair_for(text, place), single_for(text, place), delta_for(text, place)
-    base = F.coalesce(pair_for(text, capital)["mid"], single_for(text, capital))
-    relative = base + delta
-    return F.when(pair.isNotNull(), F.struct(F.lit("pair").alias("kind"), pair["mid"].alias("value"))).when(single.isNotNull(), F.struct(F.lit("single").alias("kind"), single.alias("value"))).when(relative > 0, F.struct(F.lit("relative").alias("kind"), relative.alias("value")))
+    told = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+
+    def of(low: Column) -> Column:
+        pair = _once(pair_for(low, place, True)["mid"], lambda v: F.when(v.isNotNull(), told("pair", v)))
+        single = _once(single_for(low, place, True), lambda v: F.when(v.isNotNull(), told("single", v)))
+        # the capital's rate is looked for only where there is a difference to add
+        base = lambda d: F.when(d.isNotNull(), F.coalesce(pair_for(low, capital, True)["mid"], single_for(low, capital, True)) + d)
+        relative = _once(_once(delta_for(low, place, True), base), lambda v: F.when(v > 0, told("relative", v)))
+        return F.coalesce(pair, single, relative)
+
+    return _once(_low(text), of)
 
 
 def unit_by_median(text: Column, values: Column) -> Column:

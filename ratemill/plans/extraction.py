@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratemill.functions import extraction
-from ratemill.operators.quotes import once
+from ratemill.operators.quotes import once, spread
 from ratemill.plans.registry import query, table
 
 _IRAQ, _TEHRAN = ("Sulaymaniyah", "سلیمانیه"), ("Tehran", "تهران")
@@ -15,7 +15,7 @@ _IRAQ, _TEHRAN = ("Sulaymaniyah", "سلیمانیه"), ("Tehran", "تهران")
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'pair' WHEN 1 THEN 'single' WHEN 2 THEN 'relative' END AS kind,
     CASE o_orderkey % 4 WHEN 0 THEN p + 50 WHEN 1 THEN p WHEN 2 THEN p + 250 END AS value FROM (SELECT o_orderkey, CAST(CAST(floor(o_totalprice / 10) AS BIGINT) + 100000 AS DOUBLE) AS p FROM orders)""")
 def x24_place_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     p = (F.col("o_totalprice") / 10).cast("bigint") + 100_000
     k = F.col("o_orderkey") % 4
     said = F.when(k == 0, F.concat(F.lit("Sulaymaniyah: "), p, F.lit(" / "), p + 100)).when(k == 1, F.concat(F.lit("سلیمانیه نقدی "), F.translate(p.cast("string"), "0123456789", "۰۱۲۳۴۵۶۷۸۹"))).when(k == 2, F.concat(F.lit("Tehran "), p, F.lit("\nSulaymaniyah +250"))).otherwise("Sulaymaniyah closed")
