@@ -73,13 +73,15 @@ def quote_counts(blocks: Column, most: int = 30) -> Column:
     words = ("buy", "sell", "rate", "quote", "fx", "usd", "eur", "خرید", "فروش", "نرخ", "قیمت", "دلار", "یورو")
 
     def one(b: Column) -> Column:
-        n = F.size(numbers.number_tokens(b))
-        quote = (n > 0) & text.contains_any(b, words)
-        return F.struct(quote.cast("int").alias("q"), (quote & (n >= 2) & text.contains_any(b, ("buy", "sell", "خرید", "فروش"))).cast("int").alias("p"))
-
-    told = F.transform(F.slice(blocks, 1, most), one)
-    total = lambda f: F.aggregate(told, F.lit(0), lambda s, x: s + x[f])
-    return F.struct(total("q").alias("quotes"), total("p").alias("pairs"))
+        n = F.when(text.contains_any(b["low"], words, True), F.size(numbers.number_tokens(b["t"], True))).otherwise(0)
+        return F.struct(n.alias("n"), text.contains_any(b["low"], ("buy", "sell", "خرید", "فروش"), True).alias("side"))
+
+    # a block without a digit has no number; each step is worked out once
+    western = F.filter(F.transform(F.slice(blocks, 1, most), numbers.western_digits), lambda b: b.rlike("[0-9]{3}"))
+    told = F.transform(F.transform(western, lambda b: F.struct(b.alias("t"), F.lower(b).alias("low"))), one)
+    whole = ~F.exists(F.slice(blocks, 1, most), lambda b: b.isNull())
+    count = lambda x, f: F.when(whole, F.size(F.filter(x, f)))
+    return F.transform(F.array(told), lambda x: F.struct(count(x, lambda b: b["n"] > 0).alias("quotes"), count(x, lambda b: (b["n"] >= 2) & b["side"]).alias("pairs")))[0]
 
 
 def name_of(title: Column, meta: Column, url: Column, links: Column) -> Column:

@@ -76,7 +76,7 @@ def y63_quote_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _c("quotes").cast("int")
     pair = F.when(_c("is_phone"), "buy 150000 sell 151000").otherwise("rate 150000")
     blocks = F.concat(F.array_repeat(pair, n), F.array_repeat(F.lit("price USD 140000"), 20), F.array_repeat(F.lit("buy nothing"), 50))
-    return cases(spark, sf_dir).select("k", probes.quote_counts(blocks).alias("c")).select("k", "c.quotes", "c.pairs")
+    return once(spread(cases(spark, sf_dir)).select("k", blocks.alias("blocks")), c=probes.quote_counts(F.col("blocks"))).select("k", "c.quotes", "c.pairs")
 
 
 @query(f"WITH {_SQL} SELECT k, CASE WHEN is_named THEN 'Good Shop' WHEN is_phone THEN 'Desc here' WHEN is_address THEN 'My Shop' WHEN is_hint THEN 'a b c' ELSE 'nowhere' END AS name FROM cases")
