@@ -31,38 +31,45 @@ def _any(names: dict[str, int]) -> str:
 def hhmm(t: Column) -> Column:
     """Minutes of the day of HH:MM; NULL for anything else."""
     s = F.trim(t)
-    h, m = F.regexp_extract(s, "^([0-9]{2}):([0-9]{2})$", 1).try_cast("int"), F.regexp_extract(s, "^([0-9]{2}):([0-9]{2})$", 2).try_cast("int")
-    return F.when((h <= 23) & (m <= 59), h * 60 + m)
+    part = lambda x, k: F.get(x, F.lit(k)).try_cast("int")
+    minutes = lambda x: F.when((part(x, 0) <= 23) & (part(x, 1) <= 59), part(x, 0) * 60 + part(x, 1))
+    return _bound(F.split(F.regexp_extract(s, "^([0-9]{2}:[0-9]{2})$", 1), ":"), minutes)
 
 
 def history_time(html: Column) -> Column:
     """Noon in Tehran of the latest Jalali date in a table's cells, in UTC."""
     found = F.regexp_extract_all(numbers.western_digits(html), F.lit(r"(?is)<td>\s*(14[0-9]{2}\s*/\s*[0-9]{1,2}\s*/\s*[0-9]{1,2})\s*</td>"), F.lit(1))
-    part = lambda s, k: F.trim(F.get(F.split(s, "/"), F.lit(k))).try_cast("int")
-    days = F.transform(found, lambda s: times.jalali_to_date(part(s, 0), part(s, 1), part(s, 2)))
+    part = lambda x, k: F.trim(F.get(x, F.lit(k))).try_cast("int")
+    numbered = F.transform(F.transform(found, lambda s: F.split(s, "/")), lambda x: F.struct(part(x, 0).alias("y"), part(x, 1).alias("m"), part(x, 2).alias("d")))
+    days = F.transform(numbered, lambda x: times.jalali_to_date(x["y"], x["m"], x["d"]))
     return F.array_max(F.array_compact(days)).cast("timestamp") + F.expr("INTERVAL '8:30' HOUR TO MINUTE")
 
 
 def profile_time(html: Column, sampled: Column) -> Column:
     """The time of the last rate that a profile shows, on the day that it shows (the year nearest to sampled) or on that of sampled in
     Tehran; a day earlier if that is over ten minutes ahead. In UTC."""
-    t = numbers.western_digits(html)
-    clock = r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?\s*<"
+    return _bound(numbers.western_digits(html), lambda t: _profile_time(t, sampled))
+
+
+def _profile_time(t: Column, sampled: Column) -> Column:
+    clock = r"([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)\s*<"
     label = r"\s*".join("زمان ثبت آخرین نرخ".split())
     cell = r"<td[^>]*>\s*"
     patterns = ("(?is)" + cell + label + r"\s*</td>\s*" + cell + clock, r"(?is)tgju-widget-up-i[^>]*>\s*" + clock)
-    shown = []
-    for p in patterns:
-        h, m, s = (F.regexp_extract(t, p, k) for k in (1, 2, 3))
-        h, m, s = h.try_cast("int"), m.try_cast("int"), F.coalesce(s.try_cast("int"), F.lit(0))
-        shown.append(F.when((h <= 23) & (m <= 59) & (s <= 59), h * 3600 + m * 60 + s))
-    seconds = F.coalesce(*shown)
+
+    def of_day(parts: Column) -> Column:
+        h, m, s = (F.get(parts, F.lit(k)).try_cast("int") for k in range(3))
+        s = F.coalesce(s, F.lit(0))
+        return F.when((h <= 23) & (m <= 59) & (s <= 59), h * 3600 + m * 60 + s)
+
+    seconds = F.coalesce(*[_bound(F.split(F.regexp_extract(t, p, 1), ":"), of_day) for p in patterns])
     days = "|".join([*(k + "شنبه" for k in ("پنج", "چهار", r"سه[\s\x{200c}]*", "دو", "یک", "")), "جمعه"])
-    weekday = rf"(?is)(?:{days})\s+([0-9]{{1,2}})\s+(\p{{L}}+)\s*[-–]"
-    day, month = F.regexp_extract(t, weekday, 1).try_cast("int"), _month(F.regexp_extract(t, weekday, 2), JALALI)
+    weekday = rf"(?is)(?:{days})\s+([0-9]{{1,2}}\s+\p{{L}}+)\s*[-–]"
     shift = F.expr("INTERVAL '3:30' HOUR TO MINUTE")
     here = sampled + shift
-    nearest = _bound(F.struct(day.alias("d"), month.alias("m")), lambda x: F.when(x["m"].isNotNull(), times.nearest_jalali(x["d"], x["m"], sampled)))
+    day_and_month = lambda x: F.struct(F.get(x, F.lit(0)).try_cast("int").alias("d"), _month(F.get(x, F.lit(1)), JALALI).alias("m"))
+    told = _bound(F.split(F.regexp_extract(t, weekday, 1), r"\s+"), day_and_month)
+    nearest = _bound(told, lambda x: F.when(x["m"].isNotNull(), times.nearest_jalali(x["d"], x["m"], sampled)))
     date = F.coalesce(nearest, here.cast("date"))
     local = date.cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
     return _bound(local, lambda x: F.when(x > here + F.expr("INTERVAL 10 MINUTES"), x - F.expr("INTERVAL 1 DAY")).otherwise(x)) - shift

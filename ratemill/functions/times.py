@@ -54,5 +54,6 @@ def nearest_jalali(day: Column, month: Column, sampled: Column) -> Column:
     """The date of a Jalali day and month that is nearest to the local day of sampled (UTC+03:30)."""
     here = (sampled + F.expr("INTERVAL 3 HOURS 30 MINUTES")).cast("date")
     years = F.sequence(F.year(here) - 625, F.year(here) - 618)
-    dates = F.transform(years, lambda y: F.struct(F.abs(F.datediff(jalali_to_date(y, month, day), here)).alias("gap"), y.alias("year"), jalali_to_date(y, month, day).alias("date")))
-    return F.array_min(F.filter(dates, lambda d: d["date"].isNotNull()))["date"]
+    # a later year is a later date, so that of equal gaps the first year has the first date
+    dates = F.filter(F.transform(years, lambda y: jalali_to_date(y, month, day)), lambda d: d.isNotNull())
+    return F.array_min(F.transform(dates, lambda d: F.struct(F.abs(F.datediff(d, here)).alias("gap"), d.alias("date"))))["date"]

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from ratemill.functions import pages, payloads, rules
+from ratemill.functions import extraction, pages, payloads, probes, rules, times
 from ratemill.operators import boards
 
 
@@ -95,6 +95,31 @@ def test_payloads_of_a_key_in_several_rows(spark):
     assert payloads.leaves(df.where("k = 2"), "k", "body", 2).count() == 0
 
 
+def test_signals_look_once(spark):
+    said = F.lit("Tehran 150,000 / 150,200\nSulaymaniyah +250")
+    s = extraction.signal(said, ("Sulaymaniyah",), ("Tehran",))
+    got = one(spark, s, extraction.signal(F.lit("Sulaymaniyah: ۱۵۰٬۰۰۰ / ۱۵۱٬۰۰۰"), ("Sulaymaniyah",), ("Tehran",)), extraction.signal(F.lit(None).cast("string"), ("x",), ("y",)), extraction.signal(F.lit("Sulaymaniyah +250"), ("Sulaymaniyah",), ("Tehran",)))
+    assert [x and tuple(x) for x in got] == [("relative", 150_350.0), ("pair", 150_500.0), None, None]
+    assert str(s._jc).count("regexp_extract") <= 14  # two of a pair's places in two orders, two for a single value, two for a difference; once for each place
+
+
+def test_quote_counts_look_once(spark):
+    blocks = F.array(F.lit("buy ۱۵۰۰۰۰ sell 151,000"), F.lit("USD 140000"), F.lit("buy nothing"), F.lit("150000 151000"), F.lit("rate 12"))
+    counts = probes.quote_counts(blocks)
+    got = one(spark, counts, probes.quote_counts(blocks, 1), probes.quote_counts(F.array(F.lit("rate 15000"), F.lit(None).cast("string"))), probes.quote_counts(F.array().cast("array<string>")))
+    assert [tuple(x) for x in got] == [(2, 1), (1, 1), (None, None), (0, 0)]
+    assert str(counts._jc).count("regexp_extract_all") == 1
+
+
+def test_page_times_are_worked_out_once(spark):
+    at = F.lit("2026-05-03 15:10:00").cast("timestamp")
+    shown = pages.profile_time(F.col("html"), at)
+    assert str(shown._jc).count("regexp_extract") == 3  # the last rate's time in two forms, and the day
+    dates = times.nearest_jalali(F.lit(30), F.lit(12), at)  # only leap years have that day, and it counts as the next one in others
+    got = one(spark, dates, times.nearest_jalali(F.lit(40), F.lit(1), at), pages.hhmm(F.lit("24:00")), pages.hhmm(F.lit(" 23:59 ")), pages.hhmm(F.lit("1:00")))
+    assert [str(x) for x in got] == ["2026-03-21", "None", "None", "1439", "None"]
+
+
 def test_gates(spark):
     yes, no = F.lit(True), F.lit(False)
     got = one(
