@@ -224,6 +224,17 @@ def test_rarest_words_lose_no_near_copy(spark):
     assert len(want) > 50 and want <= got
 
 
+def test_joined_texts_never_meet(spark):
+    """Texts of one root, however many they are, give no rare part to meet under; those of two roots do."""
+    base = [f"a{i}" for i in range(20)]
+    df = spark.createDataFrame([(i, " ".join([*base[:i], "new", *base[i:]])) for i in range(12)], "doc_id long, text string").select("doc_id", "text", content_id(F.col("text")).alias("cid"))
+    for roots, some in ((1, False), (2, True)):
+        crowd = df.select("cid", F.lit(21).alias("n"), (F.col("doc_id") % roots).cast("string").cast("binary").alias("root"), F.lit(True).alias("open"))
+        runs = df.select("cid", "text").mapInArrow(near._run_batches, "cid binary, run bigint, pos bigint, size bigint, part boolean").join(crowd, "cid")
+        assert (near._rarest(runs, near.SIMILARITY).count() > 0) == some
+        assert near.crowded_pairs(crowd, df, near.SIMILARITY).count() == (36 if some else 0)
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables here")
 def test_recall_on_the_small_table(spark):
     """Against brute force over all pairs of sf0.01 whose words allow it."""
